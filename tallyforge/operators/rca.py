@@ -44,10 +44,10 @@ LIFT_LINES = [
 ]
 
 
-def alarm_context(alarms: DataFrame, catalog: DataFrame, tele: DataFrame, limits: dict = SPEC_LIMITS, prune: bool = True) -> DataFrame:
+def alarm_context(alarms: DataFrame, catalog: DataFrame, tele: DataFrame, limits: dict = SPEC_LIMITS, back: str = "5 minutes", prune: bool = True) -> DataFrame:
     """Each alarm with the telemetry behind it, spec flags, message and severity (catalog joined on alarm_id)."""
     take = {c: c for c in _CONTEXT_COLS} | {"tele_process": "process"}
-    matched = asof_exact_or_backward(alarms, tele, take, prune=prune)
+    matched = asof_exact_or_backward(alarms, tele, take, back=back, prune=prune)
     codes = catalog.select(F.col("alarm_id").alias("errorcode"), "alarm_msg", "alarm_detail", "severity")
     flagged = spec_flags(matched, limits).join(codes, "errorcode", "left")
     return flagged.select(

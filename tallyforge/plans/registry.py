@@ -43,9 +43,5 @@ def r(expr: str, digits: int) -> str:
     return f"CAST(round(CAST(({expr}) AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
 
 
-def hours(later: str, earlier: str) -> str:
-    return f"((epoch_us({later}) - epoch_us({earlier})) / 3600000000.0)"
-
-
 def seconds(later: str, earlier: str) -> str:
     return f"((epoch_us({later}) - epoch_us({earlier})) / 1000000.0)"
