@@ -96,8 +96,8 @@ _VIEWS: dict[str, tuple[str, str | None, list[tuple[str, str]]]] = {
         [
             ("logid", "'A' || CAST(event_id AS STRING)"), ("logdate", "ts"),
             ("status", "CASE k % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLEDGED' ELSE 'RESOLVED' END"),
-            ("acknowledged_at", "us:ts:CASE WHEN k % 3 >= 1 THEN k * 60000000 ELSE NULL END"),
-            ("resolved_at", "us:ts:CASE WHEN k % 3 = 2 THEN k * 180000000 ELSE NULL END"),
+            ("acknowledged_at", "us:ts:CASE WHEN k % 3 >= 1 THEN k * CAST(60000000 AS BIGINT) ELSE NULL END"),
+            ("resolved_at", "us:ts:CASE WHEN k % 3 = 2 THEN k * CAST(180000000 AS BIGINT) ELSE NULL END"),
         ],
     ),
     "legacy": (
