@@ -1 +1,187 @@
-"""placeholder"""
+"""Streaming jobs run over the benchmark tables until everything available is processed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import functions as fn
+from ..session import scratch_path
+from ..sources import ingest
+from ..streaming import jobs
+from .operations import SUSTAINED_SQL, _debounce_sql, actions, evaluations
+from .registry import ORACLES, query, r
+from .storage import _INGESTED, _ingested, telemetry_json
+from .tables import Tables
+
+# allowance that covers the order in which one file is read
+_ALL = "60 days"
+
+
+def stream_of(t: Tables, name: str, view: str) -> DataFrame:
+    """A view as a stream over its table's file."""
+    raw = t.spark.read.parquet(t.path(name))
+    rows = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(t.glob(name))
+    cast = {f.name: F.col(f.name).cast("timestamp") for f in raw.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
+    return t.shape(rows.withColumns(cast), view)
+
+
+def stored_stream(t: Tables, df: DataFrame, label: str, files: int = 4) -> DataFrame:
+    """Derived rows as a stream of several files, so that several micro-batches carry state between them."""
+    path = scratch_path(t.spark, label)
+    df.repartition(files).write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def ordered_stream(t: Tables, df: DataFrame, ts: str, label: str, slices: int = 3) -> DataFrame:
+    """As `stored_stream`, but each file holds a later stretch of time, as an append-only source would."""
+    path = scratch_path(t.spark, label)
+    lo, hi = df.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
+    part = F.least(F.floor((F.unix_micros(ts) - lo) * slices / F.lit(max(hi - lo, 1))), F.lit(slices - 1))
+    marked = df.withColumn("_p", part)
+    for i in range(slices):
+        marked.where(F.col("_p") == i).drop("_p").coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+
+
+_SPEC = {"avg_temperature": ("avg", "temperature"), "max_time": ("max", "total_time")}
+_ROLL = f"SELECT time_bucket(INTERVAL '{{w}}', time) AS bucket, process, count(*) AS sample_count, {r('avg(temperature)', 4)} AS avg_temperature, {r('max(total_time)', 4)} AS max_time FROM tele GROUP BY 1, 2"
+
+
+def _out(df: DataFrame) -> DataFrame:
+    return df.select("bucket", "process", "sample_count", fn.rnd("avg_temperature", 4).alias("avg_temperature"), fn.rnd("max_time", 4).alias("max_time"))
+
+
+@query("sm1_stream_rollup", "tele", _ROLL.format(w="1 hour"))
+def _(t: Tables) -> DataFrame:
+    agg = jobs.stream_rollup(stream_of(t, "events", "tele"), "time", "1 hour", _ALL, ["process"], _SPEC)
+    # complete buckets only leave when the watermark passes; at the end of a bounded input the rest is read in update mode
+    return _out(_complete(t, agg, "sm1"))
+
+
+def _complete(t: Tables, agg: DataFrame, label: str, mode: str = "update") -> DataFrame:
+    """Final state of a windowed aggregation over a bounded stream: its updates, newest per group.
+
+    Session windows have no updates; for them every batch holds the complete result so far.
+    """
+    out = scratch_path(t.spark, label)
+    keys = [c for c in agg.columns if c in ("bucket", "process", "device_id", "cycle_start", "key")]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    agg.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-ckpt").trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.parquet(f"{out}/batch=*")
+    rest = [c for c in agg.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select(*keys, "r.*")
+
+
+@query("sm2_stream_cascade", "tele", _ROLL.format(w="1 hour"))
+def _(t):
+    root = scratch_path(t.spark, "cascade")
+    source = stored_stream(t, t.tele.select("time", "process", "temperature", "total_time", "log_id"), "cascade-in", 2)
+    jobs.run_batches(source, jobs.cascade_writer(root, "time", ["process"], _SPEC, ["1 minute", "15 minutes", "1 hour"]))
+    return _out(t.spark.read.parquet(f"{root}/1_hour"))
+
+
+@query("sm3_counter_rate_stream")
+def _(t):
+    source = ordered_stream(t, t.counters, "ts", "counters-in")
+    return jobs.run_available(jobs.counter_rate_stream(source), "rates")
+
+
+ORACLES["sm3_counter_rate_stream"] = ORACLES["wn8_counter_rate"]
+
+
+@query("sm4_carry_forward_stream", "tele", "SELECT log_id, round(last(air_vacuum IGNORE NULLS) OVER w, 4) AS air_vacuum FROM tele WINDOW w AS (PARTITION BY eqp_id ORDER BY time, log_id ROWS UNBOUNDED PRECEDING)")
+def _(t):
+    source = ordered_stream(t, t.tele.select("time", "eqp_id", "log_id", "air_vacuum"), "time", "carry-in")
+    out = jobs.run_available(jobs.carry_forward_stream(source, "eqp_id", "time", "log_id", ["air_vacuum"]), "carry")
+    return out.select("log_id", F.round("air_vacuum", 4).alias("air_vacuum"))
+
+
+@query("sm5_assemble_cycle_stream")
+def _(t):
+    agg = jobs.assemble_cycle(stream_of(t, "events", "cycles").drop("event_id"), "1 hour", watermark=_ALL)
+    return _complete(t, agg, "cycles", "complete").withColumn("walkers", F.array_join("walkers", ","))
+
+
+ORACLES["sm5_assemble_cycle_stream"] = ORACLES["sm5_assemble_cycle"]
+
+
+@query("sm6_debounce_stream", "", _debounce_sql(96, "SELECT logid FROM f WHERE fired"))
+def _(t):
+    source = ordered_stream(t, t.alarms.select("equipmentid", "errorcode", "logdate", "logid"), "logdate", "alarms-in")
+    return jobs.run_available(jobs.debounce_stream(source, "96 hours"), "fired").select("logid")
+
+
+@query("sm7_lifecycle_stream")
+def _(t):
+    source = ordered_stream(t, actions(t), "action_ts", "actions-in")
+    return jobs.run_available(jobs.lifecycle_stream(source), "lifecycle").where(F.col("reason").isNotNull()).select("logid", "logdate", "action_id", "action", "reason")
+
+
+ORACLES["sm7_lifecycle_stream"] = f"SELECT logid, logdate, action_id, action, reason FROM ({ORACLES['sm7_lifecycle_rejected']})"
+
+
+@query("sm8_detect_alarms_stream")
+def _(t):
+    out = scratch_path(t.spark, "raised")
+    jobs.run_batches(stream_of(t, "events", "tele"), jobs.alarm_writer(t.spark, out, _ALL))
+    return t.spark.read.parquet(f"{out}/batch=*").select("errorcode", "equipmentid", "process", "related_log_id", "link_basis")
+
+
+ORACLES["sm8_detect_alarms_stream"] = f"SELECT errorcode, equipmentid, process, related_log_id, link_basis FROM ({ORACLES['sm8_detect_alarms']})"
+
+
+@query("sm9_link_alarms_stream")
+def _(t):
+    tele, out = scratch_path(t.spark, "tele"), scratch_path(t.spark, "linked")
+    t.tele.select("time", "eqp_id", "log_id").write.parquet(tele)
+    jobs.run_batches(stored_stream(t, t.alarms, "alarms-in", 2), jobs.link_writer(tele, out, "2 hours"))
+    return t.spark.read.schema(t.alarms.schema).parquet(f"{out}/linked/batch=*").select("logid", "related_log_id", "link_basis")
+
+
+ORACLES["sm9_link_alarms_stream"] = ORACLES["sm9_link_alarms"]
+
+
+@query("sm10_sustained_stream", "tele", f"WITH {SUSTAINED_SQL}")
+def _(t):
+    return jobs.run_available(jobs.sustained_stream(ordered_stream(t, evaluations(t), "ts", "evals-in"), "key", "3 hours", "1 hour"), "sustained")
+
+
+@query("sm12_rate_stream", "", f"SELECT event_type AS key, time_bucket(INTERVAL '6 hours', ts) AS bucket, {r('(max(event_id) - min(event_id)) / 21600.0', 4)} AS rate FROM events GROUP BY 1, 2")
+def _(t):
+    schema = t.spark.read.parquet(t.path("events")).schema
+    rows = t.spark.readStream.schema(schema).parquet(t.glob("events")).select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return _complete(t, jobs.rate_stream(rows, "key", "ts", "event_id", "6 hours", _ALL), "rate").withColumn("rate", fn.rnd("rate", 4))
+
+
+@query("sm13_lateness_stream", "tele", "SELECT 'accepted' AS verdict, count(*) AS n FROM tele UNION ALL SELECT 'quarantined', count(*) FROM tele WHERE time < (SELECT max(time) - INTERVAL 10 DAY FROM tele)")
+def _(t):
+    rows = t.tele.select("time", "log_id")
+    path, out = scratch_path(t.spark, "late-in"), scratch_path(t.spark, "late")
+    # the whole table, then its old part again: the second delivery is late
+    rows.coalesce(1).write.parquet(path)
+    ckpt = scratch_path(t.spark, "late-ckpt")
+    writer = jobs.lateness_writer(out, "time", "10 days")
+    source = t.spark.readStream.schema(rows.schema).parquet(path)
+    jobs.run_batches(source, writer, ckpt)
+    newest = rows.agg(F.max("time")).scalar()
+    rows.where(F.col("time") < fn.ts_plus(newest, -fn.interval_us("10 days"))).coalesce(1).write.mode("append").parquet(path)
+    jobs.run_batches(source, writer, ckpt)
+    parts = [t.spark.read.parquet(f"{out}/{d}/batch=*").agg(F.lit(v).alias("verdict"), F.count(F.lit(1)).alias("n")) for d, v in (("accepted", "accepted"), ("quarantine", "quarantined"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("src1_ingest_telemetry_stream", "tele", _INGESTED)
+def _(t):
+    return _ingested(jobs.run_available(ingest.ingest_telemetry(stored_stream(t, telemetry_json(t), "json-in")), "ingested"))
+
+
+@query("src5_dedupe_stream", "alarms", "SELECT logid, logdate FROM alarms")
+def _(t):
+    twice = t.alarms.select("logid", "logdate").unionByName(t.alarms.select("logid", "logdate"))
+    return jobs.run_available(jobs.dedupe_stream(stored_stream(t, twice, "twice-in"), ["logdate", "logid"], "logdate", _ALL), "deduped")
+

@@ -188,6 +188,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}.parquet"
 
+    def glob(self, name: str) -> str:
+        """Pattern that a file stream accepts whether the table is one file or a folder of files."""
+        return f"{self.dir}/{name}.parque[t]"
+
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
         cast = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
