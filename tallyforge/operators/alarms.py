@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from ..schema import PE_COLS
 from ..session import scratch_path
 from .aggregates import with_fallback_row
 from .joins import asof_nearest, bounded_join
-from .series import carry_forward, lay_out, over_rows, running_sums
+from .series import DEFAULT_MAX_ROWS, carry_forward, fold_sorted, largest_group, over_rows, running_sums
 from .spc import NO_RECIPE_SETTING
 
 
@@ -187,30 +187,36 @@ def _island_rows(alarms: DataFrame, keys: list[str], ts: str, tie: str, cooldown
 def debounce(alarms: DataFrame, keys: list[str] | None = None, cooldown: str = "12 minutes", ts: str = "logdate", tie: str = "logid", max_rows: int | None = None) -> DataFrame:
     """Mark the alarms that fire: an alarm is suppressed within `cooldown` of the last one of its key that fired.
 
-    A quiet period of the cooldown splits a key's history into independent stretches. A stretch of at most `max_rows`
-    alarms is folded in one pass. In a longer one (a flood), at most one alarm can fire per cooldown-wide bucket, so
-    each alarm's successor is found by an as-of step and the chain is followed by doubling: no task holds a stretch.
+    Histories of at most `max_rows` alarms are folded in order. In a longer one, quiet periods of a cooldown separate
+    independent stretches, which are folded instead; and where a stretch itself is longer (a flood), each alarm's
+    successor is found by an as-of step and the chain is followed by doubling, so that no task holds the stretch.
     """
     keys = keys or ["equipmentid", "errorcode"]
     us = interval_us(cooldown)
+    size = max_rows or DEFAULT_MAX_ROWS
+    if largest_group(alarms, keys) <= size:
+        return fold_sorted(alarms, keys, [ts, tie], _fold_cooldown(keys, ts, us), "fired boolean")
+    group = [*keys, "_island"]
     rows = _island_rows(alarms, keys, ts, tie, cooldown, max_rows)
-    lay = lay_out(rows, [*keys, "_island"], [ts, tie], max_rows)
-    if lay.split:
-        return _debounce_by_doubling(rows, [*keys, "_island"], ts, tie, us).drop("_island")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, tie], kind="stable")
-        t = pdf[ts].to_numpy().astype("datetime64[us]").astype("int64")
-        fired = np.zeros(len(t), dtype=bool)
-        i = 0
-        while i < len(t):
-            fired[i] = True
-            i = int(np.searchsorted(t, t[i] + us, side="left"))
-        pdf["fired"] = fired
-        return pdf
-
-    return rows.groupBy(*keys, "_island").applyInPandas(fold, schema=f"{fields}, fired boolean").drop("_island")
+    if largest_group(rows, group) <= size:
+        return fold_sorted(rows, group, [ts, tie], _fold_cooldown(group, ts, us), "fired boolean").drop("_island")
+    return _debounce_by_doubling(rows, group, ts, tie, us).drop("_island")
+
+
+def _fold_cooldown(group: list[str], ts: str, us: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, last = None, 0
+        for pdf in batches:
+            fired = []
+            for key, t in zip(zip(*[pdf[g] for g in group]), pdf[ts].astype("datetime64[us]").astype("int64").tolist()):
+                hit = key != seen or t - last >= us
+                if hit:
+                    seen, last = key, t
+                fired.append(hit)
+            pdf["fired"] = fired
+            yield pdf
+
+    return fold
 
 
 def _debounce_by_doubling(rows: DataFrame, group: list[str], ts: str, tie: str, us: int) -> DataFrame:

@@ -259,9 +259,3 @@ def rate_degraded(rates: DataFrame, keys: list[str], back: int = 12, share: floa
     status = F.when(F.col("rate") == 0, "STALLED").when(rnd(F.col("rate") - F.col("mean_rate") * share, 6) < 0, "DEGRADED").otherwise("OK")
     return out.select(*keys, "bucket", rnd("rate", 4).alias("rate"), rnd("mean_rate", 4).alias("mean_rate"), status.alias("status"))
 
-
-def metric_stress_join(sys: DataFrame, net: DataFrame, device: str, as_of: datetime | str, window: str = "1 hour", k: int = 100) -> DataFrame:
-    """Newest k rows of one device's system readings with each of its network readings in the window."""
-    s = last(sys, "time", window, as_of).where(F.col("device_id") == device).select("time", "device_id", "cpu_load_percent", "ram_used_mb", "disk_used_gb", "temp_c")
-    n = last(net, "time", window, as_of).where(F.col("device_id") == device).select("device_id", "rx_mbps")
-    return s.join(n, "device_id", "left").drop("device_id").orderBy(F.desc("time"), F.desc("rx_mbps")).limit(k)

@@ -67,9 +67,17 @@ def latest_per_key(df: DataFrame, keys: list[str], ts: str, tie: str | None = No
     return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
 
 
-def join_on_device(left: DataFrame, right: DataFrame, key: str = "device_id") -> DataFrame:
-    """Left join of two fact tables on the device: every pair of rows of a device, as the dashboard reads it."""
-    return left.join(right, key, "left")
+def join_on_device(left: DataFrame, right: DataFrame, key: str, left_order: list[Column], right_order: list[Column], k: int = 100) -> DataFrame:
+    """First k rows per device of `left` LEFT JOIN `right` on the device, ordered by left, then right.
+
+    Only the first k rows of either side can take part, so each side is cut to k per device before the join (the cut
+    runs ahead of the shuffle) and a device never yields all its pairs.
+    """
+    def first(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= k)
+
+    both = first(left, left_order, "_l").join(first(right, right_order, "_r"), key, "left")
+    return first(both, [F.col("_l"), F.col("_r")], "_n").drop("_l", "_r", "_n")
 
 
 def _asof(

@@ -9,13 +9,13 @@ A window partitioned by machine puts one machine's whole history into one task.
   halo; running totals get the totals of the earlier chunks as a carry.
 
 When no key is that large (one cheap count over the key columns) the plain window is used: one shuffle, same result.
-Keys must not be NULL and (key, order) must be unique for reproducible output.
+(key, order) must be unique for reproducible output.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import interval_us
 
 DEFAULT_MAX_ROWS = 4_000_000
-_CHUNK, _POS = "_chunk", "_pos"
+_CHUNK, _POS, _GROUP = "_chunk", "_pos", "_group"
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -39,13 +39,16 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], slice_width: s
     sliced = df.withColumn("_slice", F.floor(F.unix_micros(order[0]) / F.lit(width)))
     per_slice = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # a struct is never NULL, so rows without a key join too, and the rank and the join share one shuffle
+    group = F.struct(*keys, "_slice").alias(_GROUP)
+    offsets = per_slice.select(group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(_GROUP).orderBy(*order)
     return (
-        sliced.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [*keys, "_slice"])
+        sliced.withColumn(_GROUP, group)
+        .withColumn("_rank", F.row_number().over(inside))
+        .join(offsets, _GROUP)
         .withColumn(_POS, F.col("_before") + F.col("_rank") - 1)
-        .drop("_slice", "_before", "_rank")
+        .drop("_slice", "_before", "_rank", _GROUP)
     )
 
 
@@ -61,7 +64,7 @@ class Layout:
 
     @property
     def part(self) -> list[str]:
-        return [*self.keys, _CHUNK] if self.split else list(self.keys)
+        return [_GROUP] if self.split else list(self.keys)
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.part).orderBy(*self.order)
@@ -72,7 +75,8 @@ def lay_out(df: DataFrame, keys: list[str], order: list[str], max_rows: int | No
     if largest_group(df, keys) <= size:
         return Layout(df, keys, order, False, size)
     numbered = number_rows(df, keys, order)
-    return Layout(numbered.withColumn(_CHUNK, F.floor(F.col(_POS) / size)), keys, order, True, size)
+    chunked = numbered.withColumn(_CHUNK, F.floor(F.col(_POS) / size)).withColumn(_GROUP, F.struct(*keys, _CHUNK))
+    return Layout(chunked, keys, order, True, size)
 
 
 def over_rows(
@@ -91,7 +95,7 @@ def over_rows(
     homes = F.when(near_end, F.array(F.col(_CHUNK), F.col(_CHUNK) + 1)).otherwise(F.array(F.col(_CHUNK)))
     haloed = lay.df.withColumn("_part", F.explode(homes))
     out = build(haloed, Window.partitionBy(*keys, "_part").orderBy(*order))
-    return out.where(F.col("_part") == F.col(_CHUNK)).drop("_part", _CHUNK, _POS)
+    return out.where(F.col("_part") == F.col(_CHUNK)).drop("_part", _CHUNK, _POS, _GROUP)
 
 
 def _before(keys: list[str]) -> WindowSpec:
@@ -104,14 +108,19 @@ def with_carry(lay: Layout, local: DataFrame, totals: dict[str, Column], carry:
     `totals` aggregates a chunk; `carry` turns the chunk table (keys, _chunk, totals) into (keys, _chunk, carries).
     """
     chunks = local.groupBy(*lay.keys, _CHUNK).agg(*[c.alias(n) for n, c in totals.items()])
-    return local.join(carry(chunks), [*lay.keys, _CHUNK])
+    return _join_carry(lay.keys, local, carry(chunks))
+
+
+def _join_carry(keys: list[str], local: DataFrame, carry: DataFrame) -> DataFrame:
+    extra = [c for c in carry.columns if c not in (*keys, _CHUNK)]
+    return local.join(carry.select(F.struct(*keys, _CHUNK).alias(_GROUP), *extra), _GROUP).drop(_GROUP)
 
 
 def row_positions(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None) -> DataFrame:
     """1-based `row_no` per key."""
     lay = lay_out(df, keys, order, max_rows)
     if lay.split:
-        return lay.df.withColumn("row_no", (F.col(_POS) + 1).cast("int")).drop(_CHUNK, _POS)
+        return lay.df.withColumn("row_no", (F.col(_POS) + 1).cast("int")).drop(_CHUNK, _POS, _GROUP)
     return lay.df.withColumn("row_no", F.row_number().over(lay.window()))
 
 
@@ -217,26 +226,45 @@ def one_sided_sums(df: DataFrame, keys: list[str], order: list[str], up: Column,
     return out.drop(_CHUNK, _POS, *[f"_{p}{s}" for p in ("", "s", "m", "o", "f") for s in "ud"])
 
 
+def fold_sorted(
+    df: DataFrame, group: list[str], order: list[str], fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], added: str,
+) -> DataFrame:
+    """Run `fold` over partitions that hold whole groups, sorted by group and order.
+
+    Batches arrive in order, so the fold carries its few scalars from one batch to the next: memory is one Arrow batch,
+    however long a group is, and many small groups share a call.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    ordered = df.repartition(*group).sortWithinPartitions(*group, *order)
+    return ordered.mapInPandas(fold, schema=f"{fields}, {added}")
+
+
 def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: float, out_col: str = "ewma", max_rows: int | None = None) -> DataFrame:
     """z_t = lam x_t + (1-lam) z_{t-1}, z_0 = x_0 per key.
 
-    Each chunk is smoothed on its own by a vectorised pandas pass over at most `max_rows` rows; a chunk's true level
-    then differs from it by a term that decays geometrically from the level the previous chunks ended on.
+    A key that was cut into chunks is smoothed chunk by chunk; a chunk's true level then differs from its own by a term
+    that decays geometrically from the level the previous chunks ended on.
     """
     lay = lay_out(df, keys, order, max_rows)
     keep = 1.0 - lam
-    work = lay.df if lay.split else lay.df.withColumns({_CHUNK: F.lit(0).cast("long"), _POS: F.lit(0).cast("long")})
-    names = work.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        pdf[out_col] = pdf[x].ewm(alpha=lam, adjust=False).mean()
-        return pdf[[*names, out_col]]
-
-    local = work.groupBy(*keys, _CHUNK).applyInPandas(smooth, schema=f"{fields}, `{out_col}` double")
+    group = [*keys, _CHUNK] if lay.split else keys
+    rows = lay.df.drop(_GROUP)
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, z = None, 0.0
+        for pdf in batches:
+            out = []
+            for key, v in zip(zip(*[pdf[g] for g in group]), pdf[x].tolist()):
+                z = lam * v + keep * z if key == seen else v
+                seen = key
+                out.append(z)
+            pdf[out_col] = out
+            yield pdf
+
+    local = fold_sorted(rows, group, order, smooth, f"`{out_col}` double")
     if not lay.split:
-        return local.drop(_CHUNK, _POS)
+        return local
+    local = local.withColumn(_GROUP, F.struct(*keys, _CHUNK))
 
     size = lay.size
     at = F.pmod(F.col(_POS), F.lit(size))
@@ -254,7 +282,7 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: floa
         lambda acc, c: F.when(acc.isNull(), c["_end"]).otherwise(c["_end"] + step * (acc - c["_first"])),
     )
     carry = ends.select(*keys, _CHUNK, "_first", level.alias("_in"))
-    joined = local.join(carry, [*keys, _CHUNK])
+    joined = _join_carry(keys, local, carry)
     fade = F.pow(F.lit(keep), F.pmod(F.col(_POS), F.lit(size)) + 1)
     fixed = F.col(out_col) + F.when(F.col("_in").isNull(), F.lit(0.0)).otherwise(fade * (F.col("_in") - F.col("_first")))
     return joined.withColumn(out_col, fixed).drop(_CHUNK, _POS, "_first", "_in")

@@ -184,6 +184,7 @@ class Tables:
         # timestamps in the files carry no zone and mean UTC
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}.parquet"
@@ -193,6 +194,11 @@ class Tables:
         return f"{self.dir}/{name}.parque[t]"
 
     def raw(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = self._read(name)
+        return self._raw[name]
+
+    def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(self.path(name))
         cast = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
         return df.withColumns(cast) if cast else df

@@ -63,14 +63,14 @@ def cascade_writer(root: str, ts: str, keys: list[str], spec: Spec, widths: list
         raw = f"{root}/raw"
         batch.withColumn("date", F.to_date(ts)).write.mode("overwrite").partitionBy("date").parquet(f"{raw}/batch={batch_id}")
         days = spark.read.parquet(f"{raw}/batch={batch_id}").select("date").distinct()
-        rows = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*").join(F.broadcast(days), "date", "left_semi")
+        rows = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*").join(days, "date", "left_semi")
         tier = rollup(rows, ts, widths[0], keys, spec)
         for i, width in enumerate(widths):
             if i:
                 tier = reaggregate(tier, width, keys, spec, mode)
             target = f"{root}/{width.replace(' ', '_')}"
             tier.withColumn("date", F.to_date("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
-            tier = spark.read.parquet(target).join(F.broadcast(days), "date", "left_semi").drop("date")
+            tier = spark.read.parquet(target).join(days, "date", "left_semi").drop("date")
 
     return write
 
