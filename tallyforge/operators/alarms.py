@@ -18,7 +18,7 @@ from ..schema import PE_COLS
 from ..session import scratch_path
 from .aggregates import with_fallback_row
 from .joins import asof_nearest, bounded_join
-from .series import DEFAULT_MAX_ROWS, carry_forward, fold_sorted, largest_group, over_rows, running_sums
+from .series import DEFAULT_MAX_ROWS, carry_forward, fold_sorted, has_hot_key, largest_group, over_rows, running_sums
 from .spc import NO_RECIPE_SETTING
 
 
@@ -193,12 +193,11 @@ def debounce(alarms: DataFrame, keys: list[str] | None = None, cooldown: str = "
     """
     keys = keys or ["equipmentid", "errorcode"]
     us = interval_us(cooldown)
-    size = max_rows or DEFAULT_MAX_ROWS
-    if largest_group(alarms, keys) <= size:
+    if not has_hot_key(alarms, keys, max_rows):
         return fold_sorted(alarms, keys, [ts, tie], _fold_cooldown(keys, ts, us), "fired boolean")
     group = [*keys, "_island"]
     rows = _island_rows(alarms, keys, ts, tie, cooldown, max_rows)
-    if largest_group(rows, group) <= size:
+    if largest_group(rows, group) <= (max_rows or DEFAULT_MAX_ROWS):
         return fold_sorted(rows, group, [ts, tie], _fold_cooldown(group, ts, us), "fired boolean").drop("_island")
     return _debounce_by_doubling(rows, group, ts, tie, us).drop("_island")
 

@@ -8,7 +8,8 @@ A window partitioned by machine puts one machine's whole history into one task.
 * position // max_rows is the chunk. Frames of a fixed number of rows get the last rows of the previous chunk as a
   halo; running totals get the totals of the earlier chunks as a carry.
 
-When no key is that large (one cheap count over the key columns) the plain window is used: one shuffle, same result.
+When no key is that large (a count over the key columns, skipped for small inputs) the plain window is used: one
+shuffle, same result.
 (key, order) must be unique for reproducible output.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import interval_us
 
 DEFAULT_MAX_ROWS = 4_000_000
+# inputs the optimizer estimates below this are not searched for hot keys: one task could hold all of them
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 _CHUNK, _POS, _GROUP = "_chunk", "_pos", "_group"
 
 
@@ -33,6 +36,21 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+def estimated_bytes(df: DataFrame) -> float:
+    """The optimizer's size estimate of a plan; unknown counts as unbounded."""
+    try:
+        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # a remote session does not expose it
+        return math.inf
+
+
+def has_hot_key(df: DataFrame, keys: list[str], max_rows: int | None = None) -> bool:
+    """Whether some key has more rows than one task should order. A given `max_rows` is always checked."""
+    if max_rows is None and estimated_bytes(df) <= SMALL_INPUT_BYTES:
+        return False
+    return largest_group(df, keys) > (max_rows or DEFAULT_MAX_ROWS)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], slice_width: str = "1 hour") -> DataFrame:
     """Add `_pos`, the 0-based position of each row in its key's history. order[0] must be the timestamp."""
     width = interval_us(slice_width)
@@ -72,7 +90,7 @@ class Layout:
 
 def lay_out(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None) -> Layout:
     size = max_rows or DEFAULT_MAX_ROWS
-    if largest_group(df, keys) <= size:
+    if not has_hot_key(df, keys, max_rows):
         return Layout(df, keys, order, False, size)
     numbered = number_rows(df, keys, order)
     chunked = numbered.withColumn(_CHUNK, F.floor(F.col(_POS) / size)).withColumn(_GROUP, F.struct(*keys, _CHUNK))

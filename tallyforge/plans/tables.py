@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.alarms import with_severity
+
 AS_OF = "2024-01-31 00:00:00"
 
 # (name, source table, filter, columns); `us:` marks "timestamp column + microseconds"
@@ -214,11 +216,12 @@ class Tables:
         return df.selectExpr(*[f"{_spark(e)} AS {n}" for n, e in cols])
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name == "catalog":
-            from ..operators.alarms import with_severity
-
-            return with_severity(self.shape(self.raw("part"), "rawcat"))
-        if name not in _VIEWS:
+        if name.startswith("_") or (name != "catalog" and name not in _VIEWS):
             raise AttributeError(name)
-        src = _VIEWS[name][0]
-        return self.shape(self.raw("events" if src == "ev" else src), name)
+        if name == "catalog":
+            df = with_severity(self.shape(self.raw("part"), "rawcat"))
+        else:
+            src = _VIEWS[name][0]
+            df = self.shape(self.raw("events" if src == "ev" else src), name)
+        setattr(self, name, df)
+        return df
