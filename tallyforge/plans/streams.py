@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import functions as fn
 from ..session import scratch_path
@@ -21,10 +20,8 @@ _ALL = "60 days"
 
 def stream_of(t: Tables, name: str, view: str) -> DataFrame:
     """A view as a stream over its table's file."""
-    raw = t.spark.read.parquet(t.path(name))
-    rows = t.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(t.glob(name))
-    cast = {f.name: F.col(f.name).cast("timestamp") for f in raw.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
-    return t.shape(rows.withColumns(cast), view)
+    rows = t.spark.readStream.schema(t.schema(name)).option("maxFilesPerTrigger", 1).parquet(t.glob(name))
+    return t.shape(rows, view)
 
 
 def stored_stream(t: Tables, df: DataFrame, label: str, files: int = 4) -> DataFrame:
@@ -153,8 +150,7 @@ def _(t):
 
 @query("sm12_rate_stream", "", f"SELECT event_type AS key, time_bucket(INTERVAL '6 hours', ts) AS bucket, {r('(max(event_id) - min(event_id)) / 21600.0', 4)} AS rate FROM events GROUP BY 1, 2")
 def _(t):
-    schema = t.spark.read.parquet(t.path("events")).schema
-    rows = t.spark.readStream.schema(schema).parquet(t.glob("events")).select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    rows = t.spark.readStream.schema(t.schema("events")).parquet(t.glob("events")).select(F.col("event_type").alias("key"), "ts", "event_id")
     return _complete(t, jobs.rate_stream(rows, "key", "ts", "event_id", "6 hours", _ALL), "rate").withColumn("rate", fn.rnd("rate", 4))
 
 

@@ -200,10 +200,13 @@ class Tables:
             self._raw[name] = self._read(name)
         return self._raw[name]
 
+    def schema(self, name: str) -> T.StructType:
+        """Stored schema with zone-less timestamps read as UTC instants: no cast stands between a filter and the scan."""
+        stored = self.spark.read.parquet(self.path(name)).schema
+        return T.StructType([T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in stored.fields])
+
     def _read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
-        cast = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
-        return df.withColumns(cast) if cast else df
+        return self.spark.read.schema(self.schema(name)).parquet(self.path(name))
 
     @staticmethod
     def shape(df: DataFrame, name: str) -> DataFrame:
