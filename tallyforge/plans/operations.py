@@ -12,7 +12,7 @@ from ..schema import JE_COLS, PE_COLS
 from .analytics import _KEYS, LATEST_SQL, _ranking_sql, latest
 from .basics import _ABS_JE, _ABS_PE, FLAGS_SQL
 from .registry import query, r, seconds
-from .tables import AS_OF, CATEGORY_SQL, Tables
+from .tables import AS_OF, CATEGORY_SQL, Tables, view_sql
 
 _A = f"TIMESTAMP '{AS_OF}'"
 
@@ -201,8 +201,6 @@ _DEBOUNCE = (
 
 
 def _debounce_sql(hours: int, select: str) -> str:
-    from .tables import view_sql
-
     sql = _DEBOUNCE.format(us=hours * 3600 * 1_000_000).replace("alarms_", view_sql("alarms"))
     return sql.replace("WITH RECURSIVE", "with recursive") + select
 
@@ -363,7 +361,20 @@ def _(t):
     return quality.lateness_report(t.alarms, "logdate", "ingest_ts", "2024-01-29 00:00:00", ["link_basis"])
 
 
-# the running half average of a device's position error, kept across polls
+_HALF = (
+    "with recursive s AS (SELECT device_id, event_id, temp_c AS x, row_number() OVER (PARTITION BY device_id ORDER BY time, event_id) AS rn FROM (sysm_)), z AS (SELECT device_id, rn, event_id, x AS z FROM s WHERE rn = 1 "
+    "UNION ALL SELECT s.device_id, s.rn, s.event_id, CASE WHEN z.z = 0 THEN s.x ELSE (z.z + s.x) / 2 END FROM z JOIN s ON s.device_id = z.device_id AND s.rn = z.rn + 1) SELECT event_id, " + r("z", 4) + " AS level FROM z"
+).replace("sysm_", view_sql("sysm"))
+
+
+@query("sm4_half_average", "", _HALF)
+def _(t):
+    from ..sources.varbinds import half_average
+
+    out = half_average(t.sysm.select("device_id", "time", "event_id", "temp_c"), ["device_id"], ["time", "event_id"], "temp_c", "level")
+    return out.select("event_id", fn.rnd("level", 4).alias("level"))
+
+
 @query(
     "sm4_carry_forward", "tele",
     "SELECT log_id, round(last(air_vacuum IGNORE NULLS) OVER w, 4) AS air_vacuum, last(pe_6 IS NULL) OVER (PARTITION BY log_id) AS pe_missing FROM tele WINDOW w AS (PARTITION BY eqp_id ORDER BY time, log_id ROWS UNBOUNDED PRECEDING)",

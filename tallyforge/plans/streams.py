@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,22 +26,27 @@ def stream_of(t: Tables, name: str, view: str) -> DataFrame:
     return t.shape(rows, view)
 
 
-def stored_stream(t: Tables, df: DataFrame, label: str, files: int = 4) -> DataFrame:
-    """Derived rows as a stream of several files, so that several micro-batches carry state between them."""
-    path = scratch_path(t.spark, label)
-    df.repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def by_time(df: DataFrame, ts: str, slices: int = 3) -> list[DataFrame]:
+    """Consecutive stretches of time, as an append-only source delivers them."""
+    lo, hi = df.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
+    cut = [lo + (hi + 1 - lo) * i // slices for i in range(slices + 1)]
+    us = F.unix_micros(ts)
+    return [df.where((us >= a) & (us < b)) for a, b in zip(cut, cut[1:])]
 
 
-def ordered_stream(t: Tables, df: DataFrame, ts: str, label: str, slices: int = 3) -> DataFrame:
-    """As `stored_stream`, but each file holds a later stretch of time, as an append-only source would."""
-    path = scratch_path(t.spark, label)
-    lo, hi = df.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
-    part = F.least(F.floor((F.unix_micros(ts) - lo) * slices / F.lit(max(hi - lo, 1))), F.lit(slices - 1))
-    marked = df.withColumn("_p", part)
-    for i in range(slices):
-        marked.where(F.col("_p") == i).drop("_p").coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+def deliver(t: Tables, parts: list[DataFrame], label: str, run: Callable[[DataFrame, str], object]) -> None:
+    """Append one delivery after the other to a table and let the stream catch up; state lives in its checkpoint."""
+    path, checkpoint = scratch_path(t.spark, f"{label}-in"), scratch_path(t.spark, f"{label}-ckpt")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        run(t.spark.readStream.schema(part.schema).parquet(path), checkpoint)
+
+
+def streamed(t: Tables, parts: list[DataFrame], label: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Output table of `build(stream)` after all deliveries."""
+    out, results = scratch_path(t.spark, label), []
+    deliver(t, parts, label, lambda source, ckpt: results.append(jobs.run_available(build(source), label, out=out, checkpoint=ckpt)))
+    return results[-1]
 
 
 _SPEC = {"avg_temperature": ("avg", "temperature"), "max_time": ("max", "total_time")}
@@ -77,15 +84,25 @@ def _complete(t: Tables, agg: DataFrame, label: str, mode: str = "update") -> Da
 @query("sm2_stream_cascade", "tele", _ROLL.format(w="1 hour"))
 def _(t):
     root = scratch_path(t.spark, "cascade")
-    source = stored_stream(t, t.tele.select("time", "process", "temperature", "total_time", "log_id"), "cascade-in", 2)
-    jobs.run_batches(source, jobs.cascade_writer(root, "time", ["process"], _SPEC, ["1 minute", "15 minutes", "1 hour"]))
+    writer = jobs.cascade_writer(root, "time", ["process"], _SPEC, ["1 minute", "15 minutes", "1 hour"])
+    rows = t.tele.select("time", "process", "temperature", "total_time", "log_id")
+    deliver(t, by_time(rows, "time", 2), "cascade", lambda source, ckpt: jobs.run_batches(source, writer, ckpt))
     return _out(t.spark.read.parquet(f"{root}/1_hour"))
 
 
+@query("sm2_stream_cascade_week", "tele", _ROLL.format(w="7 days"))
+def _(t):
+    root = scratch_path(t.spark, "cascade")
+    writer = jobs.cascade_writer(root, "time", ["process"], _SPEC, ["1 hour", "1 day", "1 week"])
+    rows = t.tele.select("time", "process", "temperature", "total_time", "log_id")
+    # the cut falls inside a week: its earlier days must stay in the recomputed total
+    deliver(t, by_time(rows, "time", 2), "cascade", lambda source, ckpt: jobs.run_batches(source, writer, ckpt))
+    return _out(t.spark.read.parquet(f"{root}/1_week"))
+
+
 @query("sm3_counter_rate_stream")
 def _(t):
-    source = ordered_stream(t, t.counters, "ts", "counters-in")
-    return jobs.run_available(jobs.counter_rate_stream(source), "rates")
+    return streamed(t, by_time(t.counters, "ts"), "rates", jobs.counter_rate_stream)
 
 
 ORACLES["sm3_counter_rate_stream"] = ORACLES["wn8_counter_rate"]
@@ -93,8 +110,8 @@ ORACLES["sm3_counter_rate_stream"] = ORACLES["wn8_counter_rate"]
 
 @query("sm4_carry_forward_stream", "tele", "SELECT log_id, round(last(air_vacuum IGNORE NULLS) OVER w, 4) AS air_vacuum FROM tele WINDOW w AS (PARTITION BY eqp_id ORDER BY time, log_id ROWS UNBOUNDED PRECEDING)")
 def _(t):
-    source = ordered_stream(t, t.tele.select("time", "eqp_id", "log_id", "air_vacuum"), "time", "carry-in")
-    out = jobs.run_available(jobs.carry_forward_stream(source, "eqp_id", "time", "log_id", ["air_vacuum"]), "carry")
+    rows = t.tele.select("time", "eqp_id", "log_id", "air_vacuum")
+    out = streamed(t, by_time(rows, "time"), "carry", lambda s: jobs.carry_forward_stream(s, "eqp_id", "time", "log_id", ["air_vacuum"]))
     return out.select("log_id", F.round("air_vacuum", 4).alias("air_vacuum"))
 
 
@@ -109,14 +126,13 @@ ORACLES["sm5_assemble_cycle_stream"] = ORACLES["sm5_assemble_cycle"]
 
 @query("sm6_debounce_stream", "", _debounce_sql(96, "SELECT logid FROM f WHERE fired"))
 def _(t):
-    source = ordered_stream(t, t.alarms.select("equipmentid", "errorcode", "logdate", "logid"), "logdate", "alarms-in")
-    return jobs.run_available(jobs.debounce_stream(source, "96 hours"), "fired").select("logid")
+    rows = t.alarms.select("equipmentid", "errorcode", "logdate", "logid")
+    return streamed(t, by_time(rows, "logdate"), "fired", lambda s: jobs.debounce_stream(s, "96 hours")).select("logid")
 
 
 @query("sm7_lifecycle_stream")
 def _(t):
-    source = ordered_stream(t, actions(t), "action_ts", "actions-in")
-    return jobs.run_available(jobs.lifecycle_stream(source), "lifecycle").where(F.col("reason").isNotNull()).select("logid", "logdate", "action_id", "action", "reason")
+    return streamed(t, by_time(actions(t), "action_ts"), "lifecycle", jobs.lifecycle_stream).where(F.col("reason").isNotNull()).select("logid", "logdate", "action_id", "action", "reason")
 
 
 ORACLES["sm7_lifecycle_stream"] = f"SELECT logid, logdate, action_id, action, reason FROM ({ORACLES['sm7_lifecycle_rejected']})"
@@ -136,7 +152,8 @@ ORACLES["sm8_detect_alarms_stream"] = f"SELECT errorcode, equipmentid, process,
 def _(t):
     tele, out = scratch_path(t.spark, "tele"), scratch_path(t.spark, "linked")
     t.tele.select("time", "eqp_id", "log_id").write.parquet(tele)
-    jobs.run_batches(stored_stream(t, t.alarms, "alarms-in", 2), jobs.link_writer(tele, out, "2 hours"))
+    writer = jobs.link_writer(tele, out, "2 hours")
+    deliver(t, by_time(t.alarms, "logdate", 2), "alarms", lambda source, ckpt: jobs.run_batches(source, writer, ckpt))
     return t.spark.read.schema(t.alarms.schema).parquet(f"{out}/linked/batch=*").select("logid", "related_log_id", "link_basis")
 
 
@@ -145,7 +162,7 @@ ORACLES["sm9_link_alarms_stream"] = ORACLES["sm9_link_alarms"]
 
 @query("sm10_sustained_stream", "tele", f"WITH {SUSTAINED_SQL}")
 def _(t):
-    return jobs.run_available(jobs.sustained_stream(ordered_stream(t, evaluations(t), "ts", "evals-in"), "key", "3 hours", "1 hour"), "sustained")
+    return streamed(t, by_time(evaluations(t), "ts"), "sustained", lambda s: jobs.sustained_stream(s, "key", "3 hours", "1 hour"))
 
 
 @query("sm12_rate_stream", "", f"SELECT event_type AS key, time_bucket(INTERVAL '6 hours', ts) AS bucket, {r('(max(event_id) - min(event_id)) / 21600.0', 4)} AS rate FROM events GROUP BY 1, 2")
@@ -156,28 +173,23 @@ def _(t):
 
 @query("sm13_lateness_stream", "tele", "SELECT 'accepted' AS verdict, count(*) AS n FROM tele UNION ALL SELECT 'quarantined', count(*) FROM tele WHERE time < (SELECT max(time) - INTERVAL 10 DAY FROM tele)")
 def _(t):
-    rows = t.tele.select("time", "log_id")
-    path, out = scratch_path(t.spark, "late-in"), scratch_path(t.spark, "late")
+    rows, out = t.tele.select("time", "log_id"), scratch_path(t.spark, "late")
+    newest = rows.agg(F.max("time")).scalar()
+    old = rows.where(F.col("time") < fn.ts_plus(newest, -fn.interval_us("10 days")))
     # the whole table, then its old part again: the second delivery is late
-    rows.coalesce(1).write.parquet(path)
-    ckpt = scratch_path(t.spark, "late-ckpt")
     writer = jobs.lateness_writer(out, "time", "10 days")
-    source = t.spark.readStream.schema(rows.schema).parquet(path)
-    jobs.run_batches(source, writer, ckpt)
-    newest = rows.agg(F.max("time")).scalar()
-    rows.where(F.col("time") < fn.ts_plus(newest, -fn.interval_us("10 days"))).coalesce(1).write.mode("append").parquet(path)
-    jobs.run_batches(source, writer, ckpt)
+    deliver(t, [rows, old], "late", lambda source, ckpt: jobs.run_batches(source, writer, ckpt))
     parts = [t.spark.read.parquet(f"{out}/{d}/batch=*").agg(F.lit(v).alias("verdict"), F.count(F.lit(1)).alias("n")) for d, v in (("accepted", "accepted"), ("quarantine", "quarantined"))]
     return parts[0].unionByName(parts[1])
 
 
 @query("src1_ingest_telemetry_stream", "tele", _INGESTED)
 def _(t):
-    return _ingested(jobs.run_available(ingest.ingest_telemetry(stored_stream(t, telemetry_json(t), "json-in")), "ingested"))
+    return _ingested(streamed(t, [telemetry_json(t)], "ingested", ingest.ingest_telemetry))
 
 
 @query("src5_dedupe_stream", "alarms", "SELECT logid, logdate FROM alarms")
 def _(t):
-    twice = t.alarms.select("logid", "logdate").unionByName(t.alarms.select("logid", "logdate"))
-    return jobs.run_available(jobs.dedupe_stream(stored_stream(t, twice, "twice-in"), ["logdate", "logid"], "logdate", _ALL), "deduped")
-
+    rows = t.alarms.select("logid", "logdate")
+    # delivered with duplicates, and then once more
+    return streamed(t, [rows.unionByName(rows), rows], "deduped", lambda s: jobs.dedupe_stream(s, ["logdate", "logid"], "logdate", _ALL))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import normalize_oid, rnd
+from ..operators.series import over_rows
 
 # Object identifiers of the supported tables.
 CPU_OIDS = ("1.3.6.1.2.1.25.3.3.1.2.", "1.3.6.1.4.1.2636.3.1.13.1.8.")
@@ -159,6 +160,20 @@ def machine_metrics(varbinds: DataFrame) -> DataFrame:
     return rows.groupBy("device_id", "ts").agg(*aggs)
 
 
+# a reading this many polls back weighs less than a double can hold
+_HALVINGS = 64
+
+
+def half_average(df: DataFrame, keys: list[str], order: list[str], x: str, out: str, max_rows: int | None = None) -> DataFrame:
+    """Running half average kept across polls: the mean of the reading and the level before it; a zero level restarts."""
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        past = F.collect_list(x).over(w.rowsBetween(1 - _HALVINGS, 0))
+        return d.withColumn(out, F.aggregate(past, F.lit(0.0), lambda z, v: F.when(z == 0, v).otherwise((z + v) / 2)))
+
+    return over_rows(df, keys, order, _HALVINGS, build, max_rows)
+
+
 def normalize_varbinds(varbinds: DataFrame) -> dict[str, DataFrame]:
     """All metric tables of a walk table."""
     return {

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.timeutil import interval_us
+from ..functions.timeutil import interval_us, time_bucket
 from ..operators.alarms import link_alarms
 from ..operators.infra import COUNTER_MODULUS, MAX_MBPS
 from ..operators.rollup import Spec, reaggregate, rollup
@@ -54,23 +54,27 @@ def stream_rollup(df: DataFrame, ts: str, width: str, watermark: str, keys: list
 def cascade_writer(root: str, ts: str, keys: list[str], spec: Spec, widths: list[str], mode: str = "weighted") -> Callable[[DataFrame, int], None]:
     """foreachBatch function that keeps a chain of rollup tables up to date.
 
-    Raw rows go to a directory named after the batch, so a retried batch replaces itself. Only the days a batch touches
-    are recomputed, each tier from the one below it.
+    Raw rows go to a directory named after the batch, so a retried batch replaces itself. Only the periods (days, or the
+    widest bucket if that is longer) a batch touches are recomputed, each tier from the one below it.
     """
+    period_width = max(["1 day", *widths], key=interval_us)
+
+    def period(c: str) -> Column:
+        return F.to_date(time_bucket(c, period_width)).alias("period")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         raw = f"{root}/raw"
-        batch.withColumn("date", F.to_date(ts)).write.mode("overwrite").partitionBy("date").parquet(f"{raw}/batch={batch_id}")
-        days = spark.read.parquet(f"{raw}/batch={batch_id}").select("date").distinct()
-        rows = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*").join(days, "date", "left_semi")
+        batch.select("*", period(ts)).write.mode("overwrite").partitionBy("period").parquet(f"{raw}/batch={batch_id}")
+        touched = spark.read.parquet(f"{raw}/batch={batch_id}").select("period").distinct()
+        rows = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*").join(touched, "period", "left_semi")
         tier = rollup(rows, ts, widths[0], keys, spec)
         for i, width in enumerate(widths):
             if i:
                 tier = reaggregate(tier, width, keys, spec, mode)
             target = f"{root}/{width.replace(' ', '_')}"
-            tier.withColumn("date", F.to_date("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
-            tier = spark.read.parquet(target).join(days, "date", "left_semi").drop("date")
+            tier.select("*", period("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(target)
+            tier = spark.read.parquet(target).join(touched, "period", "left_semi").drop("period")
 
     return write
 
