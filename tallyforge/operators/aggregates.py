@@ -90,9 +90,8 @@ def union_events(*dfs: DataFrame) -> DataFrame:
 
 def with_fallback_row(df: DataFrame, fallback: DataFrame) -> DataFrame:
     """df, or the fallback row when df is empty."""
-    probe = df.limit(1).select(F.lit(1).alias("_one"))
-    spare = fallback.withColumn("_one", F.lit(1)).join(probe, "_one", "left_anti").drop("_one")
-    return df.unionByName(spare, allowMissingColumns=True)
+    found = df.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.unionByName(fallback.where(found == 0), allowMissingColumns=True)
 
 
 def distinct_values(df: DataFrame, col: str, where: Column | None = None) -> DataFrame:
