@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.numbers import rnd
 from ..functions.timeutil import interval_us, time_bucket
 from ..operators.alarms import link_alarms
 from ..operators.infra import COUNTER_MODULUS, MAX_MBPS
@@ -143,7 +144,7 @@ def counter_rate_stream(counters: DataFrame) -> DataFrame:
             if prev is not None and r.status == 1:
                 before, dt = [int(prev[0]), int(prev[1])], (t - prev[2]) / 1e6
                 if max(before) > 0 and dt > 0.5:
-                    mbps = [round((c - b) % modulus * 8 / (dt * 1e6), 2) for c, b in zip(cur, before)]
+                    mbps = [(c - b) % modulus * 8 / (dt * 1e6) for c, b in zip(cur, before)]
                     rates = [m if m <= MAX_MBPS else 0.0 for m in mbps]
             prev = (str(cur[0]), str(cur[1]), int(t))
             rows.append((r.device_id, r.name, r.ts, rates[0], rates[1], "UP" if r.status == 1 else "DOWN"))
@@ -151,10 +152,12 @@ def counter_rate_stream(counters: DataFrame) -> DataFrame:
             state.update(prev)
         yield pd.DataFrame(rows, columns=["device_id", "iface_name", "ts", "rx_mbps", "tx_mbps", "status"])
 
-    return counters.groupBy("device_id", "iface").applyInPandasWithState(
+    rates = counters.groupBy("device_id", "iface").applyInPandasWithState(
         step, "device_id string, iface_name string, ts timestamp, rx_mbps double, tx_mbps double, status string",
         "rx string, tx string, us long", "append", GroupStateTimeout.NoTimeout,
     )
+    # rounded as the batch operator rounds
+    return rates.withColumns({c: rnd(c, 2) for c in ("rx_mbps", "tx_mbps")})
 
 
 def carry_forward_stream(df: DataFrame, key: str, ts: str, tie: str, cols: list[str]) -> DataFrame:
