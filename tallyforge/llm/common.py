@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -79,3 +79,20 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = up
     moved = root != np.arange(len(nodes))
     return nodes[moved], nodes[root[moved]]
+
+
+def keyed(df: DataFrame, *tie: str) -> DataFrame:
+    """`df` with a key for each row, repeated rows too: __h (hash of the text) and __turn among rows of one id and text.
+
+    Decisions made on a narrow table find their rows again by (doc_id, __h, __turn).
+    """
+    w = Window.partitionBy("doc_id", "__h").orderBy(*[F.col(f"`{c}`") for c in tie] or [F.lit(0)])
+    df = df if "__h" in df.columns else df.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    return df.withColumn("__turn", F.row_number().over(w))
+
+
+def rejoined(docs: DataFrame, decided: DataFrame, *tie: str) -> DataFrame:
+    """Rows of `docs` beside the decisions of `decided`, which has doc_id, __h and __turn; both by the same tie columns."""
+    d = decided.withColumnsRenamed({"doc_id": "__id", "__h": "__dh", "__turn": "__dt"})
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__dh")) & (F.col("__turn") == F.col("__dt"))
+    return keyed(docs, *tie).join(d, on).drop("__id", "__dh", "__dt", "__h", "__turn")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .mixing import mixture
+from .sharding import shard_plan
 from .simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +22,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = shard_plan(table(spark, sf_dir, "documents"), n_shards=40)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
@@ -51,3 +59,28 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) A
        sha256(coalesce(items.items, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixture(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+ORACLES["op9_mixing"] = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM per),
+bounds AS (SELECT *, source_size * CAST(2 AS DOUBLE) AS most, source_size * CAST(2 AS DOUBLE) / w AS ratio FROM weighed),
+levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+           FROM bounds WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+final AS (SELECT max(level) FILTER (level <= ratio) AS level FROM levels),
+target AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM final) * w, most)) AS target FROM levels),
+cells AS (SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS cell,
+          coalesce(CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:4] AS BIGINT) % 64, 0) AS slice FROM d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell DESC, slice, size DESC, doc_id) AS k FROM cells),
+shifted AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r,
+            CAST('0x' || md5('0|' || coalesce(ranked.source, ''))[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u
+            FROM ranked JOIN target ON ranked.source IS NOT DISTINCT FROM target.source)
+SELECT doc_id, size, source_size, target, CAST((floor(k * r + u) - floor((k - 1) * r + u)) * size AS BIGINT) AS taken FROM shifted
+"""
