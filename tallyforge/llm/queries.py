@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 from .decontaminate import contamination
 from .mixing import mixture
 from .sharding import shard_plan
 from .simhash import simhash_components
+from .toxicity import fit as fit_toxicity
+from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +86,10 @@ shifted AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size >
             FROM ranked JOIN target ON ranked.source IS NOT DISTINCT FROM target.source)
 SELECT doc_id, size, source_size, target, CAST((floor(k * r + u) - floor((k - 1) * r + u)) * size AS BIGINT) AS taken FROM shifted
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "toxic"))
+    return toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
