@@ -130,7 +130,9 @@ def _samples(segments: dict[bytes, float]):
 
 
 def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
-    """A dictionary's bytes; too few samples to train on serve as they are."""
+    """A dictionary's bytes; too few samples to train on serve as they are. The trainer looks at the first samples most,
+    so they come in the order of a hash."""
+    samples = sorted(samples, key=xxhash.xxh64_intdigest)
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL, **how).as_bytes()
     except zstandard.ZstdError:
@@ -208,7 +210,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Distance:
     training, rest = sample.where("shiftright(h, 7) % 2 = 0"), sample.where("shiftright(h, 7) % 2 <> 0")
     found = training.mapInArrow(_samples(_toxic_segments(training)), "toxic int, sample binary").collect()
     ordinary = _trained(ORDINARY_BYTES, [bytes(r.sample) for r in found if not r.toxic])
-    toxic = _trained(TOXIC_BYTES, sorted(bytes(r.sample) for r in found if r.toxic), k=24, d=6)
+    toxic = _trained(TOXIC_BYTES, [bytes(r.sample) for r in found if r.toxic], k=24, d=6)
     model = Distance(ordinary, toxic)
     rows = rest.mapInArrow(_features(model), "toxic int, x array<double>").collect()
     y = np.array([r.toxic for r in rows], float)
