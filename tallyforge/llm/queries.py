@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 from .decontaminate import contamination
 from .mixing import mixture
+from .quality import fit as fit_quality
+from .quality import quality_scores
 from .sharding import shard_plan
 from .simhash import simhash_components
 from .toxicity import fit as fit_toxicity
@@ -93,3 +95,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"), 3, 1)).select("doc_id", "toxic"))
     return toxicity(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "quality"))
+    return quality_scores(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
