@@ -1,0 +1,151 @@
+"""Cross-entropy difference: how much better a target model predicts a document than a background model does.
+
+Both are byte trigram models over one vocabulary, with the same order and the same Witten-Bell smoothing; the target
+model counts the target documents, the background model all of them. Every trigram of every document is counted: tasks
+count their own texts, the sums meet by trigram. There are at most 2^24 trigrams whatever the corpus, and the tables
+hold only those that occur, so the models may be sent to every task.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import doc_ranges, string_buffers, texts, written
+
+_PIECE = 1 << 19
+_ALL = 1 << 24
+
+
+def _trigrams(data: np.ndarray, a: int, b: int, begins: np.ndarray) -> np.ndarray:
+    """Codes of the trigrams that end at bytes a..b-1; a text (they begin at `begins`) is preceded by two zero bytes."""
+    code = data[a:b].astype(np.int64)
+    for back in (1, 2):
+        before = np.zeros(b - a, np.int64)
+        lo = max(a - back, 0)
+        before[lo - a + back :] = data[lo : b - back]
+        for j in range(back):
+            at = begins + j - a
+            before[at[(at >= 0) & (at < b - a)]] = 0
+        code += before << (8 * back)
+    return code
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, last row, trigram codes) of whole short texts together, or of a piece of one long text."""
+    data, offsets = string_buffers(batch.column("text"))
+    for lo, hi in doc_ranges(offsets, _PIECE):
+        # an empty text begins where the next one does
+        begins = offsets[lo:hi]
+        for a in range(int(offsets[lo]), int(offsets[hi]), _PIECE):
+            yield lo, hi, _trigrams(data, a, min(a + _PIECE, int(offsets[hi])), begins)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigram counts of a task's target texts and of all its texts. The arrays take memory only where trigrams occur."""
+    target, every = np.zeros(_ALL, np.int64), np.zeros(_ALL, np.int64)
+    for batch in batches:
+        offsets = string_buffers(batch.column("text"))[1]
+        chosen = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, codes in _pieces(batch):
+            np.add.at(every, codes, 1)
+            picked = chosen[lo:hi]
+            if picked.all():
+                np.add.at(target, codes, 1)
+            elif picked.any():
+                np.add.at(target, codes[np.repeat(picked, np.diff(offsets[lo : hi + 1]))], 1)
+    at = np.flatnonzero(every)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(target[at]), pa.array(every[at])], ["code", "target", "background"])
+
+
+@dataclass
+class Model:
+    """Losses (in nats) of the trigrams that occur, and what unseen ones fall back to."""
+
+    seen: np.ndarray
+    back_off: np.ndarray
+    bigram: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, counts: np.ndarray, vocabulary: int) -> Model:
+        """Witten-Bell: c(uvw) + T(uv) p(w|v) over c(uv) + T(uv), T being the number of different bytes after uv."""
+        counts = counts.astype(float)
+        n1 = np.bincount(codes & 255, counts, 256)
+        p1 = (n1 + (n1 > 0).sum() / vocabulary + 1e-9) / (n1.sum() + (n1 > 0).sum() + 256e-9)
+        n2 = np.bincount(codes & 65535, counts, 65536).reshape(256, 256)
+        kinds = (n2 > 0).sum(axis=1)
+        p2 = (n2 + kinds[:, None] * p1) / np.maximum(n2.sum(axis=1) + kinds, 1)[:, None]
+        p2[kinds == 0] = p1
+        context = codes >> 8
+        total = np.bincount(context, counts, 65536)
+        kinds = np.bincount(context, counts > 0, 65536)
+        share = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+        p2 = p2.ravel()
+        p3 = counts / np.maximum(total + kinds, 1)[context] + share[context] * p2[codes & 65535]
+        return cls(-np.log(p3).astype(np.float32), -np.log(share).astype(np.float32), -np.log(p2).astype(np.float32))
+
+
+@dataclass
+class Pair:
+    """Both models over one list of trigrams."""
+
+    codes: np.ndarray
+    target: Model
+    background: Model
+
+    def open(self) -> Pair:
+        self._place = np.zeros(_ALL, np.int32)
+        self._place[self.codes] = np.arange(1, len(self.codes) + 1)
+        self._loss = [np.concatenate([[0], m.seen]).astype(np.float32) for m in (self.target, self.background)]
+        return self
+
+    def losses(self, codes: np.ndarray) -> list[np.ndarray]:
+        place = self._place[codes]
+        new = np.flatnonzero(place == 0)
+        out = []
+        for m, table in zip((self.target, self.background), self._loss):
+            loss = table[place].astype(float)
+            loss[new] = m.back_off[codes[new] >> 8] + m.bigram[codes[new] & 65535]
+            out.append(loss)
+        return out
+
+
+def _scores(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = shared.value.open()
+        for batch in batches:
+            sizes = np.diff(string_buffers(batch.column("text"))[1])
+            sums = np.zeros((2, len(batch)))
+            for lo, hi, codes in _pieces(batch):
+                rows = np.repeat(np.arange(lo, hi), sizes[lo:hi]) if hi > lo + 1 else np.full(len(codes), lo)
+                for k, loss in enumerate(pair.losses(codes)):
+                    sums[k, lo:hi] += np.bincount(rows - lo, loss, hi - lo)
+            mean = sums / np.maximum(sizes, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return run
+
+
+def fit(docs: DataFrame, target_ids: DataFrame) -> Pair:
+    """Models of the documents named in `target_ids` (doc_id) and of all of `docs`."""
+    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True))
+    marked = texts(docs).join(ids, F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    counts = marked.mapInArrow(_counts, "code int, target long, background long").groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    rows = written(counts, "trigrams").orderBy("code").toArrow()
+    codes, target, background = (rows.column(c).to_numpy().astype(np.int64) for c in ("code", "target", "background"))
+    vocabulary = len(np.unique(codes & 255)) + 1
+    return Pair(codes, Model.of(codes, target, vocabulary), Model.of(codes, background, vocabulary))
+
+
+def cross_entropy_difference(docs: DataFrame, pair: Pair) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row; tokens are bytes, losses are means in nats.
+
+    score is target_loss - background_loss: the lower, the more a document is like the target. Null and empty texts have
+    no token and all losses 0. Without a target document its model is uniform over the vocabulary.
+    """
+    return texts(docs).mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(pair)), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 from .decontaminate import contamination
+from .lm import cross_entropy_difference
+from .lm import fit as fit_lm
 from .mixing import mixture
 from .quality import fit as fit_quality
 from .quality import quality_scores
@@ -102,3 +104,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "quality"))
     return quality_scores(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good; background: all documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return cross_entropy_difference(docs, fit_lm(docs, labels.where("quality = 1").select("doc_id")))
