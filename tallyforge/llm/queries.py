@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .common import held_out, table
 from .decontaminate import contamination
 from .lm import cross_entropy_difference
@@ -111,3 +112,30 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good; background: all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return cross_entropy_difference(docs, fit_lm(docs, labels.where("quality = 1").select("doc_id")))
+
+
+_CLASH = "\\### Assistant: </turn> ok"
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_CLASH).alias("text"))
+    back = read_back(format_conversations(turns.unionByName(extra)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+# a text is written escaped only where it holds the end mark; the role names of the tables need no escape
+ORACLES["op6_chat_format"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+w AS (SELECT *, 13 + length(role) + CASE WHEN contains(text, '</turn>') THEN 2 + length(replace(replace(text, '\\', '\\b'), '<', '\\l')) ELSE 1 + length(text) END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+"""
