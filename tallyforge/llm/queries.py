@@ -19,6 +19,7 @@ from .sharding import shard_plan
 from .simhash import simhash_components
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
+from .vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +140,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM w GROUP BY conv_id
 """
+
+
+@query
+def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
