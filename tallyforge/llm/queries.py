@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
-from .common import held_out, table
+from .common import held_out, table, texts
+from .counting import apply_edits, build_trees, drill_edits
 from .decontaminate import contamination
 from .lm import cross_entropy_difference
 from .lm import fit as fit_lm
@@ -145,3 +146,22 @@ FROM w GROUP BY conv_id
 @query
 def op7_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after the same four kinds of edit, the second count from the edited tree."""
+    trees = build_trees(texts(table(spark, sf_dir, "documents"))).withColumn("__edits", drill_edits(F.col("text"), F.col("doc_id")))
+    after = apply_edits(trees.withColumn("n_tokens", F.col("__n_tokens")))
+    return after.select("doc_id", "n_tokens", F.col("__n_tokens").alias("n_tokens_edited"), F.col("__n_pieces").alias("n_pieces"), F.col("__n_encoded").alias("n_encoded"))
+
+
+# every pair is compared
+ORACLES["op7_embedding_neardup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
+"""
