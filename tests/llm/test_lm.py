@@ -1,0 +1,79 @@
+import math
+import random
+from collections import Counter
+
+from frames import docs, no_docs, odd_docs, words
+
+from tallyforge.llm.lm import cross_entropy_difference, fit
+
+
+def losses(texts, vocabulary):
+    c3, c2, c1, after3, after2, n3, n2 = Counter(), Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        b = b"\0\0" + (t or "").encode()
+        for i in range(2, len(b)):
+            c3[b[i - 2 : i + 1]] += 1
+    for k, n in c3.items():
+        c2[k[1:]] += n
+        c1[k[2:]] += n
+        n3[k[:2]] += n
+        after3[k[:2]] += 1
+    for k, n in c2.items():
+        n2[k[:1]] += n
+        after2[k[:1]] += 1
+    total, kinds = sum(c1.values()), len(c1)
+
+    def p1(w):
+        return (c1[w] + kinds / vocabulary + 1e-9) / (total + kinds + 256e-9)
+
+    def p2(v, w):
+        return (c2[v + w] + after2[v] * p1(w)) / (n2[v] + after2[v]) if n2[v] else p1(w)
+
+    def loss(text):
+        b = b"\0\0" + text.encode()
+        out = 0.0
+        for i in range(2, len(b)):
+            u, v, w = b[i - 2 : i - 1], b[i - 1 : i], b[i : i + 1]
+            p = (c3[u + v + w] + after3[u + v] * p2(v, w)) / (n3[u + v] + after3[u + v]) if n3[u + v] else p2(v, w)
+            out -= math.log(p)
+        return out / max(1, len(b) - 2)
+
+    return loss
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(51)
+    texts = [words(rng, rng.randint(0, 30)) for _ in range(60)] + ["### && ###", "", None, "É中"]
+    target = spark.createDataFrame([(i,) for i in range(0, 60, 3)] + [(3,), (None,), (999,)], "doc_id long")
+    vocabulary = len({b for t in texts for b in (t or "").encode()}) + 1
+    near, far = losses([texts[i] for i in range(0, 60, 3)], vocabulary), losses(texts, vocabulary)
+    d = docs(spark, texts)
+    for r in cross_entropy_difference(d, fit(d, target)).collect():
+        t = texts[r.doc_id] or ""
+        assert r.n_tokens == len(t.encode())
+        if t:
+            assert abs(r.target_loss - near(t)) < 1e-4 and abs(r.background_loss - far(t)) < 1e-4 and abs(r.score - (near(t) - far(t))) < 1e-4
+        else:
+            assert r.score == 0
+
+
+def test_pieces_of_long_texts_make_one_text(spark, monkeypatch):
+    from tallyforge.llm import lm
+
+    rng = random.Random(53)
+    d = docs(spark, [words(rng, 300), "", words(rng, 3), words(rng, 200)])
+    target = spark.createDataFrame([(0,)], "doc_id long")
+    whole = {r.doc_id: r.score for r in cross_entropy_difference(d, fit(d, target)).collect()}
+    monkeypatch.setattr(lm, "_PIECE", 64)
+    pair = lm.fit(d, target)
+    parts = {r.doc_id: r.score for r in lm.cross_entropy_difference(d, pair).collect()}
+    assert all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
+
+
+def test_odd_rows_and_empty_tables(spark):
+    d, none = odd_docs(spark), spark.createDataFrame([], "doc_id long")
+    rows = cross_entropy_difference(d, fit(d, none)).collect()
+    assert len(rows) == 13 and all(math.isfinite(r.score) for r in rows)
+    empty = no_docs(spark)
+    assert cross_entropy_difference(empty, fit(empty, none)).count() == 0
+    assert all(math.isfinite(r.score) for r in cross_entropy_difference(d, fit(empty, none)).collect())
