@@ -132,8 +132,11 @@ def _scores(shared):
 
 
 def fit(docs: DataFrame, target_ids: DataFrame) -> Pair:
-    """Models of the documents named in `target_ids` (doc_id) and of all of `docs`."""
-    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True))
+    """Models of the documents named in `target_ids` (doc_id) and of all of `docs`.
+
+    The ids grow with the corpus, so they meet the texts by a merge join at every size.
+    """
+    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True)).hint("merge")
     marked = texts(docs).join(ids, F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = marked.mapInArrow(_counts, "code int, target long, background long").groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     rows = written(counts, "trigrams").orderBy("code").toArrow()
