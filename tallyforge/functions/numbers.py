@@ -13,13 +13,18 @@ def _col(c: Column | str) -> Column:
 
 
 def rnd(c: Column | str, digits: int) -> Column:
-    """Round half away from zero on the decimal value, so that summation noise cannot flip a tie."""
-    return F.round(_col(c).cast("decimal(38,6)"), digits).cast("double")
+    """Round half away from zero on the decimal value, so that summation noise cannot flip a tie.
+
+    From 1e15 on a double has no digits left to round, and NaN has none: both stay as they are.
+    """
+    x = _col(c).cast("double")
+    small = F.when(F.abs(x) < 1e15, x)
+    return F.coalesce(F.round(small.cast("decimal(38,10)"), digits).cast("double"), x)
 
 
 def pg_int(c: Column | str) -> Column:
     """Cast to integer by rounding (a plain Spark cast truncates)."""
-    return F.round(_col(c).cast("decimal(38,6)"), 0).cast("int")
+    return rnd(c, 0).cast("int")
 
 
 def pct(x: Column | str, y: Column | str) -> Column:

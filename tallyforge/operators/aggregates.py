@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import time_bucket
-
-
-def bucketed(df: DataFrame, ts: str, width: str, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Group by time bucket and keys."""
-    return df.groupBy(time_bucket(ts, width).alias("bucket"), *keys).agg(*aggs)
-
 
 def regression(df: DataFrame, keys: list[str], y: Column, x: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
@@ -39,9 +32,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     tell which bins hold the wanted ranks; only their values are ordered. `probs` maps output names to probabilities.
     """
     v = F.col(value).cast("double")
+    # NaN sorts after all numbers, in a bin of its own
+    bin_ = F.when(F.isnan(v), F.lit(1 << 62)).otherwise(F.least(F.floor(F.signum(v) * F.log1p(F.abs(v)) * 512), F.lit(1 << 61)))
     counted = (
         df.where(F.col(value).isNotNull())
-        .select(*keys, v.alias("_v"), F.floor(F.signum(v) * F.log1p(F.abs(v)) * 512).alias("_bin"))
+        .select(*keys, v.alias("_v"), bin_.alias("_bin"))
         .groupBy(*keys, "_bin", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -72,7 +67,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         for side, r in zip("lh", ranks(p)):
             picks.append(F.max(F.when((r >= F.col("_from")) & (r < F.col("_to")), F.col("_v"))).alias(f"_{side}{i}"))
         frac = F.lit(p) * F.col("_last") - F.floor(F.lit(p) * F.col("_last"))
-        out.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * frac).alias(name))
+        between = F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * frac
+        out.append(F.when(frac == 0, F.col(f"_l{i}")).otherwise(between).alias(name))
     return values.groupBy(*keys).agg(F.max("_last").alias("_last"), *picks).select(*keys, (F.col("_last") + 1).alias("n"), *out)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -15,10 +16,9 @@ from ..functions import (
 from ..functions.labels import category_owner
 from ..functions.timeutil import interval_us
 from ..schema import PE_COLS
-from ..session import scratch_path
 from .aggregates import with_fallback_row
 from .joins import asof_nearest, bounded_join
-from .series import DEFAULT_MAX_ROWS, carry_forward, fold_sorted, has_hot_key, largest_group, over_rows, running_sums
+from .series import carry_forward, fold_sorted, over_rows, running_sums
 from .spc import NO_RECIPE_SETTING
 
 
@@ -187,76 +187,36 @@ def _island_rows(alarms: DataFrame, keys: list[str], ts: str, tie: str, cooldown
 def debounce(alarms: DataFrame, keys: list[str] | None = None, cooldown: str = "12 minutes", ts: str = "logdate", tie: str = "logid", max_rows: int | None = None) -> DataFrame:
     """Mark the alarms that fire: an alarm is suppressed within `cooldown` of the last one of its key that fired.
 
-    Histories of at most `max_rows` alarms are folded in order. In a longer one, quiet periods of a cooldown separate
-    independent stretches, which are folded instead; and where a stretch itself is longer (a flood), each alarm's
-    successor is found by an as-of step and the chain is followed by doubling, so that no task holds the stretch.
+    Quiet periods of a cooldown cut a history into independent stretches, at all sizes; a stretch is folded in order as
+    a stream of batches, with one time carried from batch to batch and one search for each alarm that fires.
     """
     keys = keys or ["equipmentid", "errorcode"]
     us = interval_us(cooldown)
-    if not has_hot_key(alarms, keys, max_rows):
-        return fold_sorted(alarms, keys, [ts, tie], _fold_cooldown(keys, ts, us), "fired boolean")
-    group = [*keys, "_island"]
     rows = _island_rows(alarms, keys, ts, tie, cooldown, max_rows)
-    if largest_group(rows, group) <= (max_rows or DEFAULT_MAX_ROWS):
-        return fold_sorted(rows, group, [ts, tie], _fold_cooldown(group, ts, us), "fired boolean").drop("_island")
-    return _debounce_by_doubling(rows, group, ts, tie, us).drop("_island")
+    group = [*keys, "_island"]
+    return fold_sorted(rows, group, [ts, tie], _fold_cooldown(group, ts, us), "fired boolean").drop("_island")
 
 
 def _fold_cooldown(group: list[str], ts: str, us: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, last = None, 0
+        seen, last = None, None
         for pdf in batches:
-            fired = []
-            for key, t in zip(zip(*[pdf[g] for g in group]), pdf[ts].astype("datetime64[us]").astype("int64").tolist()):
-                hit = key != seen or t - last >= us
-                if hit:
-                    seen, last = key, t
-                fired.append(hit)
+            keys = list(zip(*[pdf[g] for g in group]))
+            cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+            times, fired = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy(), np.zeros(len(pdf), bool)
+            for a, b in zip(cuts, cuts[1:]):
+                if keys[a] != seen:
+                    seen, last = keys[a], None
+                i = a if last is None else a + int(np.searchsorted(times[a:b], last + us))
+                while i < b:
+                    fired[i], last = True, int(times[i])
+                    i = a + int(np.searchsorted(times[a:b], last + us))
             pdf["fired"] = fired
             yield pdf
 
     return fold
 
 
-def _debounce_by_doubling(rows: DataFrame, group: list[str], ts: str, tie: str, us: int) -> DataFrame:
-    """Follow 'first alarm at least one cooldown later' from the head of every stretch, doubling the stride."""
-    spark = rows.sparkSession
-    ids = rows.select(*group, F.col(ts).alias("_t"), F.col(tie).alias("_id"))
-    # successor: within (group, bucket) the first alarm at or after t + cooldown; it lies at most one cooldown further
-    # on, because a stretch has no gap of a cooldown
-    width = us * 16
-    due = F.timestamp_micros(F.unix_micros("_t") + us)
-    asks = ids.select(*group, due.alias("_at"), F.lit(1).alias("_side"), F.col("_t").alias("_ft"), F.col("_id").alias("_fid"))
-    here = F.unix_micros("_t")
-    offers = ids.select(*group, F.col("_t").alias("_at"), F.lit(0).alias("_side"), F.struct("_t", "_id").alias("_r"),
-                        F.explode(F.array_distinct(F.array(F.floor((here - us) / F.lit(width)), F.floor(here / F.lit(width))))).alias("_b"))
-    asks = asks.withColumn("_b", F.floor(F.unix_micros("_at") / F.lit(width)))
-    both = asks.unionByName(offers, allowMissingColumns=True)
-    w = Window.partitionBy(*group, "_b").orderBy(F.desc("_at"), F.asc("_side"), F.desc(F.col("_r")["_id"])).rowsBetween(Window.unboundedPreceding, 0)
-    step = (
-        both.withColumn("_to", F.last("_r", ignorenulls=True).over(w)).where(F.col("_side") == 1)
-        .select(*group, F.struct(F.col("_ft").alias("_t"), F.col("_fid").alias("_id")).alias("_from"), "_to")
-        .where(F.col("_to").isNotNull())
-    )
-    reached = ids.groupBy(*group).agg(F.min(F.struct("_t", "_id")).alias("_from"))
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(spark, label)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    step, reached = keep(step, "debounce-step"), keep(reached, "debounce-reached")
-    while not step.isEmpty():
-        hop = reached.join(step, [*group, "_from"]).select(*group, F.col("_to").alias("_from"))
-        reached = keep(reached.unionByName(hop), "debounce-reached")
-        nxt = step.select(*group, F.col("_from").alias("_to"), F.col("_to").alias("_end"))
-        far = step.select(*group, F.col("_from"), F.col("_to"))
-        # compose the step with itself
-        step = keep(
-            far.join(nxt, [*group, "_to"]).select(*group, "_from", F.col("_end").alias("_to")), "debounce-step"
-        )
-    hits = reached.select(*group, F.col("_from._t").alias(ts), F.col("_from._id").alias(tie), F.lit(True).alias("fired"))
-    return rows.join(hits, [*group, ts, tie], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
-
 
 def debounce_state(marked: DataFrame, keys: list[str] | None = None, ts: str = "logdate") -> DataFrame:
     """first_fired, last_fired and fire_count per key, of the alarms that fired."""
@@ -380,7 +340,3 @@ def inhibit(alerts: DataFrame, rules: list[tuple[str, str, list[str]]] = INHIBIT
             match = match & s
         out = out.join(sources, match, "left_anti")
     return out
-
-
-def daily_response(lifecycle: DataFrame, lo: datetime | str, hi: datetime | str) -> DataFrame:
-    return response_times(time_range(lifecycle, "logdate", lo, hi), None, None, "1 day")

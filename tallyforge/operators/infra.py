@@ -69,8 +69,7 @@ def resource_forecast(
         F.coalesce(F.regr_slope("used", "day_num"), F.lit(0.0)).alias("slope"), F.max("used").alias("current"),
         F.max("total").alias("capacity"), F.count(F.lit(1)).alias("data_points"),
     ).where(F.col("data_points") >= min_pts)
-    # a slope that is only rounding noise is no growth
-    slope = rnd("slope", 6)
+    slope = F.col("slope")
     left = F.least((F.col("capacity") - F.col("current")) / F.nullif(slope, F.lit(0.0)), F.lit(float(horizon)))
     full = F.col("capacity") <= F.col("current")
     end = F.timestamp_micros(F.unix_micros(ts_lit(as_of)) + (left * 86_400_000_000).cast("long"))
@@ -210,43 +209,80 @@ COUNTER_MODULUS = "18446744073709551616"
 MAX_MBPS = 40000.0
 
 
-def counter_rate(counters: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Receive and transmit Mbps per interface from octet counters.
+def _octets(direction: str) -> Column:
+    """The 64-bit counter where it has counted, else the 32-bit one."""
+    wide = F.coalesce(F.col(f"{direction}64"), F.lit(0))
+    return F.when(wide > 0, wide).otherwise(F.coalesce(F.col(f"{direction}32"), F.lit(0))).cast("decimal(38,0)")
 
-    64-bit counters win over 32-bit ones; a negative step wraps at 2^64; a first poll, a down interface, a step of
-    half a second or less and a rate beyond 40 Gb/s give 0; unnamed interfaces are dropped.
-    """
-    named = counters.where(F.coalesce(F.col("name"), F.lit("")) != "")
-    wide = "decimal(38,0)"
-    sides = {d: F.when(F.coalesce(F.col(f"{d}64"), F.lit(0)) > 0, F.col(f"{d}64")).otherwise(F.coalesce(F.col(f"{d}32"), F.lit(0))).cast(wide) for d in ("rx", "tx")}
 
-    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        return df.withColumns(
-            {"_prx": F.lag("_rx").over(w), "_ptx": F.lag("_tx").over(w), "_dt": (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / F.lit(1e6)}
-        )
+def with_octets(counters: DataFrame) -> DataFrame:
+    """Counter rows with _rx and _tx; a table without error or drop counts gets empty ones."""
+    extra = {c: F.lit(None).cast("long") for c in ("errors", "drops") if c not in counters.columns}
+    return counters.withColumns({"_rx": _octets("rx"), "_tx": _octets("tx"), **extra})
+
 
-    src = named.withColumns({f"_{d}": c for d, c in sides.items()})
-    out = over_rows(src, ["device_id", "iface"], ["ts"], 1, build, max_rows)
-    live = (F.col("status") == 1) & ((F.col("_prx") > 0) | (F.col("_ptx") > 0)) & (F.col("_dt") > 0.5)
+def rates_between_polls(polled: DataFrame) -> DataFrame:
+    """Rates of rows that carry their counters before (_prx, _ptx) and the seconds since that poll (_dt).
+
+    A negative step wraps at 2^64. Without earlier counters, on a down interface, after half a second or less and
+    beyond 40 Gb/s the rate is 0; unnamed interfaces are not reported.
+    """
+    up = F.col("status") == 1
+    known = (F.greatest("_prx", "_ptx") > 0) & (F.col("_dt") > 0.5)
 
     def rate(d: str) -> Column:
         step = F.col(f"_{d}") - F.col(f"_p{d}")
-        step = F.when(step < 0, step + F.lit(COUNTER_MODULUS).cast(wide)).otherwise(step)
+        step = F.when(step < 0, step + F.lit(COUNTER_MODULUS).cast("decimal(38,0)")).otherwise(step)
         mbps = step.cast("double") * 8 / (F.col("_dt") * 1e6)
-        return F.when(live & (mbps <= MAX_MBPS), rnd(F.least(mbps, F.lit(MAX_MBPS * 2)), 2)).otherwise(0.0)
+        return F.when(up & known & (mbps <= MAX_MBPS), rnd(mbps, 2)).otherwise(0.0)
 
-    return out.select(
+    return polled.where(F.coalesce(F.col("name"), F.lit("")) != "").select(
         "device_id", F.col("name").alias("iface_name"), "ts", rate("rx").alias("rx_mbps"), rate("tx").alias("tx_mbps"),
-        F.when(F.col("status") == 1, "UP").otherwise("DOWN").alias("status"),
+        F.col("errors").cast("long").alias("errors"), F.col("drops").cast("long").alias("drops"), F.when(up, "UP").otherwise("DOWN").alias("status"),
     )
 
 
+def counter_rate(counters: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Receive and transmit Mbps per interface from octet counters, with error and drop counts.
+
+    The poll before is the device's last one, whatever interfaces it held; an interface that it did not hold has no
+    earlier counters.
+    """
+    rows = with_octets(counters)
+
+    def poll_before(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumn("_before", F.lag("ts").over(w))
+
+    polls = over_rows(rows.select("device_id", "ts").distinct(), ["device_id"], ["ts"], 1, poll_before, max_rows)
+
+    def row_before(df: DataFrame, w: WindowSpec) -> DataFrame:
+        return df.withColumns({"_last": F.lag("ts").over(w), "_prx": F.lag("_rx").over(w), "_ptx": F.lag("_tx").over(w)})
+
+    held = over_rows(rows, ["device_id", "iface"], ["ts"], 1, row_before, max_rows).join(polls, ["device_id", "ts"])
+    same = F.col("_last") == F.col("_before")
+    return rates_between_polls(held.withColumns({
+        "_prx": F.when(same, F.col("_prx")), "_ptx": F.when(same, F.col("_ptx")), "_dt": (F.unix_micros("ts") - F.unix_micros("_before")) / F.lit(1e6),
+    }))
+
+
+def counted_up(readings: Column) -> Column:
+    """What a counter rose by over an array of (time, value): the positive steps, and after a reset the new value."""
+    ordered = F.array_sort(F.filter(readings, lambda r: r["value"].isNotNull()))
+    start = F.struct(F.lit(0.0).alias("sum"), F.get(ordered, 0)["value"].alias("last"))
+    risen = lambda acc, r: F.struct((acc["sum"] + F.when(r["value"] >= acc["last"], r["value"] - acc["last"]).otherwise(r["value"])).alias("sum"), r["value"].alias("last"))
+    return F.aggregate(ordered, start, risen, lambda acc: acc["sum"])
+
+
+def counter_readings(ts: str, value: str) -> Column:
+    """The (time, value) readings of a group, for `counted_up`; a group is one counter in one bucket."""
+    return F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(value).cast("double").alias("value")))
+
+
 def rate_over(counter: DataFrame, keys: list[str], ts: str, value: str, width: str = "5 minutes") -> DataFrame:
-    """Per-second increase of a counter per bucket: (last - first) / width."""
+    """Per-second increase of a counter within each bucket; a fall is a reset, after which it counts from zero."""
     seconds = interval_us(width) / 1e6
-    return counter.groupBy(*keys, time_bucket(ts, width).alias("bucket")).agg(
-        ((F.max(value) - F.min(value)) / F.lit(seconds)).alias("rate")
-    )
+    grouped = counter.groupBy(*keys, time_bucket(ts, width).alias("bucket")).agg(counter_readings(ts, value).alias("_r"))
+    return grouped.select(*keys, "bucket", (counted_up(F.col("_r")) / F.lit(seconds)).alias("rate"))
 
 
 def rate_degraded(rates: DataFrame, keys: list[str], back: int = 12, share: float = 0.5) -> DataFrame:

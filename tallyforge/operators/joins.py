@@ -60,11 +60,15 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: st
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str, tie: str | None = None) -> DataFrame:
-    """Newest row per key through max_by: partial aggregation before the shuffle, no sort."""
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(ts, tie) if tie else F.col(ts)
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"))
-    return picked.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+    """Newest row per key: the newest time by hash aggregation over two narrow columns, then the rows of that time.
+
+    Only rows that share a key's newest time are ordered, by `tie`. Rows without a time come last, keys may be NULL.
+    """
+    newest = df.groupBy(*keys).agg(F.max(ts).alias("_t")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [df[k].eqNullSafe(newest[f"_k_{k}"]) for k in keys]
+    found = df.join(newest, [*same, df[ts].eqNullSafe(newest["_t"])]).select(*[df[c] for c in df.columns])
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(tie) if tie else F.lit(0))
+    return found.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn")
 
 
 def join_on_device(left: DataFrame, right: DataFrame, key: str, left_order: list[Column], right_order: list[Column], k: int = 100) -> DataFrame:

@@ -1,24 +1,22 @@
 """Ordered computations per key that survive a hot key.
 
-A window partitioned by machine puts one machine's whole history into one task. Here a key whose history exceeds
-`max_rows` is cut into chunks of consecutive rows:
+A window partitioned by machine puts one machine's whole history into one task. Here every history is cut into chunks of
+`max_rows` consecutive rows at most, whatever its size:
 
 * rows are counted per (key, time slice); a running total over the slices gives every row its position in the key's
   history without sorting that history in one place;
 * position // max_rows is the chunk. Frames of a fixed number of rows get the last rows of the previous chunk as a
   halo; running totals get the totals of the earlier chunks as a carry.
 
-When no key is that large (a count over the key columns, skipped for small inputs) the plain window is used: one
-shuffle, same result.
 (key, order) must be unique for reproducible output.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -26,31 +24,9 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import interval_us
 
 DEFAULT_MAX_ROWS = 4_000_000
-# inputs the optimizer estimates below this are not searched for hot keys: one task could hold all of them
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 _CHUNK, _POS, _GROUP = "_chunk", "_pos", "_group"
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Row count of the biggest key; one number reaches the driver."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def estimated_bytes(df: DataFrame) -> float:
-    """The optimizer's size estimate of a plan; unknown counts as unbounded."""
-    try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:  # a remote session does not expose it
-        return math.inf
-
-
-def has_hot_key(df: DataFrame, keys: list[str], max_rows: int | None = None) -> bool:
-    """Whether some key has more rows than one task should order. A given `max_rows` is always checked."""
-    if max_rows is None and estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        return False
-    return largest_group(df, keys) > (max_rows or DEFAULT_MAX_ROWS)
-
-
 def number_rows(df: DataFrame, keys: list[str], order: list[str], slice_width: str = "1 hour") -> DataFrame:
     """Add `_pos`, the 0-based position of each row in its key's history. order[0] must be the timestamp."""
     width = interval_us(slice_width)
@@ -72,29 +48,21 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], slice_width: s
 
 @dataclass(frozen=True)
 class Layout:
-    """Rows with a `_chunk` column; `split` tells whether any key was cut."""
+    """Rows with their position, chunk and group (key and chunk)."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
-    split: bool
     size: int
 
-    @property
-    def part(self) -> list[str]:
-        return [_GROUP] if self.split else list(self.keys)
-
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.part).orderBy(*self.order)
+        return Window.partitionBy(_GROUP).orderBy(*self.order)
 
 
 def lay_out(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None) -> Layout:
     size = max_rows or DEFAULT_MAX_ROWS
-    if not has_hot_key(df, keys, max_rows):
-        return Layout(df, keys, order, False, size)
-    numbered = number_rows(df, keys, order)
-    chunked = numbered.withColumn(_CHUNK, F.floor(F.col(_POS) / size)).withColumn(_GROUP, F.struct(*keys, _CHUNK))
-    return Layout(chunked, keys, order, True, size)
+    chunked = number_rows(df, keys, order).withColumn(_CHUNK, F.floor(F.col(_POS) / size)).withColumn(_GROUP, F.struct(*keys, _CHUNK))
+    return Layout(chunked, keys, order, size)
 
 
 def over_rows(
@@ -107,8 +75,6 @@ def over_rows(
 ) -> DataFrame:
     """Apply `build(df, window)`, whose frames look back at most `back` rows in total."""
     lay = lay_out(df, keys, order, max(max_rows, back + 1) if max_rows else None)
-    if not lay.split:
-        return build(lay.df, lay.window())
     near_end = F.pmod(F.col(_POS), F.lit(lay.size)) >= lay.size - back
     homes = F.when(near_end, F.array(F.col(_CHUNK), F.col(_CHUNK) + 1)).otherwise(F.array(F.col(_CHUNK)))
     haloed = lay.df.withColumn("_part", F.explode(homes))
@@ -134,20 +100,15 @@ def _join_carry(keys: list[str], local: DataFrame, carry: DataFrame) -> DataFram
     return local.join(carry.select(F.struct(*keys, _CHUNK).alias(_GROUP), *extra), _GROUP).drop(_GROUP)
 
 
-def row_positions(df: DataFrame, keys: list[str], order: list[str], max_rows: int | None = None) -> DataFrame:
+def row_positions(df: DataFrame, keys: list[str], order: list[str], slice_width: str = "1 hour") -> DataFrame:
     """1-based `row_no` per key."""
-    lay = lay_out(df, keys, order, max_rows)
-    if lay.split:
-        return lay.df.withColumn("row_no", (F.col(_POS) + 1).cast("int")).drop(_CHUNK, _POS, _GROUP)
-    return lay.df.withColumn("row_no", F.row_number().over(lay.window()))
+    return number_rows(df, keys, order, slice_width).withColumn("row_no", (F.col(_POS) + 1).cast("int")).drop(_POS)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], max_rows: int | None = None) -> DataFrame:
     """Running totals (current row included) per key."""
     lay = lay_out(df, keys, order, max_rows)
     to_here = lay.window().rowsBetween(Window.unboundedPreceding, 0)
-    if not lay.split:
-        return lay.df.withColumns({n: F.sum(c).over(to_here) for n, c in sums.items()})
     src = lay.df.withColumns({f"_x_{n}": c for n, c in sums.items()})
     local = src.withColumns({n: F.sum(f"_x_{n}").over(to_here) for n in sums})
 
@@ -164,8 +125,6 @@ def expanding_stats(df: DataFrame, keys: list[str], order: list[str], x: str, ma
     """`mu` and `sigma` over all earlier rows of the key, the current row excluded."""
     lay = lay_out(df, keys, order, max_rows)
     w = lay.window().rowsBetween(Window.unboundedPreceding, -1)
-    if not lay.split:
-        return lay.df.withColumns({"mu": F.avg(x).over(w), "sigma": F.stddev_samp(x).over(w)})
     local = lay.df.withColumns(
         {"_n": F.count(x).over(w), "_m": F.avg(x).over(w), "_q": F.coalesce(F.var_pop(x).over(w) * F.count(x).over(w), F.lit(0.0))}
     )
@@ -200,8 +159,6 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     lay = lay_out(df, keys, order, max_rows)
     w = lay.window().rowsBetween(Window.unboundedPreceding, 0)
     local = lay.df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-    if not lay.split:
-        return local
 
     def carry(chunks: DataFrame) -> DataFrame:
         b = _before(keys)
@@ -221,11 +178,6 @@ def one_sided_sums(df: DataFrame, keys: list[str], order: list[str], up: Column,
     local = local.withColumns({"_su": F.sum("_u").over(w), "_sd": F.sum("_d").over(w)})
     local = local.withColumns({"_mu": F.min("_su").over(w), "_md": F.min("_sd").over(w)})
     zero = F.lit(0.0)
-    if not lay.split:
-        out = local.withColumns(
-            {"cusum_pos": F.col("_su") - F.least(zero, F.col("_mu")), "cusum_neg": F.col("_sd") - F.least(zero, F.col("_md"))}
-        )
-        return out.drop("_u", "_d", "_su", "_sd", "_mu", "_md")
 
     def carry(chunks: DataFrame) -> DataFrame:
         b = _before(keys)
@@ -257,31 +209,41 @@ def fold_sorted(
     return ordered.mapInPandas(fold, schema=f"{fields}, {added}")
 
 
-def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: float, out_col: str = "ewma", max_rows: int | None = None) -> DataFrame:
-    """z_t = lam x_t + (1-lam) z_{t-1}, z_0 = x_0 per key.
+def level_after(v: np.ndarray, z: float | None, lam: float) -> np.ndarray:
+    """z_t = lam v_t + (1 - lam) z_{t-1} along `v`, from the level `z` before it (None: the first value is the level)."""
+    whole = v if z is None else np.concatenate([[z], v])
+    out = pd.Series(whole).ewm(alpha=lam, adjust=False).mean().to_numpy()
+    return out if z is None else out[1:]
 
-    A key that was cut into chunks is smoothed chunk by chunk; a chunk's true level then differs from its own by a term
-    that decays geometrically from the level the previous chunks ended on.
-    """
-    lay = lay_out(df, keys, order, max_rows)
-    keep = 1.0 - lam
-    group = [*keys, _CHUNK] if lay.split else keys
-    rows = lay.df.drop(_GROUP)
 
-    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, z = None, 0.0
+def fold_levels(group: list[str], x: str, out_col: str, along: Callable[[np.ndarray, float | None], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A fold for `fold_sorted`: `along(values, level before)` for each stretch of one group in a batch."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, z = None, None
         for pdf in batches:
-            out = []
-            for key, v in zip(zip(*[pdf[g] for g in group]), pdf[x].tolist()):
-                z = lam * v + keep * z if key == seen else v
-                seen = key
-                out.append(z)
+            keys = list(zip(*[pdf[g] for g in group]))
+            cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+            values, out = pdf[x].to_numpy(dtype=float, na_value=np.nan), np.empty(len(pdf))
+            for a, b in zip(cuts, cuts[1:]):
+                out[a:b] = along(values[a:b], z if keys[a] == seen else None)
+                seen, z = keys[a], out[b - 1]
             pdf[out_col] = out
             yield pdf
 
-    local = fold_sorted(rows, group, order, smooth, f"`{out_col}` double")
-    if not lay.split:
-        return local
+    return fold
+
+
+def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: float, out_col: str = "ewma", max_rows: int | None = None) -> DataFrame:
+    """z_t = lam x_t + (1-lam) z_{t-1}, z_0 = x_0 per key.
+
+    Each chunk is smoothed by itself; its true level then differs from its own by a term that decays geometrically from
+    the level the previous chunks ended on.
+    """
+    lay = lay_out(df, keys, order, max_rows)
+    keep = 1.0 - lam
+    fold = fold_levels([*keys, _CHUNK], x, out_col, lambda v, z: level_after(v, z, lam))
+    local = fold_sorted(lay.df.drop(_GROUP), [*keys, _CHUNK], order, fold, f"`{out_col}` double")
     local = local.withColumn(_GROUP, F.struct(*keys, _CHUNK))
 
     size = lay.size
@@ -290,12 +252,10 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: floa
     ends = lay.df.groupBy(*keys, _CHUNK).agg(
         F.sum(weight * F.col(x)).alias("_end"), F.max(F.when(at == 0, F.col(x))).alias("_first")
     )
-    # chunks further back than this no longer move a double
-    reach = max(1, math.ceil(45.0 / (-size * math.log(keep)))) + 1 if keep > 0 else 1
-    b = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(-reach, -1)
+    # the chunk table of a key is short: one row for each `size` rows of its history
     step = F.lit(keep**size)
     level = F.aggregate(
-        F.collect_list(F.struct("_end", "_first")).over(b),
+        F.collect_list(F.struct("_end", "_first")).over(_before(keys)),
         F.lit(None).cast("double"),
         lambda acc, c: F.when(acc.isNull(), c["_end"]).otherwise(c["_end"] + step * (acc - c["_first"])),
     )
@@ -304,8 +264,3 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: floa
     fade = F.pow(F.lit(keep), F.pmod(F.col(_POS), F.lit(size)) + 1)
     fixed = F.col(out_col) + F.when(F.col("_in").isNull(), F.lit(0.0)).otherwise(fade * (F.col("_in") - F.col("_first")))
     return joined.withColumn(out_col, fixed).drop(_CHUNK, _POS, "_first", "_in")
-
-
-def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, max_rows: int | None = None) -> DataFrame:
-    """Add `island`: the running count of rows where `starts` holds (a column computed beforehand)."""
-    return running_sums(df, keys, order, {"island": starts.cast("long")}, max_rows)

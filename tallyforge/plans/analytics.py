@@ -196,7 +196,7 @@ def _(t):
 _CTX_COLS = ["temperature", "humidity", "air_vacuum", "scan_speed", "resist_dosage", "pe_1", "je_1", "process", "mo", "board_no", "total_board"]
 _MEASURES = ["temperature", "humidity", "air_vacuum", "scan_speed", "resist_dosage", "pe_1", "je_1"]
 # the alarm's own process and factory must not shadow the telemetry's
-_CTX = "WITH " + cascade_sql(_CTX_COLS).replace("SELECT a.*,", "SELECT a.* EXCLUDE (process),") + (
+_CTX = "WITH " + cascade_sql(_CTX_COLS).replace("SELECT alarms.*,", "SELECT alarms.* EXCLUDE (process),") + (
     ", ctx AS (SELECT d.logdate AS alarm_time, d.equipmentid AS eqp_id, d.errorcode, m.alarm_msg, " + ", ".join(f"d.{c}" for c in _CTX_COLS) + ", "
     + ", ".join(f"{e} AS {n}" for n, e in FLAGS_SQL.items()) + ", d.match_type, m.severity, d.link_basis, d.logid AS alarm_id, d.related_log_id, m.alarm_detail FROM d LEFT JOIN catalog m ON d.errorcode = m.alarm_id)"
 )
@@ -215,14 +215,21 @@ def _(t):
     return rca.alarm_category(t.catalog)
 
 
+def _flag_list(flag_of: str) -> str:
+    """One struct per line of the report: its name, whether a row belongs to it, and whether its flag is up."""
+    return "[" + ", ".join(flag_of.format(name=name, cats=", ".join(repr(c) for c in cats), flag=flag, tele=FLAGS_SQL[flag]) for name, cats, flag in rca.LIFT_LINES) + "]"
+
+
 def _lift_sql(ctx_where: str, tele_where: str) -> str:
-    lines = " UNION ALL ".join(
-        f"SELECT '{name}' AS cat, 100.0 * count(*) FILTER (WHERE {flag}) / NULLIF(count(*), 0) AS pct, count(*) AS n FROM ac WHERE category IN ({', '.join(repr(c) for c in cats)})" for name, cats, flag in rca.LIFT_LINES
-    )
-    base = " UNION ALL ".join(f"SELECT '{name}' AS cat, 100.0 * count(*) FILTER (WHERE {FLAGS_SQL[flag]}) / NULLIF(count(*), 0) AS base FROM tele WHERE {tele_where}" for name, _, flag in rca.LIFT_LINES)
+    seen = _flag_list("{{'line': '{name}', 'own': category IN ({cats}), 'up': coalesce({flag}, false)}}")
+    usual = _flag_list("{{'line': '{name}', 'own': true, 'up': coalesce({tele}, false)}}")
+    share = "100.0 * count(*) FILTER (u.own AND u.up) / NULLIF(count(*) FILTER (u.own), 0)"
     return (
-        f"{_CTX}, ac AS (SELECT c.*, {CATEGORY_SQL.format(c='k.alarm_code')} AS category FROM ctx c JOIN catalog k ON k.alarm_code = c.errorcode WHERE {ctx_where}), cats AS ({lines}), b AS ({base}) "
-        f"SELECT cat AS alarm_category, {r('pct', 1)} AS alarm_window_pct, {r('base', 1)} AS baseline_pct, {r('pct / NULLIF(base, 0)', 2)} AS lift, n AS event_count, CASE WHEN n < 30 THEN 'LOW SAMPLE (n<30)' ELSE 'OK' END AS confidence FROM cats JOIN b USING (cat)"
+        f"{_CTX}, marks AS (SELECT unnest({seen}) AS u FROM (SELECT ctx.*, {CATEGORY_SQL.format(c='errorcode')} AS category FROM ctx WHERE errorcode IN (SELECT alarm_code FROM catalog) AND {ctx_where})), "
+        f"normal AS (SELECT unnest({usual}) AS u FROM tele WHERE {tele_where}), "
+        f"report AS (SELECT line, coalesce(n, 0) AS n, pct, base FROM (SELECT unnest([{', '.join(repr(x[0]) for x in rca.LIFT_LINES)}]) AS line) LEFT JOIN (SELECT u.line AS line, count(*) FILTER (u.own) AS n, {share} AS pct FROM marks GROUP BY 1) USING (line) "
+        f"LEFT JOIN (SELECT u.line AS line, {share} AS base FROM normal GROUP BY 1) USING (line)) "
+        f"SELECT line AS alarm_category, {r('pct', 1)} AS alarm_window_pct, {r('base', 1)} AS baseline_pct, {r('pct / NULLIF(base, 0)', 2)} AS lift, n AS event_count, CASE WHEN n < 30 THEN 'LOW SAMPLE (n<30)' ELSE 'OK' END AS confidence FROM report"
     )
 
 
@@ -240,9 +247,10 @@ def _(t):
 
 @query(
     "al15_machine_snapshot", "tele alarms catalog",
-    "SELECT d.time, d.eqp_id, d.log_id, d.state, d.mo, d.board_id, a.errorcode AS alarm_errorcode, a.errortime AS alarm_errortime, a.logid AS alarm_logid, m.alarm_type, m.alarm_msg, m.alarm_detail FROM tele d LEFT JOIN LATERAL ("
-    "SELECT * FROM alarms l WHERE l.equipmentid = d.eqp_id AND l.logdate BETWEEN d.time - INTERVAL 2 HOUR AND d.time + INTERVAL 2 HOUR ORDER BY abs(epoch_us(l.logdate) - epoch_us(d.time)), l.logdate, l.logid LIMIT 1) a ON true "
-    "LEFT JOIN catalog m ON a.errorcode = m.alarm_code",
+    "WITH pairs AS (SELECT tele.log_id, alarms.logid, row_number() OVER (PARTITION BY tele.log_id ORDER BY abs(epoch_us(logdate) - epoch_us(tele.time)), logdate, alarms.logid) AS place "
+    "FROM alarms JOIN tele ON eqp_id = equipmentid WHERE abs(epoch_us(logdate) - epoch_us(tele.time)) <= 7200000000) "
+    "SELECT tele.time, eqp_id, tele.log_id, state, mo, board_id, errorcode AS alarm_errorcode, errortime AS alarm_errortime, alarms.logid AS alarm_logid, alarm_type, alarm_msg, alarm_detail "
+    "FROM tele LEFT JOIN pairs ON pairs.log_id = tele.log_id AND place = 1 LEFT JOIN alarms ON alarms.logid = pairs.logid LEFT JOIN catalog ON alarm_code = errorcode",
 )
 def _(t):
     out = snapshot.machine_snapshot(t.tele, t.alarms, t.catalog, "2 hours")
@@ -313,12 +321,12 @@ def _(t):
 
 
 def _forecast_sql(used: str, total: str, source: str) -> str:
-    days = f"least((cap - cur) / NULLIF({r('slope', 6)}, 0), 3650)"
+    days = f"least((cap - cur) / NULLIF(slope, 0), 3650)"
     return (
         f"WITH h AS ({source}), d AS (SELECT device_id, date_trunc('day', bucket) AS day, avg({used}) AS used, avg({total}) AS total FROM h WHERE bucket > {_A} - INTERVAL 30 DAY AND {total} > 0 GROUP BY 1, 2), "
         "f AS (SELECT device_id, coalesce(regr_slope(used, epoch_us(day) / 86400000000.0), 0) AS slope, max(used) AS cur, max(total) AS cap, count(*) AS data_points FROM d GROUP BY 1 HAVING count(*) >= 7) "
-        f"SELECT device_id, {r('cur', 2)} AS current_usage, {r('cap', 2)} AS total, {r('slope', 4)} AS daily_growth, CASE WHEN {r('slope', 6)} <= 0 THEN NULL WHEN cap <= cur THEN 0 ELSE {r(days, 0)} END AS days_until_full, "
-        f"CASE WHEN {r('slope', 6)} <= 0 THEN NULL WHEN cap <= cur THEN {_A} ELSE date_trunc('day', make_timestamp(epoch_us({_A}) + CAST(floor({days} * 86400000000) AS BIGINT))) END AS projected_full_date, data_points FROM f"
+        f"SELECT device_id, {r('cur', 2)} AS current_usage, {r('cap', 2)} AS total, {r('slope', 4)} AS daily_growth, CASE WHEN slope <= 0 THEN NULL WHEN cap <= cur THEN 0 ELSE {r(days, 0)} END AS days_until_full, "
+        f"CASE WHEN slope <= 0 THEN NULL WHEN cap <= cur THEN {_A} ELSE date_trunc('day', make_timestamp(epoch_us({_A}) + CAST(floor({days} * 86400000000) AS BIGINT))) END AS projected_full_date, data_points FROM f"
     )
 
 

@@ -215,15 +215,15 @@ def _(t):
     return joins.asof_backward(t.alarms, t.tele, "equipmentid", "logdate", "5 hours", {"log_id": "log_id", "tele_time": "time"}, right_by="eqp_id", right_ts="time").select("logid", "log_id", "tele_time")
 
 
-CASCADE_SQL = """d AS (SELECT a.*, t.* EXCLUDE (log_id) , t.log_id AS hit FROM alarms_ a LEFT JOIN LATERAL (
-  (SELECT t1.log_id, 'exact' AS match_type{cols1} FROM tele t1 WHERE t1.log_id = a.related_log_id AND t1.time >= a.logdate - INTERVAL 10 MINUTE AND t1.time <= a.logdate + INTERVAL 1 MINUTE)
-  UNION ALL
-  (SELECT t2.log_id, 'nearest' AS match_type{cols2} FROM tele t2 WHERE a.related_log_id IS NULL AND t2.eqp_id = a.equipmentid AND t2.time <= a.logdate AND t2.time >= a.logdate - INTERVAL 5 HOUR
-   ORDER BY t2.time DESC, t2.log_id LIMIT 1) LIMIT 1) t ON true)"""
-
-
 def cascade_sql(cols: list[str]) -> str:
-    return CASCADE_SQL.format(cols1="".join(f", t1.{c}" for c in cols), cols2="".join(f", t2.{c}" for c in cols)).replace("alarms_", "alarms")
+    """CTE `d`: each alarm with the telemetry row it names, if that lies in the bound, or else, without a name, the last one of its machine."""
+    take = "".join(f", tele.{c}" for c in cols)
+    named = f"SELECT alarms.logid, 'exact' AS match_type, tele.log_id AS hit{take}, 1 AS place FROM tele JOIN alarms ON related_log_id = tele.log_id WHERE tele.time - logdate BETWEEN -INTERVAL 10 MINUTE AND INTERVAL 1 MINUTE"
+    nearby = (
+        f"SELECT alarms.logid, 'nearest' AS match_type, tele.log_id AS hit{take}, row_number() OVER (PARTITION BY alarms.logid ORDER BY logdate - tele.time, tele.log_id) AS place "
+        "FROM tele JOIN alarms ON equipmentid = eqp_id WHERE related_log_id IS NULL AND logdate - tele.time BETWEEN INTERVAL 0 HOUR AND INTERVAL 5 HOUR"
+    )
+    return f"hits AS ({named} UNION ALL {nearby}), d AS (SELECT alarms.*, hits.* EXCLUDE (logid, place) FROM alarms LEFT JOIN hits ON hits.logid = alarms.logid AND hits.place = 1)"
 
 
 @query("jn7_asof_exact_or_backward", "alarms tele", f"WITH {cascade_sql(['temperature'])} SELECT logid, match_type, {r('temperature', 4)} AS temperature FROM d")
@@ -440,7 +440,7 @@ def _(t):
 
 @query("wn6_row_number_split", same_as="wn6_row_number")
 def _(t):
-    return series.row_positions(t.tele.select("time", "eqp_id", "log_id"), ["eqp_id"], ["time", "log_id"], 10).select("log_id", "row_no")
+    return series.row_positions(t.tele.select("time", "eqp_id", "log_id"), ["eqp_id"], ["time", "log_id"], "5 days").select("log_id", "row_no")
 
 
 @query("wn7_alarm_gaps", "alarms", "SELECT logid, epoch_us(logdate) - lag(epoch_us(logdate)) OVER (PARTITION BY equipmentid, errorcode ORDER BY logdate, logid) AS gap_us FROM alarms")
@@ -459,9 +459,11 @@ def _mbps(d: str) -> str:
 
 @query(
     "wn8_counter_rate", "counters",
-    "WITH c AS (SELECT device_id, name AS iface_name, ts, status, CAST(CASE WHEN rx64 > 0 THEN rx64 ELSE rx32 END AS DECIMAL(38,0)) AS rx, CAST(CASE WHEN tx64 > 0 THEN tx64 ELSE tx32 END AS DECIMAL(38,0)) AS tx, iface FROM counters WHERE name <> ''), "
-    "p AS (SELECT *, lag(rx) OVER w AS prx, lag(tx) OVER w AS ptx, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1000000.0 AS dt FROM c WINDOW w AS (PARTITION BY device_id, iface ORDER BY ts)) "
-    f"SELECT device_id, iface_name, ts, {_RATE.format(m=_mbps('rx'))} AS rx_mbps, {_RATE.format(m=_mbps('tx'))} AS tx_mbps, CASE WHEN status = 1 THEN 'UP' ELSE 'DOWN' END AS status FROM p",
+    "WITH polls AS (SELECT device_id, ts, lag(ts) OVER (PARTITION BY device_id ORDER BY ts) AS before FROM (SELECT DISTINCT device_id, ts FROM counters)), "
+    "c AS (SELECT *, CAST(CASE WHEN rx64 > 0 THEN rx64 ELSE rx32 END AS DECIMAL(38,0)) AS rx, CAST(CASE WHEN tx64 > 0 THEN tx64 ELSE tx32 END AS DECIMAL(38,0)) AS tx FROM counters), "
+    "p AS (SELECT c.device_id, c.name AS iface_name, c.ts, c.status, c.rx, c.tx, old.rx AS prx, old.tx AS ptx, (epoch_us(c.ts) - epoch_us(polls.before)) / 1000000.0 AS dt "
+    "FROM c JOIN polls ON polls.device_id = c.device_id AND polls.ts = c.ts LEFT JOIN c old ON old.device_id = c.device_id AND old.iface = c.iface AND old.ts = polls.before WHERE c.name <> '') "
+    f"SELECT device_id, iface_name, ts, {_RATE.format(m=_mbps('rx'))} AS rx_mbps, {_RATE.format(m=_mbps('tx'))} AS tx_mbps, CAST(NULL AS BIGINT) AS errors, CAST(NULL AS BIGINT) AS drops, CASE WHEN status = 1 THEN 'UP' ELSE 'DOWN' END AS status FROM p",
 )
 def _(t):
     return infra.counter_rate(t.counters)

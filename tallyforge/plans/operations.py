@@ -72,13 +72,16 @@ _ELAPSED = (
 
 
 def _queue_sql(where: str) -> str:
-    cat = f"CASE WHEN m.alarm_code IS NULL THEN 'UNCLASSIFIED' ELSE {CATEGORY_SQL.format(c='a.errorcode')} END"
+    """Open serious alarms, what is known of each, then the labels; one line that says so when there are none."""
+    codes = "SELECT alarm_code AS errorcode, severity, alarm_type, alarm_msg, alarm_detail FROM catalog WHERE severity = 'Critical' OR severity = 'Major'"
     return (
-        f"WITH q AS (SELECT a.logid, a.related_log_id, a.logdate, a.equipmentid AS machine, m.severity, l.status, m.alarm_type, m.alarm_msg, m.alarm_detail, coalesce(d.factory, a.factory) AS factory, d.mo, a.logdate AS \"when\", "
-        f"CAST(floor(epoch_us(a.logdate) / 1000) AS BIGINT) AS when_ms, {_ELAPSED} AS elapsed, {_OWNER.format(c=cat)} AS owner FROM alarms a JOIN catalog m ON m.alarm_code = a.errorcode "
-        "LEFT JOIN tele d ON d.log_id = a.related_log_id AND d.time BETWEEN a.logdate - INTERVAL 10 MINUTE AND a.logdate + INTERVAL 10 MINUTE LEFT JOIN lifecycle l ON l.logdate = a.logdate AND l.logid = a.logid "
-        f"WHERE m.severity IN ('Critical', 'Major') AND {where} AND l.status IS DISTINCT FROM 'RESOLVED'), w AS (SELECT *, {_ACTION.format(c='owner')} AS action FROM q) SELECT * FROM w "
-        f"UNION ALL SELECT NULL, NULL, NULL, NULL, 'NONE', 'NONE', NULL, 'NO ACTIVE CRITICAL/MAJOR ALARMS', NULL, NULL, NULL, {_A}, 0, NULL, NULL, NULL WHERE NOT EXISTS (SELECT 1 FROM w)"
+        f"WITH serious AS ({codes}), open AS (SELECT a.logid, a.logdate, a.equipmentid, a.errorcode, a.factory, a.related_log_id, {_ELAPSED} AS elapsed FROM alarms a WHERE {where} AND errorcode IN (SELECT errorcode FROM serious)), "
+        "stage AS (SELECT logid, logdate, max(status) AS status FROM lifecycle GROUP BY ALL), "
+        "made AS (SELECT open.logid, any_value(tele.factory) AS made_in, any_value(tele.mo) AS mo FROM tele JOIN open ON tele.log_id = related_log_id WHERE abs(epoch_us(tele.time) - epoch_us(logdate)) <= 600000000 GROUP BY ALL), "
+        f"labelled AS (SELECT logid, related_log_id, logdate, equipmentid AS machine, severity, status, alarm_type, alarm_msg, alarm_detail, coalesce(made_in, factory) AS factory, mo, logdate AS \"when\", epoch_us(logdate) // 1000 AS when_ms, elapsed, "
+        f"{_OWNER.format(c='(' + CATEGORY_SQL.format(c='errorcode') + ')')} AS owner FROM open JOIN serious USING (errorcode) LEFT JOIN stage USING (logid, logdate) LEFT JOIN made USING (logid) WHERE coalesce(status, '') <> 'RESOLVED'), "
+        f"none AS (SELECT CASE WHEN EXISTS (FROM labelled) THEN 0 ELSE 1 END AS n) SELECT *, {_ACTION.format(c='owner')} AS action FROM labelled "
+        f"UNION ALL BY NAME SELECT 'NONE' AS severity, 'NONE' AS status, 'NO ACTIVE CRITICAL/MAJOR ALARMS' AS alarm_msg, {_A} AS \"when\", 0 AS when_ms FROM none WHERE n = 1"
     )
 
 
@@ -344,7 +347,12 @@ def _(t):
     return al.inhibit(alerts(t)).select("event_id", "alertname", "severity")
 
 
-_RATE = "rt AS (SELECT event_type AS key, time_bucket(INTERVAL '6 hours', ts) AS bucket, (max(event_id) - min(event_id)) / 21600.0 AS rate FROM events GROUP BY 1, 2)"
+# a counter that falls back to zero now and then
+RESETTING_SQL = (
+    "rt AS (SELECT event_type AS key, bucket, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END) / 21600.0 AS rate FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, bucket ORDER BY ts, v) AS before "
+    "FROM (SELECT event_type, ts, time_bucket(INTERVAL '6 hours', ts) AS bucket, event_id % 50 AS v FROM events)) GROUP BY 1, 2)"
+)
+_RATE = RESETTING_SQL
 
 
 @query(
@@ -352,7 +360,7 @@ _RATE = "rt AS (SELECT event_type AS key, time_bucket(INTERVAL '6 hours', ts) AS
     f"WITH {_RATE}, m AS (SELECT *, avg(rate) OVER (PARTITION BY key ORDER BY bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS mr FROM rt) SELECT key, bucket, {r('rate', 4)} AS rate, {r('mr', 4)} AS mean_rate, CASE WHEN rate = 0 THEN 'STALLED' WHEN {r('rate - mr * 0.9', 6)} < 0 THEN 'DEGRADED' ELSE 'OK' END AS status FROM m",
 )
 def _(t):
-    rates = infra.rate_over(t.raw("events").select(F.col("event_type").alias("key"), "ts", "event_id"), ["key"], "ts", "event_id", "6 hours")
+    rates = infra.rate_over(t.raw("events").select(F.col("event_type").alias("key"), "ts", (F.col("event_id") % 50).alias("v")), ["key"], "ts", "v", "6 hours")
     return infra.rate_degraded(rates, ["key"], 12, 0.9)
 
 

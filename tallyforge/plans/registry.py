@@ -40,7 +40,7 @@ def query(name: str, views: str = "", sql: str | None = None, same_as: str | Non
 
 def r(expr: str, digits: int) -> str:
     """SQL of the rounding used throughout: half away from zero on the decimal value."""
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,6)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
 
 
 def seconds(later: str, earlier: str) -> str:

@@ -18,6 +18,14 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+# Fixed value: text that counts as a number.
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def _number(c: str) -> Column:
+    return F.when(F.col(c).rlike(_NUMBER), F.trim(F.col(c)).try_cast("double"))
+
+
 def _integer(c: str) -> Column:
     # leading digits count, as in '12 of 40'
     return F.expr(f"try_cast(regexp_extract(`{c}`, '^\\\\s*([+-]?[0-9]+)', 1) as int)")
@@ -27,19 +35,21 @@ def ingest_telemetry(raw: DataFrame, json_col: str = "value") -> DataFrame:
     """Typed telemetry rows from JSON text: one object or an array of objects per input row.
 
     Rows without a machine id are dropped, numbers that do not parse become NULL, missing text becomes '', and state
-    is true unless the field is literally false. Works on batch and streaming input.
+    is true unless the field is the boolean false. Works on batch and streaming input.
     """
     body = F.trim(F.col(json_col))
     as_array = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    items = raw.select(F.explode(F.from_json(as_array, T.ArrayType(RAW_TELEMETRY))).alias("o")).select("o.*")
+    texts = raw.select(F.explode(F.from_json(as_array, T.ArrayType(T.StringType()))).alias("j"))
+    off = F.expr("coalesce(try_variant_get(try_parse_json(j), '$.state', 'string') = 'false' AND schema_of_variant(try_variant_get(try_parse_json(j), '$.state', 'variant')) = 'BOOLEAN', false)")
+    items = texts.select(F.from_json("j", RAW_TELEMETRY).alias("o"), off.alias("off")).select("o.*", "off")
     kept = items.where(_text("eqp_id") != "")
     return kept.select(
         F.expr("try_cast(time as timestamp)").alias("time"),
         *[_text(c).alias(c) for c in TELEMETRY_TEXT],
-        *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in TELEMETRY_NUMBER],
+        *[_number(c).alias(c) for c in TELEMETRY_NUMBER],
         *[_integer(c).alias(c) for c in TELEMETRY_INTEGER],
         F.nullif(F.col("resist"), F.lit("")).alias("resist"),
-        (F.coalesce(F.lower("state"), F.lit("true")) != "false").alias("state"),
+        (~F.col("off")).alias("state"),
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize_oid, rnd
-from ..operators.series import over_rows
+from ..operators.series import fold_levels, fold_sorted, level_after
 
 # Object identifiers of the supported tables.
 CPU_OIDS = ("1.3.6.1.2.1.25.3.3.1.2.", "1.3.6.1.4.1.2636.3.1.13.1.8.")
@@ -24,6 +25,7 @@ MACHINE_OIDS = {
     "1.3.6.1.4.1.9999.1.6.1": ("power_watt", 1),
     "1.3.6.1.4.1.9999.1.7.1": ("vibration", 100),
 }
+# Words and byte ranges by which a storage entry is told to be RAM or disk.
 RAM_TYPES = r"ram|virtual|memory|25\.2\.1\.2|25\.2\.1\.3"
 DISK_TYPES = r"disk|flash|fixed|storage|25\.2\.1\.4"
 # a storage entry without a known type in this byte range is taken for RAM
@@ -160,18 +162,38 @@ def machine_metrics(varbinds: DataFrame) -> DataFrame:
     return rows.groupBy("device_id", "ts").agg(*aggs)
 
 
-# a reading this many polls back weighs less than a double can hold
-_HALVINGS = 64
+def _halved(v: np.ndarray, z: float | None) -> np.ndarray:
+    """Mean of each reading and the level before it; a level of exactly zero is replaced by the reading."""
+    out, i, z = np.empty(len(v)), 0, z or 0.0
+    while i < len(v):
+        if z == 0:
+            z = out[i] = v[i]
+            i += 1
+            continue
+        levels = level_after(v[i:], z, 0.5)
+        zeros = np.flatnonzero(levels == 0)
+        n = int(zeros[0]) + 1 if len(zeros) else len(levels)
+        out[i : i + n] = levels[:n]
+        i, z = i + n, out[i + n - 1]
+    return out
+
 
+def half_average(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
+    """Running half average kept across readings: the mean of the reading and the level before it; a zero level restarts.
 
-def half_average(df: DataFrame, keys: list[str], order: list[str], x: str, out: str, max_rows: int | None = None) -> DataFrame:
-    """Running half average kept across polls: the mean of the reading and the level before it; a zero level restarts."""
+    Rows without a reading carry no level and are left out. Restarts depend on the values, so a key's readings pass
+    through one task in order, as a stream of batches with one number between them.
+    """
+    return fold_sorted(df.where(F.col(x).isNotNull()), keys, order, fold_levels(keys, x, out, _halved), f"`{out}` double")
 
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        past = F.collect_list(x).over(w.rowsBetween(1 - _HALVINGS, 0))
-        return d.withColumn(out, F.aggregate(past, F.lit(0.0), lambda z, v: F.when(z == 0, v).otherwise((z + v) / 2)))
 
-    return over_rows(df, keys, order, _HALVINGS, build, max_rows)
+def position_error(varbinds: DataFrame) -> DataFrame:
+    """(device_id, ts, pe): the half average over the single readings of both sensors, after the last one of each poll."""
+    pe = {oid: float(d) for oid, (n, d) in MACHINE_OIDS.items() if n == "pe"}
+    scale = F.create_map(*[x for oid, d in pe.items() for x in (F.lit(oid), F.lit(d))])
+    rows = _rows(varbinds, "ldi").where(F.col("oid").isin(list(pe))).withColumn("_v", F.col("_num") / scale[F.col("oid")])
+    levels = half_average(rows.select("device_id", "ts", "oid", "_v"), ["device_id"], ["ts", "oid"], "_v", "_z")
+    return levels.groupBy("device_id", "ts").agg(F.max_by("_z", "oid").alias("pe"))
 
 
 def normalize_varbinds(varbinds: DataFrame) -> dict[str, DataFrame]:

@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.numbers import rnd
 from ..functions.timeutil import interval_us, time_bucket
 from ..operators.alarms import link_alarms
-from ..operators.infra import COUNTER_MODULUS, MAX_MBPS
+from ..operators.infra import counted_up, counter_readings, rates_between_polls, with_octets
 from ..operators.rollup import Spec, reaggregate, rollup
 from ..operators.snapshot import detect_alarms
 from ..session import scratch_path
@@ -129,35 +128,36 @@ def debounce_stream(alarms: DataFrame, cooldown: str = "12 minutes") -> DataFram
 
 
 def counter_rate_stream(counters: DataFrame) -> DataFrame:
-    """Interface rates; the state of a (device, interface) is its previous counters and time."""
-    modulus = int(COUNTER_MODULUS)
+    """Interface rates as the batch operator computes them; the state of a device is its last poll.
+
+    State adds to each row the counters of the poll before; everything after that is built-in expressions.
+    """
+    names = ["device_id", "iface", "ts", "name", "status", "errors", "drops"]
+    rows = with_octets(counters).select(*names, F.col("_rx").cast("string").alias("_rx"), F.col("_tx").cast("string").alias("_tx"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(batches, ["ts"])
-        prev = state.get if state.exists else None
-        rows = []
-        for r, t in zip(pdf.itertuples(), _us(pdf["ts"])):
-            if not r.name:
-                continue
-            cur = [int(r.rx64 or 0) or int(r.rx32 or 0), int(r.tx64 or 0) or int(r.tx32 or 0)]
-            rates = [0.0, 0.0]
-            if prev is not None and r.status == 1:
-                before, dt = [int(prev[0]), int(prev[1])], (t - prev[2]) / 1e6
-                if max(before) > 0 and dt > 0.5:
-                    mbps = [(c - b) % modulus * 8 / (dt * 1e6) for c, b in zip(cur, before)]
-                    rates = [m if m <= MAX_MBPS else 0.0 for m in mbps]
-            prev = (str(cur[0]), str(cur[1]), int(t))
-            rows.append((r.device_id, r.name, r.ts, rates[0], rates[1], "UP" if r.status == 1 else "DOWN"))
-        if prev is not None:
-            state.update(prev)
-        yield pd.DataFrame(rows, columns=["device_id", "iface_name", "ts", "rx_mbps", "tx_mbps", "status"])
-
-    rates = counters.groupBy("device_id", "iface").applyInPandasWithState(
-        step, "device_id string, iface_name string, ts timestamp, rx_mbps double, tx_mbps double, status string",
-        "rx string, tx string, us long", "append", GroupStateTimeout.NoTimeout,
+        pdf = _sorted(batches, ["ts", "iface"])
+        if state.exists:
+            us, ifaces, rx, tx = state.get
+            held = pd.DataFrame({"iface": list(ifaces), "_rx": list(rx), "_tx": list(tx), "ts": pd.Timestamp(us, unit="us").as_unit(pdf["ts"].dt.unit)})
+            pdf = pd.concat([held, pdf.assign(_new=True)], ignore_index=True)
+        else:
+            pdf["_new"] = True
+        pdf["_poll"] = pdf["ts"].rank(method="dense").astype("int64")
+        before = pdf[["_poll", "iface", "_rx", "_tx"]].rename(columns={"_rx": "_prx", "_tx": "_ptx"}).assign(_poll=pdf["_poll"] + 1).drop_duplicates(["_poll", "iface"])
+        polls = pdf.groupby("_poll")["ts"].first()
+        out = pdf[pdf["_new"] == True].merge(before, on=["_poll", "iface"], how="left")  # noqa: E712
+        out["_dt"] = (_us(out["ts"]) - _us(out["_poll"].sub(1).map(polls).astype(out["ts"].dtype))).where(out["_poll"] > 1) / 1e6
+        last = pdf[pdf["_poll"] == pdf["_poll"].max()]
+        state.update((int(_us(last["ts"]).iloc[0]), last["iface"].tolist(), last["_rx"].tolist(), last["_tx"].tolist()))
+        yield out[[*names, "_rx", "_tx", "_prx", "_ptx", "_dt"]]
+
+    polled = rows.groupBy("device_id").applyInPandasWithState(
+        step, ", ".join(f"`{n}` {types[n]}" for n in names) + ", _rx string, _tx string, _prx string, _ptx string, _dt double",
+        f"us long, ifaces array<{types['iface']}>, rx array<string>, tx array<string>", "append", GroupStateTimeout.NoTimeout,
     )
-    # rounded as the batch operator rounds
-    return rates.withColumns({c: rnd(c, 2) for c in ("rx_mbps", "tx_mbps")})
+    return rates_between_polls(polled.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("_rx", "_tx", "_prx", "_ptx")}))
 
 
 def carry_forward_stream(df: DataFrame, key: str, ts: str, tie: str, cols: list[str]) -> DataFrame:
@@ -269,10 +269,10 @@ def link_writer(tele_path: str, out: str, tol: str = "2 minutes") -> Callable[[D
 
 
 def rate_stream(counter: DataFrame, key: str, ts: str, value: str, width: str, watermark: str) -> DataFrame:
-    """Per-second increase of a counter per closed window."""
+    """Per-second increase of a counter per closed window, resets counted as in the batch operator."""
     seconds = interval_us(width) / 1e6
-    out = counter.withWatermark(ts, watermark).groupBy(F.window(ts, width).alias("_w"), key).agg((F.max(value) - F.min(value)).alias("_d"))
-    return out.select(F.col("_w.start").alias("bucket"), key, (F.col("_d") / F.lit(seconds)).alias("rate"))
+    out = counter.withWatermark(ts, watermark).groupBy(F.window(ts, width).alias("_w"), key).agg(counter_readings(ts, value).alias("_r"))
+    return out.select(F.col("_w.start").alias("bucket"), key, (counted_up(F.col("_r")) / F.lit(seconds)).alias("rate"))
 
 
 def lateness_writer(out: str, ts: str, allowance: str) -> Callable[[DataFrame, int], None]:
