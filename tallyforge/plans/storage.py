@@ -158,7 +158,7 @@ def _(t):
 @query("src7_bulk_replace", "tele", "SELECT 'telemetry' AS table_name, count(*) AS row_count FROM tele")
 def _(t):
     path = scratch_path(t.spark, "bulk")
-    maintenance.bulk_replace(t.tele.limit(1), path, "telemetry")
+    maintenance.bulk_replace(t.alarms, path, "alarms")
     return maintenance.bulk_replace(t.tele, path, "telemetry")
 
 
@@ -190,22 +190,33 @@ def _(t):
 
 # ------------------------------------------------------------------------------------------ sinks and maintenance
 
-@query("snk1_staging_ledger", "tele", "SELECT process AS target_table, 'committed' AS status, CAST(1 AS INTEGER) AS attempts, count(*) AS row_count FROM tele WHERE process IN ('view', 'click') GROUP BY 1 UNION ALL SELECT 'purchase', 'failed', 1, count(*) FROM tele WHERE process = 'purchase'")
+@query(
+    "snk1_staging_ledger", "tele",
+    "SELECT process AS target_table, CASE WHEN process = 'purchase' THEN 'failed' ELSE 'committed' END AS status, CAST(CASE WHEN process IN ('purchase', 'signup') THEN 2 ELSE 1 END AS INTEGER) AS attempts, "
+    "count(*) AS row_count, CASE WHEN process = 'purchase' THEN 0 ELSE count(*) END AS stored FROM tele GROUP BY process",
+)
 def _(t):
     root = scratch_path(t.spark, "staging")
-    ledger = f"{root}/ledger"
-
-    def write(df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{root}/table")
+    ledger, table = f"{root}/ledger", maintenance.batch_sink(f"{root}/table")
 
-    def refuse(df: DataFrame) -> None:
+    def refuse(df: DataFrame, batch_id: int) -> None:
         raise OSError("target not reachable")
 
-    for i, (kind, sink) in enumerate((("view", write), ("click", write), ("purchase", refuse))):
-        batch = t.tele.where(F.col("process") == kind).select("log_id", "eqp_id", "time", "temperature")
+    def half_way(df: DataFrame, batch_id: int) -> None:
+        table(df, batch_id)
+        raise OSError("connection lost after the write")
+
+    def mended(df: DataFrame, batch_id: int) -> None:
+        (refuse if batch_id == 2 else table)(df, batch_id)
+
+    for i, (kind, sink) in enumerate((("view", table), ("click", table), ("purchase", refuse), ("signup", half_way))):
+        batch = t.tele.where(F.col("process") == kind).select("log_id", "eqp_id", "time", "temperature", "process")
         maintenance.stage_batch(batch, i, kind, ledger, f"{root}/payload", "time", sink)
+    # the second try reaches the table for one of the two; what it had written before must not count twice
+    maintenance.replay(t.spark, ledger, f"{root}/payload", "time", mended)
     state = maintenance.ledger_state(t.spark.read.schema(maintenance.LEDGER).parquet(ledger))
-    return state.select("target_table", "status", "attempts", "row_count")
+    stored = t.spark.read.parquet(f"{root}/table").groupBy(F.col("process").alias("target_table")).agg(F.count(F.lit(1)).alias("stored"))
+    return state.join(stored, "target_table", "left").select("target_table", "status", "attempts", "row_count", F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
 @query("snk2_stamp_ingest", "tele", "SELECT log_id, true AS stamped FROM tele")
@@ -213,12 +224,11 @@ def _(t):
     return ingest.stamp_ingest(t.tele.drop("ingest_ts")).select("log_id", (F.col("ingest_ts") > F.col("time")).alias("stamped"))
 
 
-@query("mnt1_partitioned_layout", "tele", "SELECT CAST(time AS DATE) AS date, CAST(hour(time) AS INTEGER) AS hour, count(*) AS n FROM tele WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1, 2")
+@query("mnt1_partitioned_layout", "tele", "SELECT CAST(time AS DATE) AS date, CAST(hour(time) AS INTEGER) AS hour, count(*) AS n FROM tele GROUP BY 1, 2")
 def _(t):
     path = scratch_path(t.spark, "layout")
     maintenance.write_partitioned(t.tele.select("time", "eqp_id", "log_id"), path, "time", "1 day")
-    stored = t.spark.read.parquet(path).where(F.col("date").between(F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date")))
-    return stored.groupBy("date", F.hour("time").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(path).groupBy("date", F.hour("time").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("mnt2_compact", "tele", f"SELECT eqp_id, count(*) AS n, max(time) AS newest, {r('avg(temperature)', 4)} AS avg_temp FROM tele GROUP BY 1")
@@ -230,7 +240,11 @@ def _(t):
 
 @query("mnt3_retention", "tele", f"SELECT log_id FROM tele WHERE time >= {_A} - INTERVAL 14 DAY")
 def _(t):
-    return maintenance.apply_retention(t.tele, "time", maintenance.RETENTION["sys"], AS_OF).select("log_id")
+    path, keep = scratch_path(t.spark, "retained"), maintenance.RETENTION["sys"]
+    maintenance.write_partitioned(t.tele.select("time", "eqp_id", "log_id"), path, "time", "1 day")
+    maintenance.drop_expired(t.spark, path, keep, AS_OF)
+    # whole days are gone from the disk; the day that the bound cuts is filtered
+    return maintenance.apply_retention(t.spark.read.parquet(path), "time", keep, AS_OF).select("log_id")
 
 
 @query("mnt5_snapshot", "tele", "SELECT process, count(*) AS n FROM tele GROUP BY 1")

@@ -59,9 +59,17 @@ def apply_retention(df: DataFrame, ts: str, keep: str, as_of: datetime | str) ->
 
 
 def drop_expired(spark: SparkSession, path: str, keep: str, as_of: datetime | str) -> DataFrame:
-    """Directories of a date-partitioned table that are wholly older than the retention period (for the caller to drop)."""
+    """Remove the directories of a date-partitioned table that are wholly older than the retention period.
+
+    Returns the dates removed; one driver row per directory, as many as there are days.
+    """
     cut = minus(as_of, keep).date()
-    return spark.read.parquet(path).where(F.col("date") < F.lit(cut)).select("date").distinct()
+    fs, root = _files(spark, path)
+    dates = [p.getPath() for p in fs.listStatus(root) if p.getPath().getName().startswith("date=")]
+    old = [p for p in dates if p.getName().removeprefix("date=") < cut.isoformat()]
+    for p in old:
+        fs.delete(p, True)
+    return spark.createDataFrame([(p.getName().removeprefix("date="),) for p in old], "date string").select(F.col("date").cast("date").alias("date"))
 
 
 def enforce_fk(fact: DataFrame, devices: DataFrame, key: str = "device_id") -> tuple[DataFrame, DataFrame]:
@@ -77,17 +85,34 @@ def bulk_replace(df: DataFrame, path: str, table: str) -> DataFrame:
     return written.agg(F.lit(table).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions below `root`, oldest first: a version is complete once its job has committed."""
+    fs, p = _files(spark, root)
+    if not fs.exists(p):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    found = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("version=")]
+    return sorted(int(x.getName().removeprefix("version=")) for x in found if fs.exists(done(x, "_SUCCESS")))
+
+
 def refresh_snapshot(spark: SparkSession, root: str, builder: Callable[[], DataFrame]) -> DataFrame:
-    """Write a new version beside the old ones and then point to it; readers of an older version are not disturbed."""
-    pointer = f"{root}/current"
-    version = scratch_path(spark, "snapshot")
-    builder().write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").json(pointer)
+    """Write a new version beside the old ones; its commit makes it the current one, in one step.
+
+    Nothing is overwritten, so readers of an older version are not disturbed and never find none.
+    """
+    done = _versions(spark, root)
+    builder().write.mode("overwrite").parquet(f"{root}/version={done[-1] + 1 if done else 0}")
     return read_snapshot(spark, root)
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/current").first()[0])
+    """The newest complete version."""
+    return spark.read.parquet(f"{root}/version={_versions(spark, root)[-1]}")
 
 
 def refresh_window(as_of: datetime | str, start_offset: str, end_offset: str) -> tuple[datetime, datetime]:
@@ -122,8 +147,8 @@ def refresh_rollup(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _files(spark, path)
+    return fs.exists(p)
 
 
 def realtime_rollup(mat: DataFrame, raw: DataFrame, build: Callable[[DataFrame], DataFrame], ts: str, watermark: datetime | str) -> DataFrame:
@@ -142,10 +167,21 @@ LEDGER = (
 )
 
 
-def stage_batch(batch: DataFrame, batch_id: int, target_table: str, ledger_path: str, payload_root: str, source_ts: str, write: Callable[[DataFrame], None]) -> str:
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink with one directory per batch: a batch that is written again replaces itself."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def stage_batch(batch: DataFrame, batch_id: int, target_table: str, ledger_path: str, payload_root: str, source_ts: str, write: Callable[[DataFrame, int], None]) -> str:
     """Store the batch and a 'pending' ledger row, write it, then add 'committed' or 'failed'. Returns the status.
 
-    The ledger only grows: the newest row of a batch is its state (see `ledger_state`). Use inside foreachBatch.
+    The ledger only grows: the newest row of a batch is its state (see `ledger_state`). A crash between the write and
+    'committed' leaves the batch open, and it is written once more; so `write` must be idempotent per batch id, as
+    `batch_sink` is. Use inside foreachBatch.
     """
     spark = batch.sparkSession
     payload = f"{payload_root}/{target_table}/batch={batch_id}"
@@ -164,7 +200,7 @@ def stage_batch(batch: DataFrame, batch_id: int, target_table: str, ledger_path:
 
     log("pending", None)
     try:
-        write(stored)
+        write(stored, batch_id)
     except Exception as e:  # the batch stays replayable from its stored payload
         log("failed", str(e)[:500])
         return "failed"
@@ -181,12 +217,15 @@ def ledger_state(ledger: DataFrame) -> DataFrame:
     )
 
 
-def replay(spark: SparkSession, ledger_path: str, ledger_payload_root: str, source_ts: str, write: Callable[[DataFrame], None]) -> int:
-    """Write again every batch that is not committed; returns how many were tried (one driver row per open batch)."""
-    open_ = ledger_state(spark.read.schema(LEDGER).parquet(ledger_path)).where(F.col("status") != "committed")
-    todo = open_.select("batch_id", "target_table", "payload_path").collect()
-    for b in todo:
+def replay(spark: SparkSession, ledger_path: str, ledger_payload_root: str, source_ts: str, write: Callable[[DataFrame, int], None]) -> int:
+    """Write again every batch that was open at the start; returns how many were tried. One ledger row at a time."""
+    state = ledger_state(spark.read.schema(LEDGER).parquet(ledger_path)).where(F.col("status") != "committed")
+    path = scratch_path(spark, "open-batches")
+    state.select("batch_id", "target_table", "payload_path").write.parquet(path)
+    todo = spark.read.parquet(path).orderBy("batch_id", "target_table")
+    tried = 0
+    for b in todo.toLocalIterator():
         payload = spark.read.parquet(b.payload_path)
-        copy = scratch_path(spark, "replay")
-        stage_batch(payload, b.batch_id, b.target_table, ledger_path, copy, source_ts, write)
-    return len(todo)
+        stage_batch(payload, b.batch_id, b.target_table, ledger_path, scratch_path(spark, "replay"), source_ts, write)
+        tried += 1
+    return tried

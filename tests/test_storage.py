@@ -52,16 +52,16 @@ def test_ledger_failure_and_replay(spark):
     root = scratch_path(spark, "t-ledger")
     batch = telemetry(spark, [{}] * 5).select("time", "log_id")
 
-    def refuse(df):
+    def refuse(df, batch_id):
         raise OSError("down")
 
     written = []
     assert maintenance.stage_batch(batch, 1, "telemetry", f"{root}/l", f"{root}/p", "time", refuse) == "failed"
-    assert maintenance.stage_batch(batch, 2, "telemetry", f"{root}/l", f"{root}/p", "time", lambda d: written.append(d.count())) == "committed"
-    assert maintenance.replay(spark, f"{root}/l", f"{root}/p", "time", lambda d: written.append(d.count())) == 1
+    assert maintenance.stage_batch(batch, 2, "telemetry", f"{root}/l", f"{root}/p", "time", lambda d, i: written.append(d.count())) == "committed"
+    assert maintenance.replay(spark, f"{root}/l", f"{root}/p", "time", lambda d, i: written.append(d.count())) == 1
     state = {r["batch_id"]: r for r in rows(maintenance.ledger_state(spark.read.schema(maintenance.LEDGER).parquet(f"{root}/l")))}
     assert written == [5, 5] and {i: s["status"] for i, s in state.items()} == {1: "committed", 2: "committed"} and state[1]["attempts"] == 2
-    assert maintenance.replay(spark, f"{root}/l", f"{root}/p", "time", lambda d: None) == 0
+    assert maintenance.replay(spark, f"{root}/l", f"{root}/p", "time", lambda d, i: None) == 0
 
 
 def test_partition_pruning_reaches_the_scan(spark):
@@ -89,3 +89,33 @@ def test_append_is_idempotent(spark):
     new = telemetry(spark, [{}, {}]).select("time", "log_id")
     once = ingest.append_idempotent(new.unionByName(new), new.limit(0), ["log_id", "time"])
     assert once.count() == 2 and ingest.append_idempotent(new, once, ["log_id", "time"]).count() == 0
+
+
+def test_a_batch_written_twice_counts_once(spark):
+    root = scratch_path(spark, "t-sink")
+    batch, sink = telemetry(spark, [{}] * 4).select("time", "log_id"), maintenance.batch_sink(f"{root}/table")
+
+    def lost(df, batch_id):
+        sink(df, batch_id)
+        raise OSError("lost after the write")
+
+    assert maintenance.stage_batch(batch, 7, "t", f"{root}/l", f"{root}/p", "time", lost) == "failed"
+    assert maintenance.replay(spark, f"{root}/l", f"{root}/p", "time", sink) == 1
+    assert spark.read.parquet(f"{root}/table").count() == 4
+
+
+def test_retention_removes_directories(spark):
+    path = scratch_path(spark, "t-keep")
+    maintenance.write_partitioned(telemetry(spark, [{"time": at(86400 * i)} for i in range(6)]), path, "time", "1 day")
+    gone = maintenance.drop_expired(spark, path, "2 days", at(86400 * 5))
+    assert gone.count() == 3 and spark.read.parquet(path).count() == 3
+    assert maintenance.drop_expired(spark, path, "2 days", at(86400 * 5)).count() == 0
+
+
+def test_a_snapshot_is_current_once_complete(spark):
+    root = scratch_path(spark, "t-snap")
+    first = maintenance.refresh_snapshot(spark, root, lambda: spark.range(3))
+    # a version whose job never committed is no version
+    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{root}/version=1")
+    assert maintenance.read_snapshot(spark, root).count() == 3
+    assert maintenance.refresh_snapshot(spark, root, lambda: spark.range(5)).count() == 5 and first.count() == 3
