@@ -175,15 +175,19 @@ def asof_exact_or_backward(
 
     Adds `match_type` 'exact' / 'nearest' / NULL. An id that points outside the bound does not fall back.
     """
-    reach = f"{(interval_us(exact_before) + interval_us(exact_after)) // 1_000_000} seconds"
-    shifted = alarms.withColumn("_late", ts_plus("logdate", interval_us(exact_after)))
-    fields = {**take, "_hit": "log_id"}
-    linked = asof_backward(
-        shifted.where(F.col("related_log_id").isNotNull()), tele, "related_log_id", "_late", reach, fields,
-        right_by="log_id", right_ts="time", prune=prune,
-    ).withColumn("match_type", F.when(F.col("_hit").isNotNull(), "exact"))
-    loose = asof_backward(
-        shifted.where(F.col("related_log_id").isNull()), tele, "equipmentid", "logdate", back, fields,
-        right_by="eqp_id", right_ts="time", prune=prune,
-    ).withColumn("match_type", F.when(F.col("_hit").isNotNull(), "nearest"))
-    return linked.unionByName(loose).drop("_late", "_hit")
+    named = F.col("related_log_id").isNotNull()
+    reach, near = interval_us(exact_before) + interval_us(exact_after), interval_us(back)
+    # both kinds of search are one as-of step: an alarm asks for a row by its id or for its machine, and each telemetry
+    # row offers itself under both keys
+    asks = alarms.withColumns({
+        "_key": F.when(named, F.concat(F.lit("i"), "related_log_id")).otherwise(F.concat(F.lit("m"), "equipmentid")),
+        "_at": F.when(named, ts_plus("logdate", interval_us(exact_after))).otherwise(F.col("logdate")),
+    })
+    keys = F.array(F.concat(F.lit("i"), "log_id"), F.concat(F.lit("m"), "eqp_id"))
+    offers = tele.select(*dict.fromkeys(["time", "log_id", *take.values()]), F.explode(keys).alias("_key"))
+    widest = f"{-(-max(reach, near) // 1_000_000)} seconds"
+    found = asof_backward(asks, offers, "_key", "_at", widest, {**take, "_hit": "log_id", "_when": "time"}, right_ts="time", prune=prune)
+    gap = F.unix_micros("_at") - F.unix_micros("_when")
+    good = F.col("_hit").isNotNull() & (gap <= F.when(named, reach).otherwise(near))
+    out = found.withColumns({n: F.when(good, F.col(n)) for n in take})
+    return out.withColumn("match_type", F.when(good, F.when(named, "exact").otherwise("nearest"))).drop("_key", "_at", "_hit", "_when")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import SPEC_LIMITS, last, pct, quality_impact, rnd, spec_flag_columns, spec_flags
+from ..functions import SPEC_LIMITS, interval_us, last, pct, quality_impact, rnd, spec_flag_columns, spec_flags, ts_lit, ts_plus
 from .joins import asof_exact_or_backward
 
 _CONTEXT_COLS = [
@@ -58,6 +58,14 @@ def alarm_context(alarms: DataFrame, catalog: DataFrame, tele: DataFrame, limits
     )
 
 
+def recent_context(alarms: DataFrame, catalog: DataFrame, tele: DataFrame, as_of: datetime | str, window: str, limits: dict = SPEC_LIMITS, back: str = "5 minutes") -> DataFrame:
+    """The context of the alarms of the last `window`: the bound reaches both scans before anything is joined."""
+    reach = max(interval_us("10 minutes"), interval_us(back))
+    recent = last(alarms, "logdate", window, as_of)
+    lower = ts_plus(ts_lit(as_of), -(interval_us(window) + reach))
+    return alarm_context(recent, catalog, tele.where(F.col("time") >= lower), limits, back)
+
+
 def category_column(code: Column, codes: dict[str, list[str]] = CATEGORY_CODES) -> Column:
     """Category of an alarm code from the fixed code list."""
     out = F.lit("UNCLASSIFIED")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import control, infra, rca, rollup, snapshot, spc
 from ..schema import JE_COLS, PE_COLS
+from ..session import scratch_path
+from ..sources import maintenance
 from .basics import _ABS_JE, _ABS_PE, _ABS_PE0, _W, CLASS_SQL, FLAGS_SQL, TINY, UNPIVOT_PE, cascade_sql
 from .registry import query, r, seconds
 from .tables import AS_OF, CATEGORY_SQL, Tables
@@ -235,7 +239,7 @@ def _lift_sql(ctx_where: str, tele_where: str) -> str:
 
 @query("al13_rca_lift_recent", "alarms tele catalog", _lift_sql(f"alarm_time > {_A} - INTERVAL 15 DAY", f"time > {_A} - INTERVAL 15 DAY"))
 def _(t):
-    ctx = rca.alarm_context(t.alarms, t.catalog, t.tele, back="5 hours")
+    ctx = rca.recent_context(t.alarms, t.catalog, t.tele, AS_OF, "15 days", back="5 hours")
     return rca.rca_lift(ctx, rca.alarm_category(t.catalog), t.tele, AS_OF, "15 days")
 
 
@@ -526,18 +530,22 @@ def _tier_sql(lo: str, hi: str, src: str) -> str:
     return f"SELECT {_TOUT} FROM {src} WHERE bucket BETWEEN TIMESTAMP '{lo}' AND TIMESTAMP '{hi}'"
 
 
-def _tiers(t: Tables) -> dict[str, DataFrame]:
-    return {g: rollup.telemetry_rollup(t.tele, g, "avg_of_avg") for g in ("1m", "15m", "1h")}
+def _tiered(t: Tables, lo: str, hi: str, watermark: str) -> DataFrame:
+    """The tier of the range is stored up to the watermark; what is newer comes live."""
+    builds = {g: partial(rollup.telemetry_rollup, grain=g, mode="avg_of_avg") for g in ("1m", "15m", "1h")}
+    root, tier = scratch_path(t.spark, "tiers"), rollup.tier_for(lo, hi)
+    maintenance.refresh_rollup(t.tele, f"{root}/{tier}", builds[tier], "time", "1 hour", watermark, "400 days", "0 seconds")
+    return maintenance.read_stored_tier(t.spark, root, t.tele, builds, "time", lo, hi, watermark)
 
 
 @query("al34_tiered_read_day", "tele", f"WITH {_M1} " + _tier_sql("2024-01-10 00:00:00", "2024-01-11 12:00:00", _tier("15 minutes", "m1")))
 def _(t):
-    return _tele_out(rollup.read_tier(_tiers(t), "2024-01-10", "2024-01-11 12:00:00"))
+    return _tele_out(_tiered(t, "2024-01-10", "2024-01-11 12:00:00", "2024-01-11 00:00:00"))
 
 
 @query("al34_tiered_read_month", "tele", f"WITH {_M1}, m15 AS {_tier('15 minutes', 'm1')} " + _tier_sql("2024-01-01 00:00:00", "2024-01-31 00:00:00", _tier("1 hour", "m15")))
 def _(t):
-    return _tele_out(rollup.read_tier(_tiers(t), "2024-01-01", "2024-01-31"))
+    return _tele_out(_tiered(t, "2024-01-01", "2024-01-31", "2024-01-20 00:00:00"))
 
 
 # ------------------------------------------------------------------------------------------ reports on context and charts

@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import interval_us, minus, time_bucket, ts_lit
+from ..functions import interval_us, minus, time_bucket, ts_lit, ts_plus
+from ..operators.rollup import tier_for
 from ..session import scratch_path
 
 # Partition grain of the raw tables, rollup refresh windows, and retention periods.
@@ -161,6 +162,21 @@ def realtime_rollup(mat: DataFrame, raw: DataFrame, build: Callable[[DataFrame],
     return old.unionByName(live.select(*old.columns))
 
 
+def read_stored_tier(
+    spark: SparkSession, root: str, raw: DataFrame, builds: dict[str, Callable[[DataFrame], DataFrame]], ts: str, lo: datetime | str, hi: datetime | str, watermark: datetime | str,
+) -> DataFrame:
+    """Buckets in [lo, hi] of the stored tier that fits the range, and live ones built from raw rows past the watermark.
+
+    Tiers lie below `root` by name and date, so the range prunes directories; the raw scan is bounded by time.
+    """
+    tier = tier_for(lo, hi)
+    stored = spark.read.parquet(f"{root}/{tier}").where(F.col("date").between(F.to_date(ts_lit(lo)), F.to_date(ts_lit(hi)))).drop("date")
+    # no bucket is longer than an hour
+    past = raw.where(F.col(ts) < ts_plus(ts_lit(hi), interval_us("1 hour")))
+    both = realtime_rollup(stored, past, builds[tier], ts, watermark)
+    return both.where(F.col("bucket").between(ts_lit(lo), ts_lit(hi)))
+
+
 LEDGER = (
     "batch_id BIGINT, target_table STRING, source_ts TIMESTAMP, staged_at TIMESTAMP, status STRING, attempts INT, "
     "last_error STRING, committed_at TIMESTAMP, row_count BIGINT, payload_path STRING"
