@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import freshness, health_score, last, minus, pct, pg_int, rnd, scope_devices, seconds_between, time_bucket, ts_lit
 from ..functions.timeutil import interval_us
+from .alarms import sustained
 from .joins import latest_per_key
 from .series import over_rows
 
@@ -99,7 +101,10 @@ def saturation_forecast(net: DataFrame, as_of: datetime | str, window: str = "5
 
 @dataclass(frozen=True)
 class ThresholdRule:
-    """Aggregate of a table's recent rows compared with a limit; severity and hold time travel with the alert."""
+    """Aggregate of a table's recent rows compared with a limit.
+
+    `threshold_alerts` evaluates a rule once; `sustained_alerts` evaluates it again and again and applies the hold time.
+    """
 
     name: str
     keys: tuple[str, ...]
@@ -157,6 +162,29 @@ def threshold_alerts(df: DataFrame, rules: list[ThresholdRule], as_of: datetime
     return out
 
 
+def sustained_alerts(
+    df: DataFrame, rules: list[ThresholdRule], devices: DataFrame | None = None, step: str = "1 minute", window: str | None = None, hold: str | None = None, ts: str = "time",
+) -> DataFrame:
+    """Alerts that fire: each rule's aggregate over a window that slides by `step`, above its limit for the hold time.
+
+    One row per (rule, metric, evaluation) that is firing, with its value; `window` and `hold` override the rules'.
+    """
+    parts = []
+    for r in rules:
+        rows = scope_devices(df, devices) if r.enabled_only and devices is not None else df
+        seen = rows.groupBy(*r.keys, F.window(ts, window or r.window, step).alias("_w")).agg(r.value().cast("double").alias("value"))
+        evals = seen.select(F.concat_ws(" ", *r.keys).alias("metric"), F.col("_w.end").alias("ts"), "value", F.coalesce(F.col("value") > r.limit, F.lit(False)).alias("cond"))
+        firing = sustained(evals, ["metric"], hold or r.hold, step).where("state = 'firing'")
+        parts.append(firing.select("metric", F.lit(r.name).alias("rule"), "ts", rnd("value", 4).alias("value"), F.lit(r.severity).alias("severity")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rate_alerts(rates: DataFrame, keys: list[str], limit: float = 0.1, hold: str = "5 minutes", step: str = "5 minutes") -> DataFrame:
+    """State of every bucket of `rate_over` against a limit that must be exceeded for the hold time."""
+    evals = rates.select(*keys, F.col("bucket").alias("ts"), "rate", F.coalesce(F.col("rate") > limit, F.lit(False)).alias("cond"))
+    return sustained(evals, keys, hold, step).select(*keys, "ts", rnd("rate", 4).alias("rate"), "state")
+
+
 def interface_down(net: DataFrame, as_of: datetime | str, window: str = "2 minutes") -> DataFrame:
     """Interfaces with more DOWN than UP samples."""
     return (

@@ -388,6 +388,34 @@ def _(t):
     return infra.threshold_alerts(t.machm, infra.MACHINE_RULES, AS_OF, window="3 days")
 
 
+def _held_sql(rule: str, view: str, metric: str, agg: str, limit: float, severity: str, where: str = "true") -> str:
+    """A rule on windows of twelve hours every three, firing once it has held for nine."""
+    return (
+        f"SELECT metric, '{rule}' AS rule, ts, {r('value', 4)} AS value, '{severity}' AS severity FROM (SELECT *, ts - max(since) OVER (PARTITION BY metric ORDER BY ts) AS held FROM ("
+        "SELECT *, CASE WHEN cond AND NOT (coalesce(lag(cond) OVER w, false) AND ts - lag(ts) OVER w <= INTERVAL 3 HOUR) THEN ts END AS since FROM ("
+        f"SELECT {metric} AS metric, time_bucket(INTERVAL 3 HOUR, time) + i * INTERVAL 3 HOUR AS ts, {agg} AS value, coalesce({agg} > {limit}, false) AS cond FROM {view}, generate_series(1, 4) g(i) WHERE {where} GROUP BY 1, 2) "
+        "WINDOW w AS (PARTITION BY metric ORDER BY ts))) WHERE cond AND held >= INTERVAL 9 HOUR"
+    )
+
+
+@query("al22_sys_sustained", "sysm", " UNION ALL ".join([
+    _held_sql("cpu_high", "sysm", "device_id", "avg(cpu_load_percent)", 85, "warning"),
+    _held_sql("ram_high", "sysm", "device_id", "avg(ram_used_mb) / nullif(avg(ram_total_mb), 0) * 100", 90, "warning"),
+    _held_sql("disk_high", "sysm", "device_id", "avg(disk_used_gb) / nullif(avg(disk_total_gb), 0) * 100", 90, "critical"),
+    _held_sql("temp_high", "sysm", "device_id", "max(temp_c)", 80, "critical"),
+]))
+def _(t):
+    return infra.sustained_alerts(t.sysm, infra.SYS_RULES, step="3 hours", window="12 hours", hold="9 hours")
+
+
+@query("al22_net_sustained", "netm devices", " UNION ALL ".join([
+    _held_sql("net_errors", "netm", "device_id || ' ' || iface_name", "CAST(sum(rx_errors) AS DOUBLE)", 100, "warning", "device_id IN (SELECT device_id FROM devices WHERE enabled)"),
+    _held_sql("net_drops", "netm", "device_id || ' ' || iface_name", "CAST(max(rx_drops) AS DOUBLE)", 50, "critical"),
+]))
+def _(t):
+    return infra.sustained_alerts(t.netm, infra.NET_RULES, t.devices, step="3 hours", window="12 hours", hold="9 hours")
+
+
 @query("al23_interface_down", "netm", f"SELECT device_id, iface_name, count(*) AS value FROM netm WHERE time > {_A} - INTERVAL 5 DAY GROUP BY 1, 2 HAVING count(*) FILTER (WHERE status = 'DOWN') > count(*) FILTER (WHERE status = 'UP')")
 def _(t):
     return infra.interface_down(t.netm, AS_OF, "5 days")

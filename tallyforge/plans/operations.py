@@ -364,6 +364,16 @@ def _(t):
     return infra.rate_degraded(rates, ["key"], 12, 0.9)
 
 
+@query(
+    "sm12_failure_rate", "",
+    f"WITH {RESETTING_SQL}, m AS (SELECT *, rate > 0.01 AS cond FROM rt), b AS (SELECT *, CASE WHEN cond AND NOT (coalesce(lag(cond) OVER w, false) AND bucket - lag(bucket) OVER w <= INTERVAL 6 HOUR) THEN bucket END AS since FROM m WINDOW w AS (PARTITION BY key ORDER BY bucket)), "
+    f"h AS (SELECT *, bucket - max(since) OVER (PARTITION BY key ORDER BY bucket) AS held FROM b) SELECT key, bucket AS ts, {r('rate', 4)} AS rate, CASE WHEN NOT cond THEN 'ok' WHEN held >= INTERVAL 12 HOUR THEN 'firing' ELSE 'pending' END AS state FROM h",
+)
+def _(t):
+    rates = infra.rate_over(t.raw("events").select(F.col("event_type").alias("key"), "ts", (F.col("event_id") % 50).alias("v")), ["key"], "ts", "v", "6 hours")
+    return infra.rate_alerts(rates, ["key"], 0.01, "12 hours", "6 hours")
+
+
 @query("sm13_lateness_report", "alarms", f"SELECT link_basis, count(*) AS n, count(*) FILTER (WHERE ingest_ts < logdate) AS ingest_before_source, count(*) FILTER (WHERE logdate > {_A} - INTERVAL 2 DAY) AS future, count(*) FILTER (WHERE ingest_ts IS NULL) AS unstamped FROM alarms GROUP BY 1")
 def _(t):
     return quality.lateness_report(t.alarms, "logdate", "ingest_ts", "2024-01-29 00:00:00", ["link_basis"])
