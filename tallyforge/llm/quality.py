@@ -201,10 +201,11 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Classifier:
     one = labelled.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     few = written(one.withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(TRAIN_ROWS), "labels")
     # at most TRAIN_ROWS narrow rows
-    rows = texts(docs).join(F.broadcast(few), "doc_id").select("text", "quality", "h").mapInArrow(_features(vectors), "quality int, h long, x binary").collect()
-    rows.sort(key=lambda r: (r.h, r.quality))
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, 2 * DIMENSIONS + 1).astype(float)
-    return Classifier(vectors, train(x, np.array([r.quality for r in rows])))
+    rows = texts(docs).join(F.broadcast(few), "doc_id").select("text", "quality", "h").mapInArrow(_features(vectors), "quality int, h long, x binary").toArrow()
+    y, h = rows.column("quality").to_numpy(), rows.column("h").to_numpy()
+    order = np.lexsort((y, h))
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS + 1)[order].astype(float)
+    return Classifier(vectors, train(x, y[order]))
 
 
 def _scored(model, kept: list[str]):
