@@ -91,14 +91,23 @@ def _files(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete versions below `root`, oldest first: a version is complete once its job has committed."""
+def _numbers(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the complete directories `name=<n>` below `root`, ascending: one is complete once its job committed."""
     fs, p = _files(spark, root)
     if not fs.exists(p):
         return []
     done = spark._jvm.org.apache.hadoop.fs.Path
-    found = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("version=")]
-    return sorted(int(x.getName().removeprefix("version=")) for x in found if fs.exists(done(x, "_SUCCESS")))
+    found = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(x.getName().removeprefix(f"{name}=")) for x in found if fs.exists(done(x, "_SUCCESS")))
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return _numbers(spark, root, "version")
+
+
+def batch_numbers(spark: SparkSession, root: str) -> list[int]:
+    """Ids of the batches written below `root`."""
+    return _numbers(spark, root, "batch")
 
 
 def refresh_snapshot(spark: SparkSession, root: str, builder: Callable[[], DataFrame]) -> DataFrame:

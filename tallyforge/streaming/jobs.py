@@ -8,18 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.timeutil import interval_us, time_bucket
+from ..functions.timeutil import interval_us, time_bucket, ts_lit, ts_plus
 from ..operators.alarms import link_alarms
 from ..operators.infra import counted_up, counter_readings, rates_between_polls, with_octets
 from ..operators.rollup import Spec, reaggregate, rollup
 from ..operators.snapshot import detect_alarms
 from ..session import scratch_path
-from ..sources.maintenance import _exists
+from ..sources.maintenance import batch_numbers
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append", out: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -66,15 +67,17 @@ def cascade_writer(root: str, ts: str, keys: list[str], spec: Spec, widths: list
         spark = batch.sparkSession
         raw = f"{root}/raw"
         batch.select("*", period(ts)).write.mode("overwrite").partitionBy("period").parquet(f"{raw}/batch={batch_id}")
-        touched = spark.read.parquet(f"{raw}/batch={batch_id}").select("period").distinct()
-        rows = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*").join(touched, "period", "left_semi")
+        # a batch touches few periods; as literals they prune the directories of both tables
+        touched = [r.period for r in spark.read.parquet(f"{raw}/batch={batch_id}").select("period").distinct().collect()]
+        inside = F.col("period").isin(touched) if touched else F.lit(False)
+        rows = spark.read.option("basePath", raw).parquet(f"{raw}/batch=*").where(inside)
         tier = rollup(rows, ts, widths[0], keys, spec)
         for i, width in enumerate(widths):
             if i:
                 tier = reaggregate(tier, width, keys, spec, mode)
             target = f"{root}/{width.replace(' ', '_')}"
             tier.select("*", period("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(target)
-            tier = spark.read.parquet(target).join(touched, "period", "left_semi").drop("period")
+            tier = spark.read.parquet(target).where(inside).drop("period")
 
     return write
 
@@ -107,23 +110,44 @@ def _sorted(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
 
 
-def debounce_stream(alarms: DataFrame, cooldown: str = "12 minutes") -> DataFrame:
-    """Fired alarms only; the state of a (machine, code) is the time it last fired."""
+def _expire(state: GroupState, us: int) -> None:
+    """Let a state go once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def debounce_stream(alarms: DataFrame, cooldown: str = "12 minutes", watermark: str | None = None) -> DataFrame:
+    """Fired alarms only, with when their (machine, code) first fired and how often it has.
+
+    The state of a key is its first and last firing and their count. With a `watermark` it is dropped a cooldown after
+    the last firing: the next alarm fires in any case, and counts anew.
+    """
     us = interval_us(cooldown)
+    names = ["equipmentid", "errorcode", "logdate", "logid"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = _sorted(batches, ["logdate", "logid"])
-        last = state.get[0] if state.exists else None
-        keep = []
-        for i, t in enumerate(_us(pdf["logdate"])):
-            if last is None or t - last >= us:
-                keep.append(i)
-                last = int(t)
-        state.update((last,))
-        yield pdf.loc[keep, ["equipmentid", "errorcode", "logdate", "logid"]]
-
-    return alarms.select("equipmentid", "errorcode", "logdate", "logid").groupBy("equipmentid", "errorcode").applyInPandasWithState(
-        step, "equipmentid string, errorcode string, logdate timestamp, logid string", "last long", "append", GroupStateTimeout.NoTimeout
+        first, last, count = state.get if state.exists else (None, None, 0)
+        times, keep, counts = _us(pdf["logdate"]).to_numpy(), [], []
+        i = 0 if last is None else int(np.searchsorted(times, last + us))
+        while i < len(times):
+            last, count = int(times[i]), count + 1
+            first = last if first is None else first
+            keep.append(i)
+            counts.append(count)
+            i = int(np.searchsorted(times, last + us))
+        if last is not None:
+            state.update((first, last, count))
+            if watermark:
+                _expire(state, last + us)
+        yield pdf.loc[keep, names].assign(first_fired=pd.Timestamp(first or 0, unit="us"), fire_count=counts)
+
+    rows = alarms.select(*names)
+    return (rows.withWatermark("logdate", watermark) if watermark else rows).groupBy("equipmentid", "errorcode").applyInPandasWithState(
+        step, "equipmentid string, errorcode string, logdate timestamp, logid string, first_fired timestamp, fire_count long", "first long, last long, count long", "append",
+        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout,
     )
 
 
@@ -183,11 +207,19 @@ def carry_forward_stream(df: DataFrame, key: str, ts: str, tie: str, cols: list[
     )
 
 
-def lifecycle_stream(actions: DataFrame) -> DataFrame:
-    """Every action with the state it led to, or the reason it was rejected; the state of an alarm is its status."""
+def lifecycle_stream(actions: DataFrame, watermark: str | None = None, keep: str = "30 days") -> DataFrame:
+    """Every action with the state it led to, or the reason it was rejected; the state of an alarm is its status.
+
+    With a `watermark` an alarm that is RESOLVED is forgotten `keep` after its last action: what comes later still is
+    taken as an action on an unknown, open alarm.
+    """
+    us = interval_us(keep)
     allowed = {"ACKNOWLEDGED": {"OPEN"}, "RESOLVED": {"OPEN", "ACKNOWLEDGED"}}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = _sorted(batches, ["action_ts", "action_id"])
         status = state.get[0] if state.exists else "OPEN"
         after, why = [], []
@@ -207,13 +239,16 @@ def lifecycle_stream(actions: DataFrame) -> DataFrame:
             after.append(status)
             why.append(reason)
         state.update((status,))
+        if watermark and status == "RESOLVED":
+            _expire(state, int(_us(pdf["action_ts"]).iloc[-1]) + us)
         yield pd.DataFrame(
             {"logid": pdf["logid"], "logdate": pdf["logdate"], "action_id": pdf["action_id"], "action": pdf["action"], "status": after, "reason": why}
         )
 
-    return actions.groupBy("logdate", "logid").applyInPandasWithState(
+    rows = actions.withWatermark("action_ts", watermark) if watermark else actions
+    return rows.groupBy("logdate", "logid").applyInPandasWithState(
         step, "logid string, logdate timestamp, action_id string, action string, status string, reason string", "status string", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout,
     )
 
 
@@ -256,11 +291,16 @@ def alarm_writer(spark: SparkSession, alarm_path: str, window: str = "3 minutes"
 def link_writer(tele_path: str, out: str, tol: str = "2 minutes") -> Callable[[DataFrame, int], None]:
     """foreachBatch: link a batch of alarms to stored telemetry; rejected alarms are kept apart.
 
-    The stored telemetry is first cut down to the (machine, time bucket) groups the batch needs.
+    The stored telemetry is first bounded by the batch's times and then cut down to the (machine, time bucket) groups
+    the batch needs.
     """
+    us = interval_us(tol)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        first, last = batch.agg(F.min("logdate").cast("string"), F.max("logdate").cast("string")).first()
         tele = batch.sparkSession.read.parquet(tele_path)
+        if first is not None:
+            tele = tele.where(F.col("time").between(ts_plus(ts_lit(first), -us), ts_plus(ts_lit(last), us)))
         linked, rejected = link_alarms(batch, tele, tol)
         linked.write.mode("overwrite").parquet(f"{out}/linked/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
@@ -278,18 +318,19 @@ def rate_stream(counter: DataFrame, key: str, ts: str, value: str, width: str, w
 def lateness_writer(out: str, ts: str, allowance: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: rows older than the newest time seen so far minus the allowance go to quarantine, the rest through.
 
-    The newest time is kept as one row per batch beside the tables.
+    Each batch leaves one mark, the newest time up to and with it, and reads only the mark before it.
     """
     us = interval_us(allowance)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         marks = f"{out}/marks"
-        seen = spark.read.parquet(f"{marks}/batch=*").where(F.col("id") < batch_id).agg(F.max("us")).first()[0] if _exists(spark, marks) else None
+        before = [n for n in batch_numbers(spark, marks) if n < batch_id]
+        seen = spark.read.parquet(f"{marks}/batch={before[-1]}").first()[0] if before else None
         late = F.lit(False) if seen is None else F.unix_micros(ts) < F.lit(seen - us)
         batch.where(late).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
         batch.where(~late).write.mode("overwrite").parquet(f"{out}/accepted/batch={batch_id}")
-        batch.agg(F.max(F.unix_micros(ts)).alias("us")).withColumn("id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        batch.agg(F.greatest(F.max(F.unix_micros(ts)), F.lit(seen).cast("long")).alias("us")).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
 
     return write
 

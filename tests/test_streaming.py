@@ -50,3 +50,33 @@ def test_restart_resumes(spark):
     a.where(f"logdate >= timestamp'{at(600)}'").coalesce(1).write.mode("append").parquet(path)
     got = jobs.run_available(jobs.debounce_stream(src()), "x", out=out, checkpoint=ckpt)
     assert sorted(r["logdate"] for r in rows(got)) == [at(0), at(720), at(1440)]
+
+
+def last_state(spark, df):
+    q = df.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "s-ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def one_alarm_each(spark, n):
+    return alarms(spark, [{"errorcode": str(i), "logdate": at(600 * i)} for i in range(n)]).select("equipmentid", "errorcode", "logdate", "logid")
+
+
+def test_debounce_forgets_keys_after_the_cooldown(spark):
+    a = one_alarm_each(spark, 60)
+    assert last_state(spark, jobs.debounce_stream(stream(spark, a, 6, "logdate"), watermark="1 minute")) < 30
+    assert last_state(spark, jobs.debounce_stream(stream(spark, a, 6, "logdate"))) == 60
+
+
+def test_debounce_with_expiry_fires_like_batch_and_counts(spark):
+    a = alarms(spark, [{"logdate": at(60 * i)} for i in range(60)]).select("equipmentid", "errorcode", "logdate", "logid")
+    got = rows(jobs.run_available(jobs.debounce_stream(stream(spark, a, 6, "logdate"), watermark="1 minute"), "s-deb"), "logdate")
+    assert [r["logid"] for r in got] == [r["logid"] for r in rows(al.debounce(a).where("fired"), "logdate")]
+    assert [r["fire_count"] for r in got] == [1, 2, 3, 4, 5] and {r["first_fired"] for r in got} == {at(0)}
+
+
+def test_lifecycle_forgets_resolved_alarms(spark):
+    ddl = "logid string, logdate timestamp, action_id string, action string, actor string, action_ts timestamp"
+    items = [(f"A{i}", at(0), f"{i}", "RESOLVED", "me", at(3600 * i)) for i in range(40)]
+    df = spark.createDataFrame(items, ddl)
+    assert last_state(spark, jobs.lifecycle_stream(stream(spark, df, 5, "action_ts"), watermark="1 minute", keep="1 hour")) < 25
