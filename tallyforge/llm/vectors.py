@@ -186,6 +186,8 @@ def _verified(dtype: type, cosine: float):
 def _groups(placed: DataFrame) -> DataFrame:
     """Rows by (bucket, i, j): buckets over PART rows are dealt into parts by hash, each two of which meet once."""
     full = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("bucket", F.ceil(F.col("n") / PART).alias("parts"))
+    # written, so that its true size is known when the join is planned: mostly there are few full buckets or none
+    full = written(full, "full")
     rows = placed.join(full, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
