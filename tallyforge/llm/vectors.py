@@ -20,7 +20,7 @@ from .common import forest, written
 from .components import connected_components
 
 COSINE = 0.95
-TABLES = 6
+TABLES = 4
 PROBES = 4
 _AXES = 4
 #: rows of a bucket compared in one task; a fuller bucket is dealt into parts, and each pair of parts is a group
