@@ -5,8 +5,8 @@ few words is compressed with the ordinary dictionary alone and with the toxic on
 give the same length, so the difference is what toxic text explains. A logistic fit on labelled documents turns the
 largest differences of a document into a probability.
 
-The fit uses a bounded sample of labelled rows (TOXIC_ROWS and ORDINARY_ROWS, by hash of the id); half of it trains the
-dictionaries, the other half calibrates.
+The fit uses a bounded sample of labelled rows (TOXIC_ROWS and ORDINARY_ROWS, by hash of the id). Its two halves
+calibrate each other: each is measured with dictionaries trained on the other one.
 """
 
 from __future__ import annotations
@@ -207,12 +207,10 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Distance:
     # near copies of one text would make its words look frequent: of those with one least shingle one text counts
     sample = texts(docs).join(F.broadcast(few), "doc_id").mapInArrow(_least_shingles, "text string, toxic int, h long, least long")
     sample = written(sample.dropDuplicates(["least", "toxic"]).select("text", "toxic", "h").repartition(16, "h"), "sample")
-    training, rest = sample.where("shiftright(h, 7) % 2 = 0"), sample.where("shiftright(h, 7) % 2 <> 0")
-    found = training.mapInArrow(_samples(_toxic_segments(training)), "toxic int, sample binary").collect()
-    ordinary = _trained(ORDINARY_BYTES, [bytes(r.sample) for r in found if not r.toxic])
-    toxic = _trained(TOXIC_BYTES, [bytes(r.sample) for r in found if r.toxic], k=24, d=6)
-    model = Distance(ordinary, toxic)
-    rows = rest.mapInArrow(_features(model), "toxic int, x array<double>").collect()
+    # each half is measured with the dictionaries of the other, and both together make the final ones
+    halves = [F.col("h").bitwiseAND(128) == k for k in (0, 128)]
+    rows = [r for one, other in (halves, halves[::-1]) for r in sample.where(other).mapInArrow(_features(_dictionaries(sample.where(one))), "toxic int, x array<double>").collect()]
+    model = _dictionaries(sample)
     y = np.array([r.toxic for r in rows], float)
     if len(set(y.tolist())) == 2:
         share = {k: n[k] / (y == k).sum() for k in (0, 1)}
@@ -224,6 +222,12 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Distance:
     return model
 
 
+def _dictionaries(sample: DataFrame) -> Distance:
+    found = sample.mapInArrow(_samples(_toxic_segments(sample)), "toxic int, sample binary").collect()
+    ordinary = _trained(ORDINARY_BYTES, [bytes(r.sample) for r in found if not r.toxic])
+    return Distance(ordinary, _trained(TOXIC_BYTES, [bytes(r.sample) for r in found if r.toxic], k=24, d=6))
+
+
 def _scores(model: Distance):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.open()
