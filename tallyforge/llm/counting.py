@@ -25,7 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LOOK_AHEAD = 2
 LEAF = 32
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 17
+_HELD = 1 << 22
 EDITS = "array<struct<start:long,remove:long,insert:string>>"
 
 
@@ -174,13 +175,36 @@ class Tree:
         return new, len(lengths)
 
 
+def _slices(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
+    """Rows [lo, hi) whose results together pass _HELD bytes: what a task holds does not grow with a batch."""
+    lo, held, i = 0, 0, -1
+    for i, n in enumerate(sizes):
+        held += n
+        if held > _HELD:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo <= i:
+        yield lo, i + 1
+
+
 def _built(shared, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(shared.value)
         for batch in batches:
-            trees = [Tree.build(t.as_py() or "", tokenizer) for t in batch.column("text")]
-            n = pa.array([t.n_tokens for t in trees], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), n, pa.array([t.pack() for t in trees], pa.large_binary()).cast(pa.binary())], [*kept, "__n_tokens", "__tree"])
+            n, packed = [], []
+
+            def sizes(texts: pa.Array) -> Iterator[int]:
+                for t in texts:
+                    tree = Tree.build(t.as_py() or "", tokenizer)
+                    n.append(tree.n_tokens)
+                    packed.append(tree.pack())
+                    yield len(packed[-1])
+
+            for lo, hi in _slices(sizes(batch.column("text"))):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], [*kept, "__n_tokens", "__tree"])
+                n.clear()
+                packed.clear()
 
     return run
 
@@ -197,15 +221,22 @@ def _edited(shared, kept: list[str]):
         tokenizer = Tokenizer(shared.value)
         for batch in batches:
             out = []
-            for text, data, edits in zip(batch.column("text"), batch.column("__tree"), batch.column("__edits")):
-                now, tree, encoded = text.as_py(), Tree.unpack(data.as_py()), 0
-                for e in edits.as_py() or []:
-                    if e and e["start"] is not None:
-                        now, n = tree.edit(now or "", e["start"], e["remove"] or 0, e["insert"] or "", tokenizer)
-                        encoded += n
-                out.append((now, tree.n_tokens, tree.n_pieces, encoded, tree.pack()))
-            columns = [pa.array([r[0] for r in out], pa.string())] + [pa.array([r[k] for r in out], pa.int64()) for k in (1, 2, 3)] + [pa.array([r[4] for r in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "text", "__n_tokens", "__n_pieces", "__n_encoded", "__tree"])
+
+            def sizes(rows: pa.RecordBatch) -> Iterator[int]:
+                for text, data, edits in zip(rows.column("text"), rows.column("__tree"), rows.column("__edits")):
+                    now, tree, encoded = text.as_py(), Tree.unpack(data.as_py()), 0
+                    for e in edits.as_py() or []:
+                        if e and e["start"] is not None:
+                            now, n = tree.edit(now or "", e["start"], e["remove"] or 0, e["insert"] or "", tokenizer)
+                            encoded += n
+                    out.append((now, tree.n_tokens, tree.n_pieces, encoded, tree.pack()))
+                    yield len(out[-1][4])
+
+            for lo, hi in _slices(sizes(batch)):
+                part = batch.slice(lo, hi - lo)
+                columns = [pa.array([r[0] for r in out], pa.string())] + [pa.array([r[k] for r in out], pa.int64()) for k in (1, 2, 3)] + [pa.array([r[4] for r in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, "text", "__n_tokens", "__n_pieces", "__n_encoded", "__tree"])
+                out.clear()
 
     return run
 
