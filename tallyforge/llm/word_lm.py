@@ -1,0 +1,127 @@
+"""Cross-entropy difference over words: how much better a target model predicts a document than a background model does.
+
+Both are word bigram models over one vocabulary, with the same Witten-Bell smoothing; the target model counts the target
+documents, the background model all of them. A token is a run of letters and digits or a run of other bytes without
+white space. Nothing is capped or broadcast: bigrams, words and contexts are tables that grow with the corpus, and a
+document meets the losses of its bigrams by a join.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import texts, written
+from .words import LETTERS_DIGITS, NOT_SPACE, Cutter, Words, mix
+
+_PIECE = 1 << 22
+# what stands before the first word of a text
+_START = np.uint64(0)
+
+
+def _cutter() -> Cutter:
+    return Cutter(np.where(LETTERS_DIGITS > 0, 1, 2 * (NOT_SPACE > 0)).astype(np.uint8), piece=_PIECE)
+
+
+def _bigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash of the word before) of every word; a text begins after the start mark."""
+    doc = np.repeat(np.arange(w.lo, w.hi), w.counts)
+    before = np.concatenate([[_START], w.hashes[:-1]])
+    before[np.flatnonzero(np.diff(doc, prepend=-1))] = _START
+    return doc, before
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigram counts of a piece's target texts and of all its texts."""
+    cutter = _cutter()
+    for batch in batches:
+        chosen = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        for w in cutter.words(batch.column("text")):
+            if len(w.hashes):
+                doc, before = _bigrams(w)
+                _, first, which, n = np.unique(mix(before * np.uint64(31) + w.hashes), return_index=True, return_inverse=True, return_counts=True)
+                target = np.bincount(which, chosen[doc], len(n)).astype(np.int64)
+                # bigrams of one context together: contexts compress
+                at = np.argsort(before[first])
+                first, n, target = first[at], n[at], target[at]
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(w.hashes[first].view(np.int64)), pa.array(target), pa.array(n)], ["before", "word", "target", "background"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each text holds each of its bigrams."""
+    cutter = _cutter()
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        for w in cutter.words(batch.column("text")):
+            if len(w.hashes):
+                doc, before = _bigrams(w)
+                _, first, n = np.unique(mix(mix(before * np.uint64(31) + w.hashes) + doc.astype(np.uint64)), return_index=True, return_counts=True)
+                # rows of one text together: their keys compress
+                first, n = first[at := np.argsort(first)], n[at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[doc[first]]), pa.array(before[first].view(np.int64)), pa.array(w.hashes[first].view(np.int64)), pa.array(n.astype(np.int32))], ["key", "before", "word", "n"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cutter = _cutter()
+    for batch in batches:
+        n = np.zeros(len(batch), np.int64)
+        for w in cutter.words(batch.column("text")):
+            n[w.lo : w.hi] = w.counts
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n)], ["doc_id", "key", "n_tokens"])
+
+
+def bigram_counts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(before, word, target, background), a written table: every bigram of `docs`, counted in target and in all texts.
+
+    The ids grow with the corpus, so they meet the texts by a merge join at every size.
+    """
+    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("target", F.lit(True)).hint("merge")
+    marked = texts(docs).join(ids, F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    counts = marked.mapInArrow(_counts, "before long, word long, target long, background long")
+    return written(counts.groupBy("before", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "bigrams")
+
+
+def losses(grams: DataFrame) -> DataFrame:
+    """(before, word, target_loss, background_loss) in nats of every bigram of `bigram_counts`.
+
+    Witten-Bell: c(vw) + T(v) p(w) over c(v) + T(v), T being the number of different words after v; p(w) is smoothed
+    alike towards the uniform distribution over the words of all documents and one unknown word.
+    """
+    models = ("target", "background")
+    words = grams.groupBy("word").agg(*[F.sum(m).alias(f"w_{m}") for m in models])
+    after = grams.groupBy("before").agg(*[F.sum(m).alias(f"n_{m}") for m in models], *[F.count_if(F.col(m) > 0).alias(f"k_{m}") for m in models])
+    total = words.agg(F.count(F.lit(1)).alias("vocabulary"), *[F.sum(f"w_{m}").alias(f"n_{m}") for m in models], *[F.count_if(F.col(f"w_{m}") > 0).alias(f"k_{m}") for m in models]).first()
+
+    def loss(m: str) -> Column:
+        n, k = total[f"n_{m}"] or 0, total[f"k_{m}"] or 0
+        even = 1.0 / (total["vocabulary"] + 1)
+        p1 = (F.col(f"w_{m}") + k * even) / float(n + k) if n else F.lit(even)
+        # a context the model never saw leaves p(w)
+        held = F.col(f"n_{m}") + F.col(f"k_{m}")
+        return -F.log(F.when(held > 0, (F.col(m) + F.col(f"k_{m}") * p1) / held).otherwise(p1))
+
+    joined = grams.join(after.hint("merge"), "before").join(words.hint("merge"), "word")
+    return joined.select("before", "word", *[loss(m).alias(f"{m}_loss") for m in models])
+
+
+def word_cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) for every row of `docs`; losses are means in nats a word.
+
+    The target model is of the documents named in `target_ids` (doc_id), the background model of all of `docs`. score is
+    target_loss - background_loss: the lower, the more a document is like the target. Null and empty texts have no
+    token and all losses 0. Without a target document its model is uniform over the vocabulary.
+    """
+    # rows of one text have one score; the counts of repeated rows add up and leave their mean as it is
+    keyed = texts(docs).withColumn("key", F.xxhash64("text"))
+    table = losses(bigram_counts(docs, target_ids)).hint("merge")
+    pairs = keyed.select("key", "text").mapInArrow(_pairs, "key long, before long, word long, n int")
+    means = pairs.join(table, ["before", "word"]).groupBy("key").agg(
+        *[(F.sum(F.col(f"{m}_loss") * F.col("n")) / F.sum("n")).alias(m) for m in ("target", "background")]
+    )
+    sizes = keyed.mapInArrow(_sizes, "doc_id long, key long, n_tokens long")
+    target, background = (F.coalesce(F.col(m), F.lit(0.0)) for m in ("target", "background"))
+    return sizes.join(means.hint("merge"), "key", "left").select("doc_id", "n_tokens", target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))

@@ -1,0 +1,74 @@
+import math
+import random
+import re
+from collections import Counter
+
+from frames import docs, no_docs, odd_docs, words
+
+from tallyforge.llm.word_lm import bigram_counts, word_cross_entropy_difference
+
+TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+")
+
+
+def cut(text):
+    return TOKEN.findall((text or "").encode())
+
+
+def losses(texts, vocabulary):
+    c2, c1, n, kinds = Counter(), Counter(), Counter(), Counter()
+    for t in texts:
+        w = cut(t)
+        c1.update(w)
+        c2.update(zip([b"", *w], w))
+    for (v, _), k in c2.items():
+        n[v] += k
+        kinds[v] += 1
+    total = sum(c1.values())
+
+    def p1(w):
+        return (c1[w] + len(c1) / vocabulary) / (total + len(c1)) if total else 1 / vocabulary
+
+    def loss(text):
+        w = cut(text)
+        p = [(c2[v, x] + kinds[v] * p1(x)) / (n[v] + kinds[v]) if n[v] else p1(x) for v, x in zip([b"", *w], w)]
+        return -sum(map(math.log, p)) / max(1, len(w))
+
+    return loss
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(57)
+    texts = ["".join(rng.choice("ab,. ") for _ in range(rng.randint(0, 80))) for _ in range(60)] + ["### && ###", "", None, "É中", "a b", "a b"]
+    for chosen in (range(0, 60, 3), ()):
+        target = spark.createDataFrame([(i,) for i in [*chosen, *chosen[:1]]] + [(None,), (999,)], "doc_id long")
+        vocabulary = len({w for t in texts for w in cut(t)}) + 1
+        near, far = losses([texts[i] for i in chosen], vocabulary), losses(texts, vocabulary)
+        rows = word_cross_entropy_difference(docs(spark, texts), target).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+        for r in rows:
+            t = texts[r.doc_id]
+            assert r.n_tokens == len(cut(t))
+            assert abs(r.target_loss - near(t)) < 1e-9 and abs(r.background_loss - far(t)) < 1e-9 and abs(r.score - (near(t) - far(t))) < 1e-9
+
+
+def test_order_of_words_counts(spark):
+    """The same letters and words, another order: only a model of phrases tells them apart."""
+    texts = ["red fox blue sky"] * 20 + ["sky red blue fox"] * 20
+    target = spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    score = {r.doc_id: r.score for r in word_cross_entropy_difference(docs(spark, texts), target).collect()}
+    assert score[0] < score[20]
+
+
+def test_table_grows_with_the_corpus(spark):
+    rng = random.Random(59)
+    texts = [words(rng, 50) for _ in range(400)]
+    none = spark.createDataFrame([], "doc_id long")
+    few, many = (bigram_counts(docs(spark, texts[:n]), none).count() for n in (40, 400))
+    assert many > 9 * few
+
+
+def test_odd_rows_and_empty_tables(spark):
+    d, none = odd_docs(spark), spark.createDataFrame([], "doc_id long")
+    rows = word_cross_entropy_difference(d, none).collect()
+    assert len(rows) == 13 and all(math.isfinite(r.score) for r in rows)
+    assert word_cross_entropy_difference(no_docs(spark), none).count() == 0
