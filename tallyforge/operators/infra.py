@@ -306,11 +306,24 @@ def counter_readings(ts: str, value: str) -> Column:
     return F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(value).cast("double").alias("value")))
 
 
-def rate_over(counter: DataFrame, keys: list[str], ts: str, value: str, width: str = "5 minutes") -> DataFrame:
-    """Per-second increase of a counter within each bucket; a fall is a reset, after which it counts from zero."""
-    seconds = interval_us(width) / 1e6
-    grouped = counter.groupBy(*keys, time_bucket(ts, width).alias("bucket")).agg(counter_readings(ts, value).alias("_r"))
-    return grouped.select(*keys, "bucket", (counted_up(F.col("_r")) / F.lit(seconds)).alias("rate"))
+def rate_over(counter: DataFrame, keys: list[str], ts: str, value: str, width: str = "5 minutes", across: bool = False, max_rows: int | None = None) -> DataFrame:
+    """Per-second increase of a counter within each bucket; a fall is a reset, after which it counts from zero.
+
+    With `across` the first reading of a bucket counts from the last reading before it, in whatever bucket that lies;
+    without, each bucket begins anew, as the SQL of the queries states it. Only the key's first reading has none before.
+    """
+    rows = counter.select(*keys, F.col(ts).alias("_ts"), time_bucket(ts, width).alias("bucket"), F.col(value).cast("double").alias("_v"))
+
+    def step(df: DataFrame, w: WindowSpec) -> DataFrame:
+        known = F.lag("_v").over(w)
+        before = known if across else F.when(F.lag("bucket").over(w).eqNullSafe(F.col("bucket")), known)
+        return df.withColumn("_b", before)
+
+    risen = F.when(F.col("_b").isNull(), 0.0).when(F.col("_v") >= F.col("_b"), F.col("_v") - F.col("_b")).otherwise(F.col("_v"))
+    read = over_rows(rows.where("_v IS NOT NULL"), keys, ["_ts", "_v"], 1, step, max_rows).select(*keys, "bucket", risen.alias("_step"))
+    # a bucket without a known reading still has its row
+    blank = rows.where("_v IS NULL").select(*keys, "bucket", F.lit(0.0).alias("_step"))
+    return read.unionByName(blank).groupBy(*keys, "bucket").agg((F.sum("_step") / F.lit(interval_us(width) / 1e6)).alias("rate"))
 
 
 def rate_degraded(rates: DataFrame, keys: list[str], back: int = 12, share: float = 0.5) -> DataFrame:
