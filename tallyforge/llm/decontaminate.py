@@ -54,9 +54,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def windows(benchmark: DataFrame) -> DataFrame:
     """(item, m, words): every run of 10 consecutive words of each item; an item of fewer words is one window.
 
-    Items without a word give none; an item whose id is null has no name to report and is left out.
+    Items without a word give none; the windows of an item whose id is null are searched like all others.
     """
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     return items.mapInArrow(_windows, "item string, m int, words binary").distinct()
 
 
@@ -137,8 +137,8 @@ def occurrences(p: Patterns, words: Words) -> list[tuple[int, int]]:
 class Matcher:
     """All windows of one pass, by length, and the items each of them belongs to."""
 
-    def __init__(self, rows: list[tuple[str, int, bytes]]):
-        owners: dict[tuple[int, bytes], list[str]] = {}
+    def __init__(self, rows: list[tuple[str | None, int, bytes]]):
+        owners: dict[tuple[int, bytes], list[str | None]] = {}
         for item, m, text in rows:
             owners.setdefault((m, bytes(text)), []).append(item)
         self.sets = []
@@ -146,7 +146,7 @@ class Matcher:
             p = Patterns.of(m, [t for n, t in owners if n == m])
             self.sets.append((p, [owners[m, t] for t in p.texts]))
 
-    def find(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+    def find(self, words: Words) -> tuple[np.ndarray, dict[int, set[str | None]]]:
         """Which words are hit, and the items by row."""
         n = len(words.hashes)
         change, items = np.zeros(n + 1, np.int64), {}
@@ -174,6 +174,11 @@ def _merged(a: list[dict], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _ordered(items: set[str | None]) -> list[str | None]:
+    """Items as sorted strings; those without an id are one item, the last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def _search(shared, kept: list[str], text: str):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -190,12 +195,12 @@ def _search(shared, kept: list[str], text: str):
                 first = np.concatenate([[0], np.cumsum(w.counts)])
                 for i, found in named.items():
                     spans[w.lo + i] = _runs(hit[first[i] : first[i + 1]])
-                    items[w.lo + i] = sorted(found)
+                    items[w.lo + i] = _ordered(found)
             if "__spans" in batch.schema.names:
                 before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())
                 for i, (s, t) in enumerate(before):
                     if s:
-                        spans[i], items[i] = _merged(s, spans[i]), sorted({*t, *items[i]})
+                        spans[i], items[i] = _merged(s, spans[i]), _ordered({*t, *items[i]})
             found = [pa.array(n_words), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, "__n_words", "__spans", "__items"])
 
@@ -224,10 +229,13 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: s
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings) and contaminated (a word is hit)."""
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted as strings) and contaminated (a word is hit).
+
+    All benchmark items without an id count as one in n_items, as in the SQL, and have no place in items.
+    """
     found = find_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, ["doc_id"])
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.array_sort("__items").alias("items"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.array_sort(F.array_compact("__items")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
