@@ -11,6 +11,7 @@ from .chat import format_conversations, read_back
 from .common import held_out, table, texts
 from .counting import apply_edits, build_trees, drill_edits
 from .decontaminate import contamination
+from .merkle import manifest
 from .mixing import mixture
 from .quality import fit as fit_quality
 from .quality import quality_scores
@@ -164,3 +165,56 @@ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(source_levels: int = 5, upper_levels: int = 3) -> str:
+    """The trees level by level; enough levels for a million rows a source and 4,096 sources."""
+
+    def leaf(text: str) -> str:
+        fields = [*(f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")), text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def climb(t: str, key: str, levels: int) -> str:
+        ctes = ""
+        for k in range(levels):
+            ctes += f"""
+{t}_run{k} AS (SELECT {key}, idx // 16 AS idx, (n + 15) // 16 AS n, list(digest ORDER BY idx) AS ds FROM {t}{k} WHERE n > 1 GROUP BY ALL),
+{t}{k + 1} AS (SELECT {key}, idx, n, sha256(array_to_string(ds, '')) AS digest FROM {t}_run{k} UNION ALL SELECT {key}, idx, n, digest FROM {t}{k} WHERE n = 1),"""
+        return ctes
+
+    def path(t: str, key: str, start: str, levels: int) -> str:
+        ctes = ""
+        for k in range(levels):
+            was, now = (start if k == 0 else f"{start}_{t}{k}"), f"{start}_{t}{k + 1}"
+            slot = f"idx // {16**k} % 16"
+            ctes += f"""
+{now} AS (SELECT w.* EXCLUDE (run) REPLACE (CASE WHEN ds IS NULL THEN proof ELSE proof || array_to_string(ds[1:{slot}], '') || array_to_string(ds[{slot} + 2:], '') END AS proof,
+    CASE WHEN ds IS NULL THEN up ELSE sha256(array_to_string(ds[1:{slot}], '') || up || array_to_string(ds[{slot} + 2:], '')) END AS up)
+  FROM (SELECT *, idx // {16 ** (k + 1)} AS run FROM {was}) w LEFT JOIN (SELECT {key} AS k, idx AS p, ds FROM {t}_run{k}) r ON w.{key} IS NOT DISTINCT FROM r.k AND run = r.p),"""
+        return ctes
+
+    # crc32 bit by bit; a byte comes in at every eighth
+    byte = "xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(s, i // 8 + 1, 1)) ELSE 0 END)"
+    bit = f"xor({byte} >> 1, ({byte} & 1) * 3988292384)"
+    return f"""
+WITH ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents),
+crcs AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, generate_series(0, 8 * strlen(s) - 1)), lambda c, i: {bit}), 4294967295) AS crc FROM ids),
+d AS (SELECT doc_id, source, {leaf("text")} AS digest,
+    CASE WHEN crc % 5 = 0 THEN {leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {leaf("text")} END AS up FROM documents LEFT JOIN crcs USING (doc_id)),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+t0 AS (SELECT source, idx, n, digest FROM l),{climb("t", "source", source_levels)}
+u AS (SELECT source, 0 AS u, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM t{source_levels}),
+v0 AS (SELECT u, idx, n, digest FROM u),{climb("v", "u", upper_levels)}
+s AS (SELECT doc_id, source, digest AS leaf, up, '' AS proof, idx FROM l),{path("t", "source", "s", source_levels)}
+x AS (SELECT s.doc_id, s.leaf, u.digest AS subroot, s.up, s.proof, u.idx, 0 AS u FROM s_t{source_levels} s JOIN u ON s.source IS NOT DISTINCT FROM u.source),{path("v", "u", "x", upper_levels)}
+r AS (SELECT digest AS root FROM v{upper_levels})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, up AS folded_root, up = root AS verified FROM x_v{upper_levels}, r
+"""
+
+
+ORACLES["op13_merkle_manifest"] = _merkle_sql()
