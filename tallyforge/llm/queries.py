@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster
 from .chat import format_conversations, read_back
 from .common import held_out, table, texts
 from .counting import apply_edits, build_trees, drill_edits
@@ -17,6 +18,7 @@ from .quality import fit as fit_quality
 from .quality import quality_scores
 from .sharding import shard_plan
 from .simhash import simhash_components
+from .suffixes import cuts, text_keys
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
 from .vectors import near_vectors
@@ -218,3 +220,47 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, up AS folded_
 
 
 ORACLES["op13_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), *text_keys(F.col("text")))
+    cut = cuts(docs).select("a", "b", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    lost = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans")]
+    return rows.join(cut, ["a", "b"], "left").select("doc_id", "n_bytes", *lost, F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster(table(spark, sf_dir, "embeddings"))
+    told = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", told.alias("centroid_sha256"))
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """Every vector meets every one of the 16 centroids; sums and distances of integers below 2^53 are exact as doubles."""
+
+    def near(k: int) -> str:
+        return f"""
+a{k} AS (SELECT r, min(struct_pack(d := d, k := k)) AS best FROM (SELECT r, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{k}) GROUP BY r),"""
+
+    steps = "".join(
+        f"""{near(i)}
+m{i} AS (SELECT k, list(m ORDER BY j) AS c FROM (SELECT best.k AS k, j, floor(sum(x[j]) / count(*)) AS m FROM a{i} JOIN v USING (r), generate_series(1, 64) AS g(j) GROUP BY ALL) GROUP BY k),
+c{i + 1} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k)),"""
+        for i in range(rounds)
+    )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT x, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h, x LIMIT 16)),{steps}{near(rounds)}
+f AS (SELECT vec_id, CAST(best.k AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance FROM a{rounds} JOIN v USING (r))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda m: CAST(CAST(m AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM f JOIN c{rounds} ON cluster = k
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _centroid_sql()
