@@ -25,9 +25,9 @@ from .common import doc_ranges, string_buffers, written
 
 LENGTH = 400
 #: lengths of the strings that windows are dealt by, for keys with ever more stretches
-GRAMS = (128, 368, LENGTH)
+GRAMS = (128, 368, 392, LENGTH)
 #: bytes of the different stretches of one key beyond which it is dealt anew
-KEY_BYTES = 1 << 18
+KEY_BYTES = 1 << 20
 _BLOCK = 1 << 21
 _WORD = 8
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -307,6 +307,24 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(rows)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges (a, b, lo, hi), sorted, with those that meet or overlap the one before made into one."""
+    held: list = []
+    for batch in batches:
+        a, b, lo, hi = (batch.column(c).to_numpy() for c in ("a", "b", "lo", "hi"))
+        if held:
+            a, b, lo, hi = (np.append(h, v) for h, v in zip(held, (a, b, lo, hi)))
+        if not len(a):
+            continue
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (lo[1:] > hi[:-1] + 1))
+        at = np.flatnonzero(new)
+        rows = a[at], b[at], lo[at], np.maximum.reduceat(hi, at)
+        held = [v[-1] for v in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(v[:-1]) for v in rows], ["a", "b", "lo", "hi"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in held], ["a", "b", "lo", "hi"])
+
+
 def _whole(df: DataFrame) -> DataFrame:
     """Ranges over all window starts of the stretches or texts that stand in the input more than once."""
     return df.where("n > 1").select("a", "b", F.lit(0).cast("long").alias("lo"), (F.octet_length("text") - LENGTH).cast("long").alias("hi"))
@@ -336,7 +354,8 @@ def _repeated(texts: DataFrame, grams: tuple[int, ...]) -> DataFrame:
             ranges = ranges.unionByName(_repeated(large, grams[1:]).withColumnsRenamed({"a": "h", "b": "s"}))
     ranges = written(ranges, "ranges")
     at = stretches.select("a", "b", "start", "h", "s")
-    return at.join(ranges.hint("merge"), ["h", "s"]).select("a", "b", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    found = at.join(ranges.hint("merge"), ["h", "s"]).select("a", "b", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    return found.repartition("a", "b").sortWithinPartitions("a", "b", "lo", "hi").mapInArrow(_merged, "a long, b long, lo long, hi long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
