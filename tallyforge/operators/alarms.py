@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,7 +15,9 @@ from ..functions.timeutil import interval_us
 from ..schema import PE_COLS
 from .aggregates import with_fallback_row
 from .joins import asof_nearest, bounded_join
-from .series import carry_forward, fold_sorted, over_rows, running_sums
+from .machines import in_chunks
+from .recurrences import Cooldown, Held
+from .series import over_rows
 from .spc import NO_RECIPE_SETTING
 
 
@@ -172,50 +171,10 @@ def temp_high(tele: DataFrame, as_of: datetime | str, window: str = "10 minutes"
 # ---------------------------------------------------------------------------------------------- debounce
 
 
-def _island_rows(alarms: DataFrame, keys: list[str], ts: str, tie: str, cooldown: str, max_rows: int | None) -> DataFrame:
-    """Number the stretches of alarms without a quiet period: the alarm after one always fires."""
-    us = interval_us(cooldown)
-
-    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-        return df.withColumn("_new", F.coalesce(gap >= us, F.lit(True)).cast("long"))
-
-    marked = over_rows(alarms, keys, [ts, tie], 1, build, max_rows)
-    return running_sums(marked, keys, [ts, tie], {"_island": F.col("_new")}, max_rows).drop("_new")
-
-
 def debounce(alarms: DataFrame, keys: list[str] | None = None, cooldown: str = "12 minutes", ts: str = "logdate", tie: str = "logid", max_rows: int | None = None) -> DataFrame:
-    """Mark the alarms that fire: an alarm is suppressed within `cooldown` of the last one of its key that fired.
-
-    Quiet periods of a cooldown cut a history into independent stretches, at all sizes; a stretch is folded in order as
-    a stream of batches, with one time carried from batch to batch and one search for each alarm that fires.
-    """
+    """Mark the alarms that fire: an alarm is suppressed within `cooldown` of the last one of its key that fired."""
     keys = keys or ["equipmentid", "errorcode"]
-    us = interval_us(cooldown)
-    rows = _island_rows(alarms, keys, ts, tie, cooldown, max_rows)
-    group = [*keys, "_island"]
-    return fold_sorted(rows, group, [ts, tie], _fold_cooldown(group, ts, us), "fired boolean").drop("_island")
-
-
-def _fold_cooldown(group: list[str], ts: str, us: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, last = None, None
-        for pdf in batches:
-            keys = list(zip(*[pdf[g] for g in group]))
-            cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
-            times, fired = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy(), np.zeros(len(pdf), bool)
-            for a, b in zip(cuts, cuts[1:]):
-                if keys[a] != seen:
-                    seen, last = keys[a], None
-                i = a if last is None else a + int(np.searchsorted(times[a:b], last + us))
-                while i < b:
-                    fired[i], last = True, int(times[i])
-                    i = a + int(np.searchsorted(times[a:b], last + us))
-            pdf["fired"] = fired
-            yield pdf
-
-    return fold
-
+    return in_chunks(alarms, keys, [ts, tie], Cooldown(ts, cooldown), {"fired": "boolean"}, max_rows)
 
 
 def debounce_state(marked: DataFrame, keys: list[str] | None = None, ts: str = "logdate") -> DataFrame:
@@ -299,19 +258,10 @@ def sustained(evals: DataFrame, keys: list[str], hold: str, step: str, ts: str =
 
     Evaluations sit on a grid of `step`; a missing one breaks the run.
     """
-    run = interval_us(hold)
-    grid = interval_us(step)
-
-    def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-        begins = F.col(cond) & ~(F.coalesce(F.lag(cond).over(w), F.lit(False)) & (F.coalesce(gap, F.lit(grid + 1)) <= grid))
-        return df.withColumn("_begin", F.when(begins, F.col(ts)))
-
-    marked = over_rows(evals, keys, [ts], 1, build, max_rows)
-    since = carry_forward(marked, keys, [ts], ["_begin"], max_rows)
-    held = F.unix_micros(ts) - F.unix_micros("_begin")
-    state = F.when(~F.col(cond), "ok").when(held >= run, "firing").otherwise("pending")
-    return since.withColumn("state", state).drop("_begin")
+    marked = in_chunks(evals, keys, [ts], Held(ts, cond, interval_us(step)), {"since": "long"}, max_rows)
+    firing = F.unix_micros(ts) - F.col("since") >= interval_us(hold)
+    state = F.when(F.col("since") < 0, "ok").when(firing, "firing").otherwise("pending")
+    return marked.withColumn("state", state).drop("since")
 
 
 def group_alerts(alerts: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import last, max_abs, rnd
 from ..schema import PE_COLS
-from .series import expanding_stats, one_sided_sums, over_rows, smoothed
+from .recurrences import one_sided_sums, smoothed
+from .series import expanding_stats, over_rows
 
 ORDER = ["time", "log_id"]
 

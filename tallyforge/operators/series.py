@@ -13,11 +13,9 @@ A window partitioned by machine puts one machine's whole history into one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -131,12 +129,15 @@ def expanding_stats(df: DataFrame, keys: list[str], order: list[str], x: str, ma
 
     def carry(chunks: DataFrame) -> DataFrame:
         b = _before(keys)
-        n, s = F.sum("_tn").over(b), F.sum(F.col("_tn") * F.col("_tm")).over(b)
-        square = F.sum(F.col("_tq") + F.col("_tn") * F.col("_tm") * F.col("_tm")).over(b)
+        # means are taken as distances from the key's first one: their squares cancel without loss
+        base = F.first(F.when(F.col("_tn") > 0, F.col("_tm")), ignorenulls=True).over(b)
+        chunks = chunks.withColumn("_base", F.coalesce(base, F.col("_tm"))).withColumn("_off", F.col("_tm") - F.col("_base"))
+        n, s = F.sum("_tn").over(b), F.sum(F.col("_tn") * F.col("_off")).over(b)
+        square = F.sum(F.col("_tq") + F.col("_tn") * F.col("_off") * F.col("_off")).over(b)
         return chunks.select(
             *keys, _CHUNK,
             F.coalesce(n, F.lit(0)).alias("_cn"),
-            (s / F.nullif(n, F.lit(0))).alias("_cm"),
+            (F.col("_base") + s / F.nullif(n, F.lit(0))).alias("_cm"),
             F.coalesce(square - s * s / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("_cq"),
         )
 
@@ -168,99 +169,3 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], cols: list[s
     out = with_carry(lay, local, {f"_t_{c}": F.max_by(c, _POS) for c in cols}, carry)
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in cols})
     return out.drop(_CHUNK, _POS, *[f"_c_{c}" for c in cols])
-
-
-def one_sided_sums(df: DataFrame, keys: list[str], order: list[str], up: Column, down: Column, max_rows: int | None = None) -> DataFrame:
-    """`cusum_pos` / `cusum_neg`: c_t = max(0, c_{t-1} + step_t), from running sums and their running minimum."""
-    lay = lay_out(df, keys, order, max_rows)
-    w = lay.window().rowsBetween(Window.unboundedPreceding, 0)
-    local = lay.df.withColumns({"_u": up, "_d": down})
-    local = local.withColumns({"_su": F.sum("_u").over(w), "_sd": F.sum("_d").over(w)})
-    local = local.withColumns({"_mu": F.min("_su").over(w), "_md": F.min("_sd").over(w)})
-    zero = F.lit(0.0)
-
-    def carry(chunks: DataFrame) -> DataFrame:
-        b = _before(keys)
-        off = chunks.withColumns({f"_o{s}": F.coalesce(F.sum(f"_t{s}").over(b), zero) for s in "ud"})
-        return off.select(
-            *keys, _CHUNK, "_ou", "_od",
-            *[F.coalesce(F.min(F.col(f"_o{s}") + F.col(f"_l{s}")).over(b), zero).alias(f"_f{s}") for s in "ud"],
-        )
-
-    totals = {"_tu": F.sum("_u"), "_td": F.sum("_d"), "_lu": F.min("_su"), "_ld": F.min("_sd")}
-    out = with_carry(lay, local, totals, carry)
-    for name, s in (("cusum_pos", "u"), ("cusum_neg", "d")):
-        level = F.col(f"_o{s}") + F.col(f"_s{s}")
-        floor_ = F.least(zero, F.col(f"_f{s}"), F.col(f"_o{s}") + F.col(f"_m{s}"))
-        out = out.withColumn(name, level - floor_)
-    return out.drop(_CHUNK, _POS, *[f"_{p}{s}" for p in ("", "s", "m", "o", "f") for s in "ud"])
-
-
-def fold_sorted(
-    df: DataFrame, group: list[str], order: list[str], fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], added: str,
-) -> DataFrame:
-    """Run `fold` over partitions that hold whole groups, sorted by group and order.
-
-    Batches arrive in order, so the fold carries its few scalars from one batch to the next: memory is one Arrow batch,
-    however long a group is, and many small groups share a call.
-    """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    ordered = df.repartition(*group).sortWithinPartitions(*group, *order)
-    return ordered.mapInPandas(fold, schema=f"{fields}, {added}")
-
-
-def level_after(v: np.ndarray, z: float | None, lam: float) -> np.ndarray:
-    """z_t = lam v_t + (1 - lam) z_{t-1} along `v`, from the level `z` before it (None: the first value is the level)."""
-    whole = v if z is None else np.concatenate([[z], v])
-    out = pd.Series(whole).ewm(alpha=lam, adjust=False).mean().to_numpy()
-    return out if z is None else out[1:]
-
-
-def fold_levels(group: list[str], x: str, out_col: str, along: Callable[[np.ndarray, float | None], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A fold for `fold_sorted`: `along(values, level before)` for each stretch of one group in a batch."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, z = None, None
-        for pdf in batches:
-            keys = list(zip(*[pdf[g] for g in group]))
-            cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
-            values, out = pdf[x].to_numpy(dtype=float, na_value=np.nan), np.empty(len(pdf))
-            for a, b in zip(cuts, cuts[1:]):
-                out[a:b] = along(values[a:b], z if keys[a] == seen else None)
-                seen, z = keys[a], out[b - 1]
-            pdf[out_col] = out
-            yield pdf
-
-    return fold
-
-
-def smoothed(df: DataFrame, keys: list[str], order: list[str], x: str, lam: float, out_col: str = "ewma", max_rows: int | None = None) -> DataFrame:
-    """z_t = lam x_t + (1-lam) z_{t-1}, z_0 = x_0 per key.
-
-    Each chunk is smoothed by itself; its true level then differs from its own by a term that decays geometrically from
-    the level the previous chunks ended on.
-    """
-    lay = lay_out(df, keys, order, max_rows)
-    keep = 1.0 - lam
-    fold = fold_levels([*keys, _CHUNK], x, out_col, lambda v, z: level_after(v, z, lam))
-    local = fold_sorted(lay.df.drop(_GROUP), [*keys, _CHUNK], order, fold, f"`{out_col}` double")
-    local = local.withColumn(_GROUP, F.struct(*keys, _CHUNK))
-
-    size = lay.size
-    at = F.pmod(F.col(_POS), F.lit(size))
-    weight = F.when(at == 0, F.pow(F.lit(keep), F.lit(size - 1))).otherwise(lam * F.pow(F.lit(keep), F.lit(size - 1) - at))
-    ends = lay.df.groupBy(*keys, _CHUNK).agg(
-        F.sum(weight * F.col(x)).alias("_end"), F.max(F.when(at == 0, F.col(x))).alias("_first")
-    )
-    # the chunk table of a key is short: one row for each `size` rows of its history
-    step = F.lit(keep**size)
-    level = F.aggregate(
-        F.collect_list(F.struct("_end", "_first")).over(_before(keys)),
-        F.lit(None).cast("double"),
-        lambda acc, c: F.when(acc.isNull(), c["_end"]).otherwise(c["_end"] + step * (acc - c["_first"])),
-    )
-    carry = ends.select(*keys, _CHUNK, "_first", level.alias("_in"))
-    joined = _join_carry(keys, local, carry)
-    fade = F.pow(F.lit(keep), F.pmod(F.col(_POS), F.lit(size)) + 1)
-    fixed = F.col(out_col) + F.when(F.col("_in").isNull(), F.lit(0.0)).otherwise(fade * (F.col("_in") - F.col("_first")))
-    return joined.withColumn(out_col, fixed).drop(_CHUNK, _POS, "_first", "_in")

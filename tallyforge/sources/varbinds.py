@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize_oid, rnd
-from ..operators.series import fold_levels, fold_sorted, level_after
+from ..operators.recurrences import half_average
 
 # Object identifiers of the supported tables.
 CPU_OIDS = ("1.3.6.1.2.1.25.3.3.1.2.", "1.3.6.1.4.1.2636.3.1.13.1.8.")
@@ -74,54 +73,62 @@ def temp_metrics(varbinds: DataFrame) -> DataFrame:
     return per.groupBy("device_id", "ts").agg(hot.alias("temp_c"), sensors.alias("temp_metrics"))
 
 
-def storage_metrics(varbinds: DataFrame) -> DataFrame:
-    """RAM and largest disk from the storage table; totals are capped and never below what is used."""
+def _storage_pick(rows: Column) -> Column:
+    """RAM and largest disk (total and used bytes, NULL where there is none) of one walk's storage rows (i, p, value).
+
+    Entries are read in index order. A named RAM entry always counts, the last one stays; an unnamed one of RAM size
+    only while no RAM has been found. Of the rest the largest wins, but one that is named a disk replaces what was before.
+    """
+
+    def field(i: Column, p: str) -> Column:
+        return F.array_max(F.transform(F.filter(rows, lambda r: (r["i"] == i) & (r["p"] == p)), lambda r: r["value"]))
+
+    def number(i: Column, p: str) -> Column:
+        # a plain cast would fail on words under ANSI rules
+        return F.coalesce(F.array_max(F.transform(F.filter(rows, lambda r: (r["i"] == i) & (r["p"] == p)), lambda r: r["num"])), F.lit(0.0))
+
+    ids = F.array_sort(F.array_distinct(F.transform(rows, lambda r: F.struct(r["idx"].alias("idx"), r["i"].alias("i")))))
+    entries = F.transform(ids, lambda e: F.struct(
+        F.lower(F.coalesce(field(e["i"], "2"), F.lit(""))).alias("kind"), number(e["i"], "4").alias("au"), number(e["i"], "5").alias("size"), number(e["i"], "6").alias("used"),
+    ))
+    pair = "cast(NULL AS struct<total:double,use:double>)"
+    start = F.struct(F.expr(pair).alias("r"), F.expr(pair).alias("d"))
+
+    def read(acc: Column, e: Column) -> Column:
+        own = F.struct((e["size"] * e["au"]).alias("total"), (e["used"] * e["au"]).alias("use"))
+        real, total = (e["size"] > 0) & (e["au"] > 0), e["size"] * e["au"]
+        ram = real & (e["kind"].rlike(RAM_TYPES) | (acc["r"].isNull() & (total > RAM_MIN) & (total < RAM_MAX)))
+        disk = real & ~ram & (e["kind"].rlike(DISK_TYPES) | acc["d"].isNull() | (total >= acc["d"]["total"]))
+        return F.struct(F.when(ram, own).otherwise(acc["r"]).alias("r"), F.when(disk, own).otherwise(acc["d"]).alias("d"))
+
+    return F.aggregate(entries, start, read)
+
+
+def _storage_rows(varbinds: DataFrame) -> DataFrame:
+    """The storage rows of a walk table with `_st`, the row as an entry of `_storage_pick`; NULL for other rows."""
     parts = F.split("oid", r"\.")
-    rows = _rows(varbinds, "storage").where(F.col("oid").startswith(STORAGE_OID)).withColumns(
-        {"_p": F.element_at(parts, -2), "_i": F.element_at(parts, -1)}
-    )
+    i = F.element_at(parts, -1)
+    own = (F.col("walker") == "storage") & F.col("oid").startswith(STORAGE_OID)
+    return varbinds.withColumn("_st", F.when(own, F.struct(F.expr("try_cast(element_at(split(oid, '[.]'), -1) as long)").alias("idx"), i.alias("i"), F.element_at(parts, -2).alias("p"), F.col("value").alias("value"), F.col("_num").alias("num"))))
 
-    def field(p: str, c: str = "_num") -> Column:
-        return F.max(F.when(F.col("_p") == p, F.col(c)))
 
-    entries = rows.groupBy("device_id", "ts", "_i").agg(
-        F.lower(F.coalesce(field("2", "value"), F.lit(""))).alias("kind"), F.coalesce(field("4"), F.lit(0.0)).alias("au"),
-        F.coalesce(field("5"), F.lit(0.0)).alias("size"), F.coalesce(field("6"), F.lit(0.0)).alias("used"),
-    )
-    sized = entries.withColumns(
-        {"total": F.col("size") * F.col("au"), "use": F.col("used") * F.col("au"), "idx": F.expr("try_cast(_i as long)")}
-    )
-    real = (F.col("size") > 0) & (F.col("au") > 0)
-    named_ram = F.col("kind").rlike(RAM_TYPES)
-    sized_ram = (F.col("total") > RAM_MIN) & (F.col("total") < RAM_MAX)
-    # entries are read in index order: a named RAM entry always counts (the last one stays), an unnamed one of RAM
-    # size only while no RAM has been found
-    first_ram = F.min(F.when(real & (named_ram | sized_ram), F.col("idx")))
-    per = sized.groupBy("device_id", "ts").agg(first_ram.alias("_first"))
-    tagged = sized.join(per, ["device_id", "ts"]).withColumn("ram", F.coalesce(real & (named_ram | (sized_ram & (F.col("idx") == F.col("_first")))), F.lit(False)))
-    pick_ram = F.max_by(F.struct("total", "use"), F.when(F.col("ram"), F.col("idx")))
-    # the largest entry wins, but a later entry that is named a disk replaces the one before it
-    disk = real & ~F.col("ram")
-    last_disk = F.max(F.when(disk & F.col("kind").rlike(DISK_TYPES), F.col("idx")))
-    chosen = tagged.groupBy("device_id", "ts").agg(pick_ram.alias("r"), last_disk.alias("_disk"))
-    later = tagged.join(chosen, ["device_id", "ts"])
-    from_here = disk & (F.col("_disk").isNull() | (F.col("idx") >= F.col("_disk")))
-    big = F.max_by(F.struct("total", "use"), F.when(from_here, F.struct("total", "idx")))
-    agg = later.groupBy("device_id", "ts").agg(F.first("r").alias("r"), big.alias("d"))
-
-    def pair(c: str, unit: float, name: str) -> list[Column]:
-        total = F.coalesce(F.nullif(F.col(c)["total"] / unit, F.lit(0.0)), F.lit(1.0))
-        used = F.least(F.coalesce(F.col(c)["use"] / unit, F.lit(0.0)), total)
-        total = F.least(total, F.lit(CAP))
-        return [
-            rnd(total, 2).alias(f"{name[0]}"), rnd(F.least(used, total), 2).alias(f"{name[1]}"),
-            rnd(F.greatest(total - used, F.lit(0.0)), 2).alias(f"{name[2]}"),
-        ]
-
-    return agg.select(
-        "device_id", "ts", *pair("r", 1048576.0, ["ram_total_mb", "ram_used_mb", "ram_free_mb"]),
-        *pair("d", 1073741824.0, ["disk_total_gb", "disk_used_gb", "disk_free_gb"]),
-    )
+def _sized(c: Column, unit: float, name: tuple[str, str, str]) -> list[Column]:
+    """Total, used and free of a pair in bytes; a total that is missing or zero is 1, totals are capped, used never above."""
+    total = F.coalesce(F.nullif(c["total"] / unit, F.lit(0.0)), F.lit(1.0))
+    used = F.least(F.coalesce(c["use"] / unit, F.lit(0.0)), total)
+    total = F.least(total, F.lit(CAP))
+    return [rnd(total, 2).alias(name[0]), rnd(F.least(used, total), 2).alias(name[1]), rnd(F.greatest(total - used, F.lit(0.0)), 2).alias(name[2])]
+
+
+_RAM, _DISK = ("ram_total_mb", "ram_used_mb", "ram_free_mb"), ("disk_total_gb", "disk_used_gb", "disk_free_gb")
+
+
+def storage_metrics(varbinds: DataFrame) -> DataFrame:
+    """RAM and largest disk from the storage table; totals are capped and never below what is used."""
+    rows = _storage_rows(_rows(varbinds, "storage")).where("_st IS NOT NULL")
+    # one entry for each line of one walk's storage table
+    picked = rows.groupBy("device_id", "ts").agg(_storage_pick(F.collect_list("_st")).alias("s"))
+    return picked.select("device_id", "ts", *_sized(F.col("s")["r"], 1048576.0, _RAM), *_sized(F.col("s")["d"], 1073741824.0, _DISK))
 
 
 def interface_counters(varbinds: DataFrame) -> DataFrame:
@@ -162,31 +169,6 @@ def machine_metrics(varbinds: DataFrame) -> DataFrame:
     return rows.groupBy("device_id", "ts").agg(*aggs)
 
 
-def _halved(v: np.ndarray, z: float | None) -> np.ndarray:
-    """Mean of each reading and the level before it; a level of exactly zero is replaced by the reading."""
-    out, i, z = np.empty(len(v)), 0, z or 0.0
-    while i < len(v):
-        if z == 0:
-            z = out[i] = v[i]
-            i += 1
-            continue
-        levels = level_after(v[i:], z, 0.5)
-        zeros = np.flatnonzero(levels == 0)
-        n = int(zeros[0]) + 1 if len(zeros) else len(levels)
-        out[i : i + n] = levels[:n]
-        i, z = i + n, out[i + n - 1]
-    return out
-
-
-def half_average(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
-    """Running half average kept across readings: the mean of the reading and the level before it; a zero level restarts.
-
-    Rows without a reading carry no level and are left out. Restarts depend on the values, so a key's readings pass
-    through one task in order, as a stream of batches with one number between them.
-    """
-    return fold_sorted(df.where(F.col(x).isNotNull()), keys, order, fold_levels(keys, x, out, _halved), f"`{out}` double")
-
-
 def position_error(varbinds: DataFrame) -> DataFrame:
     """(device_id, ts, pe): the half average over the single readings of both sensors, after the last one of each poll."""
     pe = {oid: float(d) for oid, (n, d) in MACHINE_OIDS.items() if n == "pe"}
