@@ -171,26 +171,30 @@ def _halved(v: np.ndarray, z: float | None) -> np.ndarray:
 
 
 class HalfAverage(Machine):
-    """`out` after each reading of `x`: its mean with the level before; the state is the level. Rows without one keep it.
+    """`out` after each row: every reading of its columns `x`, from left to right, is averaged with the level before it.
 
-    A level halves with every reading, so none reaches past `_HEAD` readings but for the last bit of a rounding: a longer
-    chunk ends on the same level whatever it began with.
+    The state is the level; a missing reading leaves it. A level halves with every reading, so none reaches past `_HEAD`
+    readings but for the last bit of a rounding: a longer chunk ends on the same level whatever it began with.
     """
 
     _HEAD = 2200
 
-    def __init__(self, x: str, out: str):
-        self.columns, self.out = (x,), out
+    def __init__(self, x: str | tuple[str, ...], out: str):
+        self.columns, self.out = (x,) if isinstance(x, str) else x, out
+
+    def _readings(self, rows):
+        x = np.stack([rows[c] for c in self.columns], axis=1).reshape(-1)
+        return x, ~np.isnan(x)
 
     def run(self, state, rows):
-        x = rows[self.columns[0]]
-        known = ~np.isnan(x)
+        x, known = self._readings(rows)
         levels = _halved(x[known], state)
-        return {self.out: _filled(levels, known, state)}, float(levels[-1]) if len(levels) else state
+        after = _filled(levels, known, state)[len(self.columns) - 1 :: len(self.columns)]
+        return {self.out: after}, float(levels[-1]) if len(levels) else state
 
     def summary(self, rows):
-        x = rows[self.columns[0]]
-        x = x[~np.isnan(x)]
+        x, known = self._readings(rows)
+        x = x[known]
         return x[: self._HEAD], float(_halved(x, None)[-1]) if len(x) > self._HEAD else None
 
     def advance(self, state, summary):

@@ -122,6 +122,40 @@ def _(t):
     return varbinds.storage_metrics(_storage_walks(t)).select("device_id", "ts", "ram_total_mb", "ram_used_mb", "disk_total_gb", "disk_used_gb")
 
 
+# everything that walks have told of a device so far, after each of its walks
+_STATE = (
+    f"WITH RECURSIVE {_VARBINDS}, {_STORE}, g AS (SELECT *, {_RAM} AS named, total > 100000000 AND total < 8000000000 AS sized FROM e), f AS (SELECT device_id, ts, min(idx) FILTER (WHERE named OR sized) AS first_ram FROM g GROUP BY 1, 2), "
+    "h AS (SELECT g.*, named OR (sized AND idx = first_ram) AS ram FROM g JOIN f USING (device_id, ts)), ld AS (SELECT device_id, ts, max(idx) FILTER (WHERE NOT ram AND kind LIKE '%25.2.1.4') AS last_disk FROM h GROUP BY 1, 2), "
+    "p AS (SELECT h.device_id, h.ts, max_by(struct_pack(t := total, u := used), idx) FILTER (WHERE ram) AS r, max_by(struct_pack(t := total, u := used), (total, idx)) FILTER (WHERE NOT ram AND (last_disk IS NULL OR idx >= last_disk)) AS d FROM h JOIN ld USING (device_id, ts) GROUP BY 1, 2), "
+    f"w AS (SELECT device_id, ts, walker, {r("avg(v) FILTER (WHERE walker = 'cpu')", 2)} AS cpu, max(v) FILTER (WHERE walker = 'temp' AND v > 0) AS temp, CAST(NULL AS DOUBLE) AS rt, CAST(NULL AS DOUBLE) AS ru, CAST(NULL AS DOUBLE) AS dt, CAST(NULL AS DOUBLE) AS du, max(v) FILTER (WHERE oid = '1.3.6.1.4.1.9999.1.4.2') / 100.0 AS pe FROM vb GROUP BY 1, 2, 3 "
+    "UNION ALL SELECT device_id, ts, 'storage', NULL, NULL, r.t, r.u, d.t, d.u, NULL FROM p), "
+    "q AS (SELECT device_id, ts, pe, row_number() OVER (PARTITION BY device_id ORDER BY ts) AS rn FROM w WHERE pe IS NOT NULL), z AS (SELECT device_id, ts, rn, pe AS z FROM q WHERE rn = 1 UNION ALL SELECT q.device_id, q.ts, q.rn, CASE WHEN z.z = 0 THEN q.pe ELSE (z.z + q.pe) / 2 END FROM z JOIN q ON q.device_id = z.device_id AND q.rn = z.rn + 1), "
+    "n AS (SELECT w.device_id, w.ts, walker, last(cpu IGNORE NULLS) OVER o AS cpu, max(temp) OVER o AS temp, last(rt IGNORE NULLS) OVER o AS rt, last(ru IGNORE NULLS) OVER o AS ru, last(dt IGNORE NULLS) OVER o AS dt, last(du IGNORE NULLS) OVER o AS du, max(CASE WHEN walker = 'storage' THEN 1 END) OVER o AS stored, last(z.z IGNORE NULLS) OVER o AS pe "
+    "FROM w LEFT JOIN z ON w.walker = 'ldi' AND z.device_id = w.device_id AND z.ts = w.ts WINDOW o AS (PARTITION BY w.device_id ORDER BY w.ts, walker ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT device_id, ts, walker, greatest(0, least(100, coalesce(cpu, 0))) AS cpu_load_percent, CAST(greatest(-40, least(150, coalesce(temp, 0))) AS DOUBLE) AS temp_c, {r('CASE WHEN stored = 1 THEN coalesce(rt / 1048576, 1) ELSE 0 END', 2)} AS ram_total_mb, "
+    f"{r('CASE WHEN stored = 1 THEN least(coalesce(ru / 1048576, 0), coalesce(rt / 1048576, 1)) ELSE 0 END', 2)} AS ram_used_mb, {r('CASE WHEN stored = 1 THEN coalesce(dt / 1073741824, 1) ELSE 0 END', 2)} AS disk_total_gb, "
+    f"{r('CASE WHEN stored = 1 THEN least(coalesce(du / 1073741824, 0), coalesce(dt / 1073741824, 1)) ELSE 0 END', 2)} AS disk_used_gb, {r('coalesce(pe, 0)', 4)} AS pe FROM n"
+)
+
+
+def all_walks(t: Tables) -> DataFrame:
+    return walks(t).drop("event_id").unionByName(_storage_walks(t))
+
+
+def shown_walks(df: DataFrame) -> DataFrame:
+    return df.select("device_id", "ts", "walker", "cpu_load_percent", "temp_c", "ram_total_mb", "ram_used_mb", "disk_total_gb", "disk_used_gb", fn.rnd("pe", 4).alias("pe"))
+
+
+@query("src2_device_state", "", _STATE)
+def _(t):
+    return shown_walks(varbinds.device_state(all_walks(t)))
+
+
+@query("src2_device_state_split", same_as="src2_device_state")
+def _(t):
+    return shown_walks(varbinds.device_state(all_walks(t), max_rows=9))
+
+
 @query("src3_normalize_oid", "", f"WITH {_VARBINDS} SELECT event_id, oid FROM vb")
 def _(t):
     return walks(t).select("event_id", fn.normalize_oid("oid").alias("oid"))

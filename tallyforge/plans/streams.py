@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..session import scratch_path
-from ..sources import ingest
-from ..streaming import jobs
+from ..sources import ingest, varbinds
+from ..streaming import jobs, ordered
 from .operations import RESETTING_SQL, SUSTAINED_SQL, _debounce_sql, actions, evaluations
 from .registry import ORACLES, query, r
-from .storage import _INGESTED, _ingested, telemetry_json
+from .storage import _INGESTED, _ingested, all_walks, shown_walks, telemetry_json
 from .tables import Tables
 
 # allowance that covers the order in which one file is read
@@ -124,6 +124,32 @@ def _(t):
 ORACLES["sm5_assemble_cycle_stream"] = ORACLES["sm5_assemble_cycle"]
 
 
+def closed(df: DataFrame, ts: str, **key: str) -> DataFrame:
+    """One row of a key of its own long after all others: the watermark passes everything that came before."""
+    end = df.agg(fn.ts_plus(F.max(ts), fn.interval_us("60 days")).alias(ts))
+    return end.select(*[(F.col(ts) if f.name == ts else F.lit(key.get(f.name)).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
+
+
+@query("sm5_poll_cycle_stream")
+def _(t):
+    parts = [*by_time(t.cycles, "ts"), closed(t.cycles, "ts", device_id="~", walker="cpu")]
+    out = streamed(t, parts, "polls", lambda s: ordered.poll_cycles_stream(s, "36 hours", tie="event_id"))
+    return out.withColumn("walkers", F.array_join("walkers", ","))
+
+
+ORACLES["sm5_poll_cycle_stream"] = ORACLES["sm5_poll_cycle"]
+
+
+@query("src2_device_state_stream")
+def _(t):
+    rows = varbinds.whole_walks(all_walks(t))
+    parts = [*by_time(rows, "ts"), closed(rows, "ts", device_id="~", walker="cpu")]
+    return shown_walks(streamed(t, parts, "states", lambda s: ordered.device_state_stream(s, keep="90 days")))
+
+
+ORACLES["src2_device_state_stream"] = ORACLES["src2_device_state"]
+
+
 @query("sm6_debounce_stream", "", _debounce_sql(96, "SELECT logid FROM f WHERE fired"))
 def _(t):
     rows = t.alarms.select("equipmentid", "errorcode", "logdate", "logid")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize_oid, rnd
-from ..operators.recurrences import half_average
+from ..operators.machines import Machine, in_chunks
+from ..operators.recurrences import HalfAverage, LastKnown, Together, half_average
 
 # Object identifiers of the supported tables.
 CPU_OIDS = ("1.3.6.1.2.1.25.3.3.1.2.", "1.3.6.1.4.1.2636.3.1.13.1.8.")
@@ -178,6 +181,83 @@ def position_error(varbinds: DataFrame) -> DataFrame:
     return levels.groupBy("device_id", "ts").agg(F.max_by("_z", "oid").alias("pe"))
 
 
+_PE = {oid: float(d) for oid, (n, d) in MACHINE_OIDS.items() if n == "pe"}
+_LAST = ("cpu", "ram", "ram_use", "disk", "disk_use", "stored")
+
+
+def whole_walks(varbinds: DataFrame) -> DataFrame:
+    """(device_id, ts, walker, items): each walk as one row, as a collector hands it over."""
+    return varbinds.groupBy("device_id", "ts", "walker").agg(F.collect_list(F.struct("oid", "value")).alias("items"))
+
+
+def walk_readings(walks: DataFrame) -> DataFrame:
+    """What each row of `whole_walks` says of its device, NULL where it says nothing.
+
+    cpu: mean load; temp: hottest sensor above zero; ram, disk: total and used bytes; stored: 1 for a storage walk;
+    pe_1, pe_2: the position-error sensors. A row is worked out by itself, so streams take it as batches do.
+    """
+
+    def read(r: Column) -> Column:
+        oid = F.regexp_replace(r["oid"], ",", ".")
+        tail = F.reverse(F.split(oid, r"\."))
+        number = F.coalesce(r["value"].try_cast("double"), F.lit(0.0))
+        return F.struct(oid.alias("oid"), r["value"].alias("value"), number.alias("num"), F.get(tail, 0).try_cast("long").alias("idx"), F.get(tail, 0).alias("i"), F.get(tail, 1).alias("p"))
+
+    rows = walks.withColumn("_r", F.transform(F.filter("items", lambda r: r["oid"].isNotNull()), read))
+
+    def numbers(walker: str, own: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter("_r", lambda r: (F.col("walker") == walker) & own(r)), lambda r: r["num"])
+
+    core = numbers("cpu", lambda r: F.exists(F.array(*map(F.lit, CPU_OIDS)), lambda p: F.startswith(r["oid"], p)))
+    load = F.when(F.size(core) > 0, rnd(F.aggregate(core, F.lit(0.0), lambda a, v: a + v) / F.size(core), 2))
+    hot = F.array_max(numbers("temp", lambda r: (r["num"] > 0) & F.exists(F.array(*map(F.lit, TEMP_OIDS)), lambda p: F.startswith(r["oid"], p))))
+
+    def sensor(oid: str) -> Column:
+        return F.array_max(numbers("ldi", lambda r: r["oid"] == oid)) / _PE[oid]
+
+    pe = [sensor(oid).alias(f"pe_{i}") for i, oid in enumerate(_PE, 1)]
+    stored = F.filter("_r", lambda r: (F.col("walker") == "storage") & F.startswith(r["oid"], F.lit(STORAGE_OID)))
+    told = rows.select("device_id", "ts", "walker", load.alias("cpu"), hot.alias("temp"), _storage_pick(stored).alias("s"), *pe)
+    store = [F.col("s")[p][f].alias(n) for p, f, n in (("r", "total", "ram"), ("r", "use", "ram_use"), ("d", "total", "disk"), ("d", "use", "disk_use"))]
+    return told.select("device_id", "ts", "walker", "cpu", "temp", *store, F.when(F.col("walker") == "storage", 1.0).alias("stored"), "pe_1", "pe_2")
+
+
+def walk_machine() -> Machine:
+    """The state of a device over its walks: last known load, RAM and disk, hottest temperature so far, half average."""
+    return Together(LastKnown(_LAST, ("temp",)), HalfAverage(("pe_1", "pe_2"), "pe_now"))
+
+
+WALK_STATE = {**{f"{c}_now": "double" for c in (*_LAST, "temp")}, "pe_now": "double"}
+
+
+def shown_state(walks: DataFrame) -> DataFrame:
+    """The columns that a row of the device shows, from the outputs of `walk_machine`."""
+
+    def known(c: str) -> Column:
+        return F.nanvl(F.col(f"{c}_now"), F.lit(None).cast("double"))
+
+    def pair(c: str, unit: float, names: tuple[str, str, str]) -> list[Column]:
+        sized = _sized(F.struct(known(c).alias("total"), known(f"{c}_use").alias("use")), unit, names)
+        # before the first storage walk there is nothing to show
+        return [F.when(known("stored").isNull(), 0.0).otherwise(v).alias(n) for v, n in zip(sized, names)]
+
+    return walks.select(
+        "device_id", "ts", "walker", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(known("cpu"), F.lit(0.0)))).alias("cpu_load_percent"),
+        F.greatest(F.lit(-40.0), F.least(F.lit(150.0), rnd(F.coalesce(known("temp"), F.lit(0.0)), 2))).alias("temp_c"),
+        *pair("ram", 1048576.0, _RAM), *pair("disk", 1073741824.0, _DISK), F.coalesce(known("pe"), F.lit(0.0)).alias("pe"),
+    )
+
+
+def device_state(varbinds: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """The state of each device after each of its walks: what a walk does not tell stays as earlier walks left it.
+
+    The temperature is the hottest ever seen; load, RAM and disk are the last ones known, a storage walk without RAM or
+    disk keeps the pair before it; the position error is half averaged over every reading. Zero stands for what no walk
+    has told yet.
+    """
+    return shown_state(in_chunks(walk_readings(whole_walks(varbinds)), ["device_id"], ["ts", "walker"], walk_machine(), WALK_STATE, max_rows))
+
+
 def normalize_varbinds(varbinds: DataFrame) -> dict[str, DataFrame]:
     """All metric tables of a walk table."""
     return {

@@ -11,12 +11,15 @@ import pickle
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeutil import interval_us
 from ..operators.cycles import TIMEOUT, WALKERS
+from ..operators.machines import Machine
+from ..sources.varbinds import WALK_STATE, shown_state, walk_machine, walk_readings
 
 
 class Fold:
@@ -82,6 +85,42 @@ def in_order(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list
     return rows.groupBy(*keys).applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Rows(Fold):
+    """Runs a machine of the batch operators over released rows; a key is forgotten `keep` after its last row."""
+
+    def __init__(self, machine: Machine, at: dict[str, int], keep: int):
+        self.machine, self.at, self.keep = machine, at, keep
+
+    def rows(self, key, inner, batch, now):
+        if batch:
+            arrays = {c: np.array([np.nan if r[i] is None else r[i] for r in batch]) for c, i in self.at.items()}
+            made, state = self.machine.run(inner and inner[0], arrays)
+            added = zip(*[v.tolist() for v in made.values()])
+            return (state, batch[-1][0]), [(*r, *a) for r, a in zip(batch, added)]
+        return (None if inner and now >= inner[1] + self.keep else inner), []
+
+    def due(self, inner):
+        return inner[1] + self.keep
+
+
+def machine_stream(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list[str], machine: Machine, added: dict[str, str], watermark: str, keep: str = "7 days") -> DataFrame:
+    """`machines.in_chunks` on a stream: every row, in order, with what the machine adds to it.
+
+    A key that is quiet for `keep` of event time is forgotten and begins anew.
+    """
+    names = list(dict.fromkeys([ts, *tie, *cols]))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    at = {c: names.index(c) for c in machine.columns}
+    return in_order(df, keys, ts, tie, cols, watermark, _Rows(machine, at, interval_us(keep)), {**{n: types[n] for n in names}, **added})
+
+
+def device_state_stream(walks: DataFrame, watermark: str = "1 minute", keep: str = "7 days") -> DataFrame:
+    """`varbinds.device_state` on a stream of whole walks (device_id, ts, walker, items)."""
+    readings = walk_readings(walks)
+    cols = [c for c in readings.columns if c not in ("device_id", "ts", "walker")]
+    return shown_state(machine_stream(readings, ["device_id"], "ts", ["walker"], cols, walk_machine(), WALK_STATE, watermark, keep))
+
+
 class _Cycles(Fold):
     def __init__(self, walkers: tuple[str, ...], timeout: str, at: int, n: int):
         self.walkers, self.timeout, self.at, self.n = set(walkers), interval_us(timeout), at, n
