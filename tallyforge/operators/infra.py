@@ -14,6 +14,8 @@ from ..functions import freshness, health_score, last, minus, pct, pg_int, rnd,
 from ..functions.timeutil import interval_us
 from .alarms import sustained
 from .joins import latest_per_key
+from .machines import in_chunks
+from .recurrences import Held, Recent, Together
 from .series import over_rows
 
 
@@ -179,6 +181,33 @@ def sustained_alerts(
     return reduce(DataFrame.unionByName, parts)
 
 
+# How the pipeline rules read a rate, and for how long their conditions must hold.
+PIPELINE = {"span": "1 hour", "share": 0.5, "stalled": "3 minutes", "degraded": "10 minutes"}
+
+
+def pipeline_rules(
+    rates: DataFrame, keys: list[str], step: str = "5 minutes", span: str = PIPELINE["span"], share: float = PIPELINE["share"],
+    stalled: str = PIPELINE["stalled"], degraded: str = PIPELINE["degraded"], max_rows: int | None = None,
+) -> DataFrame:
+    """Per bucket ok, pending or firing of two rules on ingestion rates.
+
+    Stalled: the rate is zero. Degraded: it is above zero and below `share` of its mean over `span`. A rule fires once its
+    condition has held for its time at every bucket; a missing bucket lets go of it.
+    """
+    mean = in_chunks(rates, keys, ["bucket"], Recent("bucket", "rate", interval_us(span), "mean_rate"), {"mean_rate": "double"}, max_rows)
+    low = rnd(F.col("rate") - F.col("mean_rate") * share, 6) < 0
+    told = mean.withColumns({"_stalled": F.col("rate") == 0, "_degraded": (F.col("rate") > 0) & low})
+    grid = interval_us(step)
+    held = Together(Held("bucket", "_stalled", grid, "_s"), Held("bucket", "_degraded", grid, "_d"))
+    out = in_chunks(told, keys, ["bucket"], held, {"_s": "long", "_d": "long"}, max_rows)
+
+    def state(since: str, hold: str) -> Column:
+        firing = F.unix_micros("bucket") - F.col(since) >= interval_us(hold)
+        return F.when(F.col(since) < 0, "ok").when(firing, "firing").otherwise("pending")
+
+    return out.select(*keys, "bucket", rnd("rate", 4).alias("rate"), rnd("mean_rate", 4).alias("mean_rate"), state("_s", stalled).alias("stalled"), state("_d", degraded).alias("degraded"))
+
+
 def rate_alerts(rates: DataFrame, keys: list[str], limit: float = 0.1, hold: str = "5 minutes", step: str = "5 minutes") -> DataFrame:
     """State of every bucket of `rate_over` against a limit that must be exceeded for the hold time."""
     evals = rates.select(*keys, F.col("bucket").alias("ts"), "rate", F.coalesce(F.col("rate") > limit, F.lit(False)).alias("cond"))
@@ -293,24 +322,11 @@ def counter_rate(counters: DataFrame, max_rows: int | None = None) -> DataFrame:
     }))
 
 
-def counted_up(readings: Column) -> Column:
-    """What a counter rose by over an array of (time, value): the positive steps, and after a reset the new value."""
-    ordered = F.array_sort(F.filter(readings, lambda r: r["value"].isNotNull()))
-    start = F.struct(F.lit(0.0).alias("sum"), F.get(ordered, 0)["value"].alias("last"))
-    risen = lambda acc, r: F.struct((acc["sum"] + F.when(r["value"] >= acc["last"], r["value"] - acc["last"]).otherwise(r["value"])).alias("sum"), r["value"].alias("last"))
-    return F.aggregate(ordered, start, risen, lambda acc: acc["sum"])
-
-
-def counter_readings(ts: str, value: str) -> Column:
-    """The (time, value) readings of a group, for `counted_up`; a group is one counter in one bucket."""
-    return F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(value).cast("double").alias("value")))
-
-
-def rate_over(counter: DataFrame, keys: list[str], ts: str, value: str, width: str = "5 minutes", across: bool = False, max_rows: int | None = None) -> DataFrame:
-    """Per-second increase of a counter within each bucket; a fall is a reset, after which it counts from zero.
+def rate_over(counter: DataFrame, keys: list[str], ts: str, value: str, width: str = "5 minutes", across: bool = True, max_rows: int | None = None) -> DataFrame:
+    """Per-second increase of a counter, by the bucket of the later reading; a fall is a reset, after which it counts from zero.
 
-    With `across` the first reading of a bucket counts from the last reading before it, in whatever bucket that lies;
-    without, each bucket begins anew, as the SQL of the queries states it. Only the key's first reading has none before.
+    The first reading of a bucket counts from the last reading before it, in whatever bucket that lies; without `across`
+    each bucket begins anew. Only the key's first reading has none before.
     """
     rows = counter.select(*keys, F.col(ts).alias("_ts"), time_bucket(ts, width).alias("bucket"), F.col(value).cast("double").alias("_v"))
 

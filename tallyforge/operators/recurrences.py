@@ -126,10 +126,10 @@ class Cooldown(Machine):
 
 
 class Held(Machine):
-    """`since`: when the run of true conditions began that holds at a row, -1 without one; a gap above `grid` breaks it."""
+    """`out`: when the run of true conditions began that holds at a row, -1 without one; a gap above `grid` breaks it."""
 
-    def __init__(self, ts: str, cond: str, grid: int):
-        self.columns, self.grid = (ts, cond), grid
+    def __init__(self, ts: str, cond: str, grid: int, out: str = "since"):
+        self.columns, self.grid, self.out = (ts, cond), grid, out
 
     def _parts(self, state, rows):
         times, cond = rows[self.columns[0]], np.array([c is not None and bool(c) for c in rows[self.columns[1]]])
@@ -141,7 +141,7 @@ class Held(Machine):
         times, cond, begins, since = self._parts(state, rows)
         at = np.maximum.accumulate(np.where(begins, np.arange(len(times)), -1))
         out = np.where(cond, np.where(at >= 0, times[at], since), -1).astype(np.int64)
-        return {"since": out}, (int(out[-1]), int(times[-1]), bool(cond[-1]))
+        return {self.out: out}, (int(out[-1]), int(times[-1]), bool(cond[-1]))
 
     def summary(self, rows):
         times, cond, begins, _ = self._parts(None, rows)
@@ -154,6 +154,39 @@ class Held(Machine):
         return (state[0], *end[1:]) if goes_on else end
 
 
+class Recent(Machine):
+    """`out`: the mean of `x` over the rows of the last `span` microseconds, the row itself included; missing ones do not count.
+
+    The state is those rows: times and values.
+    """
+
+    def __init__(self, ts: str, x: str, span: int, out: str):
+        self.columns, self.span, self.out = (ts, x), span, out
+
+    def _end(self, times, x):
+        near = times > times[-1] - self.span
+        return times[near], x[near]
+
+    def run(self, state, rows):
+        times, x = (rows[c] for c in self.columns)
+        n = len(times)
+        if state is not None:
+            times, x = np.append(state[0], times), np.append(state[1], x)
+        from_ = np.searchsorted(times, times - self.span, "right")
+        known = ~np.isnan(x)
+        sums, counts = np.append(0.0, np.cumsum(np.where(known, x, 0.0))), np.append(0, np.cumsum(known))
+        to = np.arange(1, len(times) + 1)
+        with np.errstate(invalid="ignore"):
+            mean = (sums[to] - sums[from_]) / (counts[to] - counts[from_])
+        return {self.out: mean[len(times) - n :]}, self._end(times, x)
+
+    def summary(self, rows):
+        return self._end(*(rows[c] for c in self.columns))
+
+    def advance(self, state, summary):
+        return summary if state is None else self._end(np.append(state[0], summary[0]), np.append(state[1], summary[1]))
+
+
 def _halved(v: np.ndarray, z: float | None) -> np.ndarray:
     """Mean of each reading and the level before it; a level of exactly zero is replaced by the reading."""
     out, i, z = np.empty(len(v)), 0, z or 0.0

@@ -348,9 +348,9 @@ def _(t):
     return al.inhibit(alerts(t)).select("event_id", "alertname", "severity")
 
 
-# a counter that falls back to zero now and then
+# a counter that falls back to zero now and then; each step counts in the bucket of its later reading
 RESETTING_SQL = (
-    "rt AS (SELECT event_type AS key, bucket, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END) / 21600.0 AS rate FROM (SELECT *, lag(v) OVER (PARTITION BY event_type, bucket ORDER BY ts, v) AS before "
+    "rt AS (SELECT event_type AS key, bucket, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END) / 21600.0 AS rate FROM (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY ts, v) AS before "
     "FROM (SELECT event_type, ts, time_bucket(INTERVAL '6 hours', ts) AS bucket, event_id % 50 AS v FROM events)) GROUP BY 1, 2)"
 )
 _RATE = RESETTING_SQL
@@ -361,7 +361,7 @@ _RATE = RESETTING_SQL
     f"WITH {_RATE}, m AS (SELECT *, avg(rate) OVER (PARTITION BY key ORDER BY bucket ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS mr FROM rt) SELECT key, bucket, {r('rate', 4)} AS rate, {r('mr', 4)} AS mean_rate, CASE WHEN rate = 0 THEN 'STALLED' WHEN {r('rate - mr * 0.9', 6)} < 0 THEN 'DEGRADED' ELSE 'OK' END AS status FROM m",
 )
 def _(t):
-    rates = infra.rate_over(t.raw("events").select(F.col("event_type").alias("key"), "ts", (F.col("event_id") % 50).alias("v")), ["key"], "ts", "v", "6 hours")
+    rates = infra.rate_over(readings(t), ["key"], "ts", "v", "6 hours")
     return infra.rate_degraded(rates, ["key"], 12, 0.9)
 
 
@@ -371,10 +371,30 @@ def _(t):
     f"h AS (SELECT *, bucket - max(since) OVER (PARTITION BY key ORDER BY bucket) AS held FROM b) SELECT key, bucket AS ts, {r('rate', 4)} AS rate, CASE WHEN NOT cond THEN 'ok' WHEN held >= INTERVAL 12 HOUR THEN 'firing' ELSE 'pending' END AS state FROM h",
 )
 def _(t):
-    rates = infra.rate_over(t.raw("events").select(F.col("event_type").alias("key"), "ts", (F.col("event_id") % 50).alias("v")), ["key"], "ts", "v", "6 hours")
+    rates = infra.rate_over(readings(t), ["key"], "ts", "v", "6 hours")
     return infra.rate_alerts(rates, ["key"], 0.01, "12 hours", "6 hours")
 
 
+def readings(t: Tables) -> DataFrame:
+    return t.raw("events").select(F.col("event_type").alias("key"), "ts", (F.col("event_id") % 50).alias("v"))
+
+
+# runs of a condition over buckets that follow each other, and for how long they have held
+_HELD = "CASE WHEN {c} AND NOT (coalesce(lag({c}) OVER w, false) AND bucket - lag(bucket) OVER w <= INTERVAL 1 HOUR) THEN bucket END AS since_{c}"
+_TOLD = "CASE WHEN NOT {c} THEN 'ok' WHEN bucket - max(since_{c}) OVER (PARTITION BY key ORDER BY bucket) >= INTERVAL {h} HOUR THEN 'firing' ELSE 'pending' END AS {c}"
+
+
+@query(
+    "sm12_pipeline_rules", "",
+    f"WITH {RESETTING_SQL.replace('6 hours', '1 hour').replace('21600.0', '3600.0')}, m AS (SELECT *, avg(rate) OVER (PARTITION BY key ORDER BY bucket RANGE BETWEEN INTERVAL '11 hours' PRECEDING AND CURRENT ROW) AS mr FROM rt), "
+    f"c AS (SELECT *, rate = 0 AS stalled, rate > 0 AND {r('rate - mr * 0.9', 6)} < 0 AS degraded FROM m), b AS (SELECT *, {_HELD.format(c='stalled')}, {_HELD.format(c='degraded')} FROM c WINDOW w AS (PARTITION BY key ORDER BY bucket)) "
+    f"SELECT key, bucket, {r('rate', 4)} AS rate, {r('mr', 4)} AS mean_rate, {_TOLD.format(c='stalled', h=2)}, {_TOLD.format(c='degraded', h=3)} FROM b",
+)
+def _(t):
+    rates = infra.rate_over(readings(t), ["key"], "ts", "v", "1 hour")
+    return infra.pipeline_rules(rates, ["key"], "1 hour", "12 hours", 0.9, "2 hours", "3 hours")
+
+
 @query("sm13_lateness_report", "alarms", f"SELECT link_basis, count(*) AS n, count(*) FILTER (WHERE ingest_ts < logdate) AS ingest_before_source, count(*) FILTER (WHERE logdate > {_A} - INTERVAL 2 DAY) AS future, count(*) FILTER (WHERE ingest_ts IS NULL) AS unstamped FROM alarms GROUP BY 1")
 def _(t):
     return quality.lateness_report(t.alarms, "logdate", "ingest_ts", "2024-01-29 00:00:00", ["link_basis"])

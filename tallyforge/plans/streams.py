@@ -11,7 +11,7 @@ from .. import functions as fn
 from ..session import scratch_path
 from ..sources import ingest, varbinds
 from ..streaming import jobs, ordered
-from .operations import RESETTING_SQL, SUSTAINED_SQL, _debounce_sql, actions, evaluations
+from .operations import RESETTING_SQL, SUSTAINED_SQL, _debounce_sql, actions, evaluations, readings
 from .registry import ORACLES, query, r
 from .storage import _INGESTED, _ingested, all_walks, shown_walks, telemetry_json
 from .tables import Tables
@@ -193,8 +193,9 @@ def _(t):
 
 @query("sm12_rate_stream", "", f"WITH {RESETTING_SQL} SELECT key, bucket, {r('rate', 4)} AS rate FROM rt")
 def _(t):
-    rows = t.spark.readStream.schema(t.schema("events")).parquet(t.glob("events")).select(F.col("event_type").alias("key"), "ts", (F.col("event_id") % 50).alias("v"))
-    return _complete(t, jobs.rate_stream(rows, "key", "ts", "v", "6 hours", _ALL), "rate").withColumn("rate", fn.rnd("rate", 4))
+    rows = readings(t)
+    parts = [*by_time(rows, "ts"), closed(rows, "ts", key="~")]
+    return streamed(t, parts, "rates", lambda s: ordered.rate_stream(s, ["key"], "ts", "v", "6 hours", keep="50 days")).where("key <> '~'").withColumn("rate", fn.rnd("rate", 4))
 
 
 @query("sm13_lateness_stream", "tele", "SELECT 'accepted' AS verdict, count(*) AS n FROM tele UNION ALL SELECT 'quarantined', count(*) FROM tele WHERE time < (SELECT max(time) - INTERVAL 10 DAY FROM tele)")

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeutil import interval_us, time_bucket, ts_lit, ts_plus
 from ..operators.alarms import link_alarms
-from ..operators.infra import counted_up, counter_readings, rates_between_polls, with_octets
+from ..operators.infra import rates_between_polls, with_octets
 from ..operators.rollup import Spec, reaggregate, rollup
 from ..operators.snapshot import detect_alarms
 from ..session import scratch_path
@@ -308,13 +308,6 @@ def link_writer(tele_path: str, out: str, tol: str = "2 minutes") -> Callable[[D
     return write
 
 
-def rate_stream(counter: DataFrame, key: str, ts: str, value: str, width: str, watermark: str) -> DataFrame:
-    """Per-second increase of a counter per closed window, resets counted as in the batch operator."""
-    seconds = interval_us(width) / 1e6
-    out = counter.withWatermark(ts, watermark).groupBy(F.window(ts, width).alias("_w"), key).agg(counter_readings(ts, value).alias("_r"))
-    return out.select(F.col("_w.start").alias("bucket"), key, (counted_up(F.col("_r")) / F.lit(seconds)).alias("rate"))
-
-
 def lateness_writer(out: str, ts: str, allowance: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: rows older than the newest time seen so far minus the allowance go to quarantine, the rest through.
 

@@ -160,3 +160,34 @@ def poll_cycles_stream(parts: DataFrame, timeout: str = TIMEOUT, walkers: tuple[
     order = list(dict.fromkeys([tie, "walker"]))
     out = {"cycle_start": "timestamp", "closed_at": "timestamp", "complete": "boolean", "walkers": "array<string>", **{c: types[c] for c in cols}}
     return in_order(own, ["device_id"], ts, order, ["walker", *cols], watermark, _Cycles(walkers, timeout, len(order), len(cols)), out)
+
+
+class _Rises(Fold):
+    """The inner state: the last known reading, what the buckets that are open have risen by, and the last row's time."""
+
+    def __init__(self, width: int, keep: int):
+        self.width, self.keep = width, keep
+
+    def rows(self, key, inner, batch, now):
+        known, risen, seen = inner or (None, {}, 0)
+        for t, v in batch:
+            bucket, seen = t - t % self.width, t
+            step = 0.0 if v is None or known is None else v - known if v >= known else v
+            risen[bucket] = risen.get(bucket, 0.0) + step
+            known = known if v is None else v
+        out = [(b, risen.pop(b) * 1e6 / self.width) for b in sorted(risen) if b + self.width <= now]
+        return (None if not risen and now >= seen + self.keep else (known, risen, seen)), out
+
+    def due(self, inner):
+        _, risen, seen = inner
+        return min(risen) + self.width if risen else seen + self.keep
+
+
+def rate_stream(counter: DataFrame, keys: list[str], ts: str, value: str, width: str = "5 minutes", watermark: str = "1 minute", keep: str = "1 day") -> DataFrame:
+    """`infra.rate_over` on a stream: the rate of each bucket once the watermark has passed it.
+
+    The state of a counter is its last reading, its open buckets and the readings of one watermark delay; a counter that
+    is quiet for `keep` is forgotten.
+    """
+    rows = counter.withColumn("_v", counter[value].cast("double"))
+    return in_order(rows, keys, ts, ["_v"], ["_v"], watermark, _Rises(interval_us(width), interval_us(keep)), {"bucket": "timestamp", "rate": "double"})
