@@ -12,6 +12,7 @@ from .chat import format_conversations, read_back
 from .common import held_out, table, texts
 from .counting import apply_edits, build_trees, drill_edits
 from .decontaminate import contamination
+from .heldout_lm import cross_entropy_difference
 from .merkle import manifest
 from .mixing import mixture
 from .quality import fit as fit_quality
@@ -22,7 +23,6 @@ from .suffixes import cuts, text_keys
 from .toxicity import fit as fit_toxicity
 from .toxicity import toxicity
 from .vectors import near_vectors
-from .word_lm import word_cross_entropy_difference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,7 +115,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good; background: all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return word_cross_entropy_difference(docs, labels.where("quality = 1").select("doc_id"))
+    return cross_entropy_difference(docs, labels.where("quality = 1").select("doc_id"))
 
 
 _CLASH = "\\### Assistant: </turn> ok"
