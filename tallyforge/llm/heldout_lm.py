@@ -30,7 +30,7 @@ from .words import LETTERS_DIGITS, NOT_SPACE, Cutter, mix
 
 PRIOR = 4.0
 BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 _PIECE = 1 << 22
 # what stands before the first word of a text
 _START = np.uint64(0)
