@@ -22,16 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import string_buffers, texts, written
 from .words import LETTERS_DIGITS, NOT_SPACE, Cutter, mix
 
 PRIOR = 4.0
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 # what stands before the first word of a text
 _START = np.uint64(0)
 _TEXT, _FLAG, _COUNTS = 1, 0, 2
@@ -41,13 +42,16 @@ def _cutter() -> Cutter:
     return Cutter(np.where(LETTERS_DIGITS > 0, 1, 2 * (NOT_SPACE > 0)).astype(np.uint8), piece=_PIECE)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """64-bit numbers byte place by byte place, so that the places which hardly change compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(*columns: np.ndarray) -> bytes:
+    """64-bit numbers byte place by byte place, compressed: places that hardly change cost little."""
+    planes = [np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).tobytes() for v in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpacked(raw: bytes, kind: type = np.uint64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+def _unpacked(raw: bytes, n_columns: int) -> np.ndarray:
+    """The numbers of `_packed`, one row a column."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(n_columns, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(n_columns, -1)
 
 
 class Block:
@@ -77,66 +81,74 @@ class Block:
         return out.astype(np.int64)
 
 
-def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch that are the same in id and text once, with their number."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, kind, payload): the texts of one batch that go to one block, compressed; rows that are the same once."""
     for batch in batches:
         frame = pd.DataFrame({c: batch.column(c).to_pandas() for c in ("doc_id", "a", "b")})
         group = frame.groupby(["doc_id", "a", "b"], dropna=False, sort=False).ngroup().to_numpy()
         _, first, n = np.unique(group, return_index=True, return_counts=True)
-        kept = batch.take(pa.array(first))
-        yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("doc_id", "a", "text")], pa.array(n)], ["doc_id", "a", "text", "n"])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, set, list]]:
-    """(block, its text rows, (id, text hash) of its target rows, its counts by range) of rows sorted by block and kind."""
-    now, rows, flags, counts = None, [], set(), []
-
-    def one() -> tuple:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        return now, table.to_batches()[0], flags, [c[1:] for c in sorted(counts)]
-
+        block = batch.column("block").to_numpy()[first]
+        order = np.argsort(block, kind="stable")
+        kept, n, block = batch.take(pa.array(first[order])), n[order], block[order]
+        data, offsets = string_buffers(kept.column("text"))
+        ids, a, named = kept.column("doc_id").fill_null(0).to_numpy(), kept.column("a").to_numpy(), kept.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.append(np.flatnonzero(np.diff(block, prepend=block[:1] - 1)), len(block))
+        for i, j in zip(cuts, cuts[1:]):
+            numbers = _packed(ids[i:j], a[i:j], n[i:j], named[i:j].astype(np.int64), np.diff(offsets[i : j + 1]))
+            text = zstandard.ZstdCompressor(level=1).compress(data[offsets[i] : offsets[j]].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(block[i])]), pa.array([_TEXT], pa.int32()), pa.array([numbers], pa.binary()), pa.array([text], pa.binary())], ["block", "kind", "numbers", "packed"]
+            )
+
+
+class Texts:
+    """The rows of a block: ids (`named`: where there is one), text hashes, how often each row stands, texts."""
+
+    def __init__(self, packs: list[tuple[bytes, bytes]]):
+        numbers = np.concatenate([_unpacked(p[0], 5) for p in packs], axis=1)
+        self.ids, self.a, self.n, self.named, lengths = numbers
+        raw = b"".join(zstandard.ZstdDecompressor().decompress(p[1]) for p in packs)
+        offsets = np.append(0, np.cumsum(lengths))
+        self.column = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts, set, list]]:
+    """(block, its texts, (id, text hash) of its target rows, its counts by range) of rows sorted by block and kind."""
+    now, packs, flags, counts = None, [], set(), []
     for batch in batches:
-        block = batch.column("block").to_numpy()
-        kind = batch.column("kind").to_numpy()
-        edges = np.append(np.flatnonzero((np.diff(block, prepend=block[:1] - 1) != 0) | (np.diff(kind, prepend=-1) != 0)), len(block))
-        for i, j in zip(edges, edges[1:]):
-            if block[i] != now:
-                if rows:
-                    yield one()
-                now, rows, flags, counts = int(block[i]), [], set(), []
-            part = batch.slice(i, j - i)
-            if kind[i] == _TEXT:
-                rows.append(part.select(["doc_id", "a", "text", "n"]))
-            elif kind[i] == _FLAG:
-                flags.update(zip(part.column("doc_id").to_pylist(), part.column("a").to_pylist()))
+        for block, kind, doc_id, a, r, numbers, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "doc_id", "a", "r", "numbers", "packed"))):
+            if block != now:
+                if packs:
+                    yield now, Texts(packs), flags, [c for _, c in sorted(counts)]
+                now, packs, flags, counts = block, [], set(), []
+            if kind == _TEXT:
+                packs.append((numbers, packed))
+            elif kind == _FLAG:
+                flags.add((doc_id, a))
             else:
-                counts.extend(zip(*(part.column(c).to_pylist() for c in ("r", "target", "every"))))
-    if rows:
-        yield one()
+                counts.append((r, numbers))
+    if packs:
+        yield now, Texts(packs), flags, [c for _, c in sorted(counts)]
 
 
 def _asking(n_ranges: int):
-    """(r, block, keys, target, every) for each range of hashes that a block has words or bigrams in."""
+    """(r, block, keys and counts) for each range of hashes that a block has words or bigrams in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, flags, _ in _blocks(batches):
-            held = Block(rows.column("text"))
-            n = rows.column("n").to_numpy()
-            chosen = np.array([pair in flags for pair in zip(rows.column("doc_id").to_pylist(), rows.column("a").to_pylist())], bool)
-            every, target = held.counted(n), held.counted(n * chosen)
+            held = Block(rows.column)
+            chosen = np.array([bool(named) and pair in flags for named, pair in zip(rows.named, zip(rows.ids.tolist(), rows.a.tolist()))], bool)
+            every, target = held.counted(rows.n), held.counted(rows.n * chosen)
             r = (held.keys >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
             new = np.append(np.flatnonzero(np.diff(r, prepend=r[:1] + np.uint64(1))), len(r))
-            for i in range(0, len(new) - 1, 512):
-                cut = list(zip(new[i : i + 512], new[i + 1 : i + 513]))
-                packed = [[_packed(v[a:b]) for a, b in cut] for v in (held.keys, target, every)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(r[a]) for a, _ in cut], pa.int64()), pa.array([block] * len(cut), pa.int64()), *[pa.array(p, pa.binary()) for p in packed]], ["r", "block", "keys", "target", "every"]
-                )
+            for i, j in zip(new, new[1:]):
+                packed = _packed(held.keys[i:j], target[i:j], every[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array([int(r[i])]), pa.array([block]), pa.array([packed], pa.binary())], ["r", "block", "numbers"])
 
     return run
 
 
-_TOLD = pa.schema([("block", pa.int64()), ("r", pa.int64()), ("target", pa.binary()), ("every", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_TOLD = pa.schema([("block", pa.int64()), ("r", pa.int64()), ("numbers", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,30 +158,27 @@ def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         sums, stats = [], []
         for half in (0, 1):
-            own = [r for r in rows if r[1] % 2 == half]
-            keys = [_unpacked(r[2]) for r in own]
-            whole, at = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True)
-            both = [np.bincount(at, np.concatenate([_unpacked(r[k], np.int64) for r in own]), len(whole)).astype(np.int64) if own else np.zeros(0, np.int64) for k in (3, 4)]
+            own = [_unpacked(r[2], 3) for r in rows if r[1] % 2 == half] or [np.zeros((3, 0), np.int64)]
+            keys, *each = np.concatenate(own, axis=1)
+            whole, at = np.unique(keys.view(np.uint64), return_inverse=True)
+            both = [np.bincount(at, c, len(whole)).astype(np.int64) for c in each]
             sums.append((whole, both))
             word = (whole & np.uint64(1)) == 1
             stats += [int(x) for c in both for x in (c[word].sum(), np.count_nonzero(c[word]))]
         stats.append(len(np.union1d(*[w[(w & np.uint64(1)) == 1] for w, _ in sums])))
         r = rows[0][0]
         yield pa.RecordBatch.from_pylist([{"block": -1, "r": r, "stats": stats}], _TOLD)
-        for i in range(0, len(rows), 64):
-            out = []
-            for _, block, raw, *_ in rows[i : i + 64]:
-                whole, both = sums[1 - block % 2]
-                keys = _unpacked(raw)
-                at = np.minimum(np.searchsorted(whole, keys), max(len(whole) - 1, 0))
-                hit = whole[at] == keys if len(whole) else np.zeros(len(keys), bool)
-                counts = [np.where(hit, c[at], 0) if len(whole) else np.zeros(len(keys), np.int64) for c in both]
-                out.append({"block": block, "r": r, "target": _packed(counts[0]), "every": _packed(counts[1])})
-            yield pa.RecordBatch.from_pylist(out, _TOLD)
+        for _, block, raw in rows:
+            whole, both = sums[1 - block % 2]
+            keys = _unpacked(raw, 3)[0].view(np.uint64)
+            at = np.minimum(np.searchsorted(whole, keys), max(len(whole) - 1, 0))
+            hit = whole[at] == keys if len(whole) else np.zeros(len(keys), bool)
+            counts = [np.where(hit, c[at], 0) if len(whole) else np.zeros(len(keys), np.int64) for c in both]
+            yield pa.RecordBatch.from_pylist([{"block": block, "r": r, "numbers": _packed(*counts)}], _TOLD)
 
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("r", "block", "keys", "target", "every"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("r", "block", "numbers"))):
             if rows and rows[0][0] != row[0]:
                 yield from told(rows)
                 rows = []
@@ -188,20 +197,19 @@ def _scoring(stats: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, _, counts in _blocks(batches):
-            held = Block(rows.column("text"))
+            held = Block(rows.column)
             other = stats[4:8] if block % 2 == 0 else stats[:4]
-            n_tokens = np.bincount(held.doc, minlength=len(rows))
+            n_tokens = np.bincount(held.doc, minlength=len(rows.n))
             means = []
-            for i in (0, 1):
-                c = np.concatenate([_unpacked(x[i], np.int64) for x in counts])
+            for i, c in enumerate(np.concatenate([_unpacked(x, 2) for x in counts], axis=1)):
                 loss = losses(held, c, other[2 * i], other[2 * i + 1])
-                means.append(np.bincount(held.doc, loss, len(rows)) / np.maximum(n_tokens, 1))
-            of = np.repeat(np.arange(len(rows)), rows.column("n").to_numpy())
-            ids = rows.column("doc_id").take(pa.array(of))
+                means.append(np.bincount(held.doc, loss, len(rows.n)) / np.maximum(n_tokens, 1))
+            of = np.repeat(np.arange(len(rows.n)), rows.n)
             for i in range(0, len(of), 1 << 16):
                 part = of[i : i + (1 << 16)]
+                ids = pa.array(rows.ids[part], mask=rows.named[part] == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(part)), pa.array(n_tokens[part]), *[pa.array(m[part]) for m in means], pa.array((means[0] - means[1])[part])],
+                    [ids, pa.array(n_tokens[part]), *[pa.array(m[part]) for m in means], pa.array((means[0] - means[1])[part])],
                     ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
                 )
 
@@ -226,16 +234,16 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
     flags = rows.select("doc_id", "a").join(ids, "doc_id", "left_semi").distinct().select(block, F.lit(_FLAG).alias("kind"), "doc_id", "a")
     flags = written(flags, "targets")
-    once = rows.mapInArrow(_collapsed, "doc_id long, a long, text string, n long")
-    dealt = once.select(block, F.lit(_TEXT).alias("kind"), "doc_id", "a", "n", "text").unionByName(flags, allowMissingColumns=True)
+    packs = rows.withColumn("block", block).mapInArrow(_together, "block long, kind int, numbers binary, packed binary")
+    dealt = packs.unionByName(flags, allowMissingColumns=True).withColumn("r", F.lit(None).cast("long"))
 
     def blocked(df: DataFrame) -> DataFrame:
         return df.repartition("block").sortWithinPartitions("block", "kind")
 
-    asked = blocked(dealt).mapInArrow(_asking(n_ranges), "r long, block long, keys binary, target binary, every binary")
-    told = asked.repartition("r").sortWithinPartitions("r").mapInArrow(_added_up, "block long, r long, target binary, every binary, stats array<long>")
+    asked = blocked(dealt).mapInArrow(_asking(n_ranges), "r long, block long, numbers binary")
+    told = asked.repartition("r").sortWithinPartitions("r").mapInArrow(_added_up, "block long, r long, numbers binary, stats array<long>")
     told = written(told, "counts")
     stats = told.where("block = -1").agg(*[F.sum(F.col("stats")[i]) for i in range(9)]).first()
-    counts = told.where("block >= 0").select("block", F.lit(_COUNTS).alias("kind"), "r", "target", "every")
+    counts = told.where("block >= 0").select("block", F.lit(_COUNTS).alias("kind"), "r", "numbers")
     scored = dealt.unionByName(counts, allowMissingColumns=True)
     return blocked(scored).mapInArrow(_scoring([x or 0 for x in stats]), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
