@@ -235,8 +235,11 @@ def lifecycle_fold(alarms: DataFrame, actions: DataFrame) -> tuple[DataFrame, Da
 # ---------------------------------------------------------------------------------------------- linking
 
 
-def link_alarms(alarms: DataFrame, tele: DataFrame, tol: str = "2 minutes", prune: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(linked, rejected): a missing related_log_id is filled with the nearest row within `tol`, a given one must exist."""
+def link_alarms(alarms: DataFrame, tele: DataFrame, tol: str = "2 minutes", prune: bool = True, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(linked, rejected): a missing related_log_id is filled with the nearest row within `tol`, a given one must exist.
+
+    `ids`: the telemetry that a given id may name, where `tele` is only a part of it.
+    """
     own = alarms.columns
     open_ = alarms.where(F.col("related_log_id").isNull())
     found = asof_nearest(
@@ -244,7 +247,7 @@ def link_alarms(alarms: DataFrame, tele: DataFrame, tol: str = "2 minutes", prun
         right_by="eqp_id", right_ts="time", prune=prune,
     ).withColumn("link_basis", F.when(F.col("related_log_id").isNotNull(), "nearest"))
     given = alarms.where(F.col("related_log_id").isNotNull())
-    ids = tele.select(F.col("log_id").alias("related_log_id"))
+    ids = (tele if ids is None else ids).select(F.col("log_id").alias("related_log_id"))
     valid = given.join(ids, "related_log_id", "left_semi").withColumn("link_basis", F.lit("causal"))
     rejected = given.join(ids, "related_log_id", "left_anti")
     return found.select(*own).unionByName(valid.select(*own)), rejected.select(*own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -124,9 +125,9 @@ def _(t):
 ORACLES["sm5_assemble_cycle_stream"] = ORACLES["sm5_assemble_cycle"]
 
 
-def closed(df: DataFrame, ts: str, **key: str) -> DataFrame:
+def closed(df: DataFrame, ts: str, days: int = 60, **key: str) -> DataFrame:
     """One row of a key of its own long after all others: the watermark passes everything that came before."""
-    end = df.agg(fn.ts_plus(F.max(ts), fn.interval_us("60 days")).alias(ts))
+    end = df.agg(fn.ts_plus(F.max(ts), fn.interval_us(f"{days} days")).alias(ts))
     return end.select(*[(F.col(ts) if f.name == ts else F.lit(key.get(f.name)).cast(f.dataType)).alias(f.name) for f in df.schema.fields])
 
 
@@ -186,6 +187,55 @@ def _(t):
 ORACLES["sm9_link_alarms_stream"] = ORACLES["sm9_link_alarms"]
 
 
+def late_links(t: Tables, cuts: int) -> DataFrame:
+    """Alarms delivered in `cuts` stretches, each before the telemetry of its time is there."""
+    tele, out = scratch_path(t.spark, "tele"), scratch_path(t.spark, "linked")
+    rows = t.tele.select("time", "eqp_id", "log_id")
+    writer = jobs.link_writer(tele, out, "2 hours", "1 hour")
+    slices = by_time(rows, "time", cuts)
+    rows.limit(0).write.parquet(tele)
+    arrivals = iter([None, *slices])
+
+    def run(source: DataFrame, ckpt: str) -> None:
+        part = next(arrivals)
+        if part is not None:
+            part.write.mode("append").parquet(tele)
+        jobs.run_batches(source, writer, ckpt)
+
+    deliver(t, by_time(t.alarms, "logdate", cuts), "alarms", run)
+    slices[-1].unionByName(closed(rows, "time")).write.mode("append").parquet(tele)
+    jobs.settle_links(t.spark, writer, out)
+    return t.spark.read.schema(t.alarms.schema).parquet(f"{out}/linked/batch=*").select("logid", "related_log_id", "link_basis")
+
+
+@query("sm9_link_late_stream")
+def _(t):
+    return late_links(t, 3)
+
+
+ORACLES["sm9_link_late_stream"] = ORACLES["sm9_link_alarms"]
+
+
+@query("sm9_link_nearest_stream")
+def _(t):
+    tele, alarms, ckpt, out = (scratch_path(t.spark, x) for x in ("tele", "alarms", "nearest-ckpt", "nearest"))
+    rows, own = t.tele.select("time", "eqp_id", "log_id"), t.alarms
+    # each delivery of alarms comes before its telemetry, and at last rows of either long after all others: the first
+    # lets the join go of what waits in it, the second the choice among what was joined
+    a_parts = [*by_time(own, "logdate"), *(closed(own, "logdate", days, logid="~") for days in (60, 120))]
+    d_parts = [rows.limit(0), *by_time(rows, "time"), *(closed(rows, "time", days, eqp_id="~") for days in (60, 120))]
+    for a, d in itertools.zip_longest(a_parts, d_parts):
+        for part, path in ((a, alarms), (d, tele)):
+            if part is not None:
+                part.write.mode("append").parquet(path)
+        read = lambda df, path: t.spark.readStream.schema(df.schema).parquet(path)
+        got = jobs.run_available(jobs.nearest_stream(read(own, alarms), read(rows, tele), "2 hours", "1 day"), "nearest", out=out, checkpoint=ckpt)
+    return got.where("logid <> '~'").select("logid", "related_log_id", "link_basis")
+
+
+ORACLES["sm9_link_nearest_stream"] = f"SELECT * FROM ({ORACLES['sm9_link_alarms']}) WHERE link_basis IS DISTINCT FROM 'causal'"
+
+
 @query("sm10_sustained_stream", "tele", f"WITH {SUSTAINED_SQL}")
 def _(t):
     return streamed(t, by_time(evaluations(t), "ts"), "sustained", lambda s: jobs.sustained_stream(s, "key", "3 hours", "1 hour"))

@@ -288,26 +288,58 @@ def alarm_writer(spark: SparkSession, alarm_path: str, window: str = "3 minutes"
     return write
 
 
-def link_writer(tele_path: str, out: str, tol: str = "2 minutes") -> Callable[[DataFrame, int], None]:
-    """foreachBatch: link a batch of alarms to stored telemetry; rejected alarms are kept apart.
+def link_writer(tele_path: str, out: str, tol: str = "2 minutes", allowance: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: link alarms to stored telemetry; rejected alarms are kept apart.
 
-    The stored telemetry is first bounded by the batch's times and then cut down to the (machine, time bucket) groups
-    the batch needs.
+    The nearest row is looked for among the telemetry around the batch's times, cut down to the (machine, time bucket)
+    groups the batch needs; a given id may be any stored row's. With an `allowance` an alarm waits until telemetry has
+    come that is newer than it by `tol` and the allowance, so the result does not depend on which batch it came in or on
+    telemetry that is late; what waits is handed from batch to batch. `settle_links` works on it without a new alarm.
     """
     us = interval_us(tol)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first, last = batch.agg(F.min("logdate").cast("string"), F.max("logdate").cast("string")).first()
-        tele = batch.sparkSession.read.parquet(tele_path)
-        if first is not None:
-            tele = tele.where(F.col("time").between(ts_plus(ts_lit(first), -us), ts_plus(ts_lit(last), us)))
-        linked, rejected = link_alarms(batch, tele, tol)
+        spark = batch.sparkSession
+        tele = spark.read.parquet(tele_path)
+        before = [n for n in batch_numbers(spark, f"{out}/waiting") if n < batch_id] if allowance else []
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/waiting/batch={before[-1]}")) if before else batch
+        if allowance:
+            newest = tele.agg(F.unix_micros(F.max("time"))).first()[0]
+            ready = F.unix_micros("logdate") + us + interval_us(allowance) <= F.lit(newest).cast("long")
+            ready = F.coalesce(ready, F.col("logdate").isNull())
+            rows.where(~ready).write.mode("overwrite").parquet(f"{out}/waiting/batch={batch_id}")
+            rows = rows.where(ready)
+        first, last = rows.agg(F.min("logdate").cast("string"), F.max("logdate").cast("string")).first()
+        near = F.col("time").between(ts_plus(ts_lit(first), -us), ts_plus(ts_lit(last), us)) if first is not None else F.lit(False)
+        linked, rejected = link_alarms(rows, tele.where(near), tol, ids=tele)
         linked.write.mode("overwrite").parquet(f"{out}/linked/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{out}/rejected/batch={batch_id}")
 
     return write
 
 
+def settle_links(spark: SparkSession, write: Callable[[DataFrame, int], None], out: str) -> None:
+    """Run a `link_writer` on what waits, when telemetry has come but no alarm; its batch follows all that are there."""
+    known = batch_numbers(spark, f"{out}/waiting")
+    if known:
+        waiting = spark.read.parquet(f"{out}/waiting/batch={known[-1]}")
+        write(waiting.limit(0), known[-1] + 1)
+
+
+def nearest_stream(alarms: DataFrame, tele: DataFrame, tol: str = "2 minutes", watermark: str = "5 minutes") -> DataFrame:
+    """Alarms without an id beside the telemetry row nearest in time within `tol`, both sides streams.
+
+    An interval join with watermarks on both sides, then the nearest of each alarm's rows once nothing nearer can come.
+    """
+    a = alarms.where(F.col("related_log_id").isNull()).select("logid", "logdate", "equipmentid").withWatermark("logdate", watermark)
+    d = tele.select("time", "eqp_id", "log_id").withWatermark("time", watermark)
+    close = (F.col("eqp_id") == F.col("equipmentid")) & (F.col("time") >= F.col("logdate") - F.expr(f"INTERVAL {tol}")) & (F.col("time") <= F.col("logdate") + F.expr(f"INTERVAL {tol}"))
+    met = a.join(d, close, "left_outer")
+    apart = F.struct(F.abs(F.unix_micros("time") - F.unix_micros("logdate")).alias("us"), "time", "log_id")
+    near = met.groupBy("logdate", "logid", "equipmentid").agg(F.min(F.when(F.col("log_id").isNotNull(), apart)).alias("n"))
+    return near.select("logid", "logdate", "equipmentid", F.col("n")["log_id"].alias("related_log_id"), F.when(F.col("n").isNotNull(), "nearest").alias("link_basis"))
+
+
 def lateness_writer(out: str, ts: str, allowance: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch: rows older than the newest time seen so far minus the allowance go to quarantine, the rest through.
 
