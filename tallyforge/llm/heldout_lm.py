@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -30,8 +29,8 @@ from .common import string_buffers, texts, written
 from .words import LETTERS_DIGITS, NOT_SPACE, Cutter, mix
 
 PRIOR = 4.0
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 8 << 20
 _PIECE = 1 << 20
 # what stands before the first word of a text
 _START = np.uint64(0)
@@ -84,14 +83,14 @@ class Block:
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, kind, payload): the texts of one batch that go to one block, compressed; rows that are the same once."""
     for batch in batches:
-        frame = pd.DataFrame({c: batch.column(c).to_pandas() for c in ("doc_id", "a", "b")})
-        group = frame.groupby(["doc_id", "a", "b"], dropna=False, sort=False).ngroup().to_numpy()
-        _, first, n = np.unique(group, return_index=True, return_counts=True)
+        ids, named = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        same = np.stack([ids, named, batch.column("a").to_numpy(), batch.column("b").to_numpy()], axis=1)
+        _, first, n = np.unique(same, axis=0, return_index=True, return_counts=True)
         block = batch.column("block").to_numpy()[first]
         order = np.argsort(block, kind="stable")
         kept, n, block = batch.take(pa.array(first[order])), n[order], block[order]
         data, offsets = string_buffers(kept.column("text"))
-        ids, a, named = kept.column("doc_id").fill_null(0).to_numpy(), kept.column("a").to_numpy(), kept.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        ids, named, a = ids[first[order]], named[first[order]], kept.column("a").to_numpy()
         cuts = np.append(np.flatnonzero(np.diff(block, prepend=block[:1] - 1)), len(block))
         for i, j in zip(cuts, cuts[1:]):
             numbers = _packed(ids[i:j], a[i:j], n[i:j], named[i:j].astype(np.int64), np.diff(offsets[i : j + 1]))
