@@ -150,3 +150,60 @@ def in_chunks(df: DataFrame, keys: list[str], order: list[str], machine: Machine
                 yield pa.RecordBatch.from_arrays([*[plain.column(c) for c in kept], *new], [*kept, *added])
 
     return marked.mapInArrow(ran, ", ".join([ddl(kept), *[f"`{c}` {t}" for c, t in added.items()]]))
+
+
+class Fold:
+    """What is done with a key's rows in order.
+
+    `rows(inner, batch, now)` gets released rows (tuples in the order of the columns, times in microseconds) and the
+    watermark, and gives the new inner state and the rows to emit; `due(inner)` is when it wants to be called again
+    though nothing comes, or None; an inner state of None is forgotten. Emitted times are microseconds too.
+    """
+
+    def rows(self, key: tuple, inner: Any, batch: list[tuple], now: int) -> tuple[Any, list[tuple]]:
+        raise NotImplementedError
+
+    def due(self, inner: Any) -> int | None:
+        return None
+
+
+def fold_keys(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list[str], fold: Fold, out: dict[str, str], until: Any) -> DataFrame:
+    """Run `fold` over each key's rows in order and then up to the time `until` (a timestamp), as a stream would.
+
+    A key's rows pass through one task in order, one Arrow batch at a time, beside the state of one key.
+    """
+    names = list(dict.fromkeys([ts, *tie, *cols]))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    end = until if isinstance(until, int) else int(df.sparkSession.range(1).select(F.unix_micros(F.lit(until).cast("timestamp"))).first()[0])
+    rows = df.where(F.col(ts).isNotNull() & (F.unix_micros(ts) <= end)).select(*dict.fromkeys([*keys, *names]))
+    schema = [*[(k, types[k]) for k in keys], *out.items()]
+    target = to_arrow_schema(df.sparkSession.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in schema)).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, inner = None, None
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*[(*known, *r) for r in rows]))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(f.type) if pa.types.is_timestamp(f.type) else pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+        def step(rows: list[tuple], now: int) -> list[tuple]:
+            nonlocal inner
+            inner, emitted = fold.rows(known, inner, rows, now)
+            return emitted
+
+        for batch in batches:
+            owners, columns = _keys(batch, keys), [as_array(batch.column(n)).tolist() if pa.types.is_timestamp(batch.column(n).type) else batch.column(n).to_pylist() for n in names]
+            for a, b in stretches(owners):
+                if owners[a] != known:
+                    if known is not None and (rest := step([], end)):
+                        yield told(rest)
+                    known, inner = owners[a], None
+                part = list(zip(*[c[a:b] for c in columns]))
+                # rows of the last time may go on in the next batch
+                if made := step(part, part[-1][0] - 1):
+                    yield told(made)
+        if known is not None and (rest := step([], end)):
+            yield told(rest)
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, ts, *tie)
+    return ordered.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in schema))

@@ -9,6 +9,7 @@ from .. import functions as fn
 from ..operators import alarms as al
 from ..operators import infra, quality, rca, snapshot, spc
 from ..operators.cycles import poll_cycles
+from ..operators.notify import notifications
 from ..schema import JE_COLS, PE_COLS
 from .analytics import _KEYS, LATEST_SQL, _ranking_sql, latest
 from .basics import _ABS_JE, _ABS_PE, FLAGS_SQL
@@ -348,6 +349,36 @@ def _(t):
     return al.inhibit(alerts(t)).select("event_id", "alertname", "severity")
 
 
+def alert_changes(t: Tables) -> DataFrame:
+    """Every alert with its beginning and, ten minutes times a digit later, its end."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    ends = t.raw("events").select("event_id", (1 + k % 7).alias("tens"))
+    both = alerts(t).join(ends, "event_id").withColumn("firing", F.explode(F.array(F.lit(True), F.lit(False))))
+    ts = F.when(F.col("firing"), F.col("ts")).otherwise(fn.ts_plus("ts", F.col("tens").cast("long") * 600_000_000))
+    return both.select("device_id", "alertname", "device_type", "severity", "instance", F.col("event_id").cast("string").alias("alert_id"), ts.alias("ts"), "firing")
+
+
+# looks at each group from its first alert's wait on: who is firing and not implied, who of those told of has ended
+NOTIFY_SQL = (
+    f"WITH RECURSIVE {ALERTS_SQL}, a AS (SELECT al.*, al.ts AS s, al.ts + INTERVAL 10 MINUTE * (1 + k % 7) AS e FROM al JOIN (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events) USING (event_id)), "
+    "im AS (SELECT a.event_id, list(struct_pack(s := b.s, e := b.e)) AS causes FROM a JOIN a b ON a.device_id = b.device_id AND b.s < a.e AND b.e > a.s AND ((b.alertname = 'ServiceDown' AND a.alertname IN ('ServiceHighLatency', 'SLABreachWarning') AND a.instance = b.instance) "
+    "OR (b.severity = 'critical' AND a.severity = 'warning') OR (b.alertname = 'InterfaceDown' AND a.alertname = 'BandwidthSaturation')) GROUP BY 1), "
+    "m AS (SELECT device_id, alertname, device_type, severity AS route, a.event_id, s, e, coalesce(causes, []) AS causes, INTERVAL 1 SECOND * CASE severity WHEN 'critical' THEN 10 ELSE 30 END AS wait, INTERVAL 1 MINUTE * CASE severity WHEN 'critical' THEN 5 WHEN 'warning' THEN 10 ELSE 30 END AS step, "
+    "INTERVAL 1 MINUTE * CASE severity WHEN 'critical' THEN 30 WHEN 'warning' THEN 120 ELSE 1440 END AS again FROM a LEFT JOIN im USING (event_id)), "
+    "z AS (SELECT device_id, alertname, device_type, route, min(s + wait) AS t, CAST([] AS BIGINT[]) AS told, CAST(NULL AS TIMESTAMP) AS last, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS n_firing, CAST(0 AS BIGINT) AS n_resolved FROM m GROUP BY 1, 2, 3, 4 "
+    "UNION ALL SELECT device_id, alertname, device_type, route, CASE WHEN alive > 0 THEN t + step ELSE coming + wait END, CASE WHEN alive = 0 THEN [] WHEN reason IS NULL THEN told ELSE firing END, CASE WHEN alive = 0 THEN NULL WHEN reason IS NULL THEN last ELSE t END, t, reason, len(firing), n_resolved FROM ("
+    "SELECT *, CASE WHEN len(list_filter(firing, lambda f: NOT list_contains(told, f))) > 0 THEN CASE WHEN last IS NULL THEN 'firing' ELSE 'changed' END WHEN n_resolved > 0 THEN CASE WHEN len(firing) > 0 THEN 'changed' ELSE 'resolved' END WHEN len(firing) > 0 AND t - last >= again THEN 'repeat' END AS reason FROM ("
+    "SELECT z.device_id, z.alertname, z.device_type, z.route, z.t, z.told, z.last, wait, step, again, count(*) FILTER (s <= z.t AND e > z.t) AS alive, min(s) FILTER (s > z.t) AS coming, count(*) FILTER (e <= z.t AND list_contains(z.told, event_id)) AS n_resolved, "
+    "coalesce(list(event_id) FILTER (s <= z.t AND e > z.t AND len(list_filter(causes, lambda b: b.s <= z.t AND b.e > z.t)) = 0), []) AS firing FROM z JOIN m ON m.device_id = z.device_id AND m.alertname = z.alertname AND m.device_type = z.device_type AND m.route = z.route "
+    f"WHERE z.t <= {_A} GROUP BY ALL))) SELECT device_id, alertname, device_type, route, ts, reason, n_firing, n_resolved FROM z WHERE reason IS NOT NULL"
+)
+
+
+@query("sm11_notifications", "", NOTIFY_SQL)
+def _(t):
+    return notifications(alert_changes(t), AS_OF)
+
+
 # a counter that falls back to zero now and then; each step counts in the bucket of its later reading
 RESETTING_SQL = (
     "rt AS (SELECT event_type AS key, bucket, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END) / 21600.0 AS rate FROM (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY ts, v) AS before "

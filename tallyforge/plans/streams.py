@@ -12,10 +12,10 @@ from .. import functions as fn
 from ..session import scratch_path
 from ..sources import ingest, varbinds
 from ..streaming import jobs, ordered
-from .operations import RESETTING_SQL, SUSTAINED_SQL, _debounce_sql, actions, evaluations, readings
+from .operations import RESETTING_SQL, SUSTAINED_SQL, _debounce_sql, actions, alert_changes, evaluations, readings
 from .registry import ORACLES, query, r
 from .storage import _INGESTED, _ingested, all_walks, shown_walks, telemetry_json
-from .tables import Tables
+from .tables import AS_OF, Tables
 
 # allowance that covers the order in which one file is read
 _ALL = "60 days"
@@ -241,6 +241,17 @@ def _(t):
     return streamed(t, by_time(evaluations(t), "ts"), "sustained", lambda s: jobs.sustained_stream(s, "key", "3 hours", "1 hour"))
 
 
+@query("sm11_notifications_stream")
+def _(t):
+    rows = alert_changes(t)
+    parts = [*by_time(rows, "ts"), closed(rows, "ts", device_id="~", alertname="Watchdog")]
+    out = streamed(t, parts, "notifications", ordered.notifications_stream)
+    return out.where((F.col("device_id") != "~") & (F.col("ts") <= fn.ts_lit(AS_OF)))
+
+
+ORACLES["sm11_notifications_stream"] = ORACLES["sm11_notifications"]
+
+
 @query("sm12_rate_stream", "", f"WITH {RESETTING_SQL} SELECT key, bucket, {r('rate', 4)} AS rate FROM rt")
 def _(t):
     rows = readings(t)

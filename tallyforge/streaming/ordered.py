@@ -18,25 +18,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeutil import interval_us
 from ..operators.cycles import TIMEOUT, WALKERS
-from ..operators.machines import Machine
+from ..operators.machines import Fold, Machine
+from ..operators.notify import Notifier, Route
 from ..sources.varbinds import WALK_STATE, shown_state, walk_machine, walk_readings
 
 
-class Fold:
-    """What is done with a key's rows in order.
-
-    `rows(inner, batch, now)` gets released rows (tuples in the order of the columns, times in microseconds) and the
-    watermark, and gives the new inner state and the rows to emit; `due(inner)` is when it wants to be called again
-    though nothing comes, or None; an inner state of None is forgotten. Emitted times are microseconds too.
-    """
-
-    def rows(self, key: tuple, inner: Any, batch: list[tuple], now: int) -> tuple[Any, list[tuple]]:
-        raise NotImplementedError
-
-    def due(self, inner: Any) -> int | None:
-        return None
-
-
 def _us(column: pd.Series) -> list:
     return column.astype("datetime64[us]").astype("int64").tolist()
 
@@ -191,3 +177,11 @@ def rate_stream(counter: DataFrame, keys: list[str], ts: str, value: str, width:
     """
     rows = counter.withColumn("_v", counter[value].cast("double"))
     return in_order(rows, keys, ts, ["_v"], ["_v"], watermark, _Rises(interval_us(width), interval_us(keep)), {"bucket": "timestamp", "rate": "double"})
+
+
+def notifications_stream(alerts: DataFrame, routes: dict[str, Route] | None = None, watermark: str = "1 minute") -> DataFrame:
+    """`notify.notifications` on a stream: each notification once the watermark has passed its time.
+
+    A device without an active alert and with all its groups told of leaves no state.
+    """
+    return in_order(alerts, ["device_id"], "ts", list(Notifier.ORDER), list(Notifier.COLUMNS), watermark, Notifier(routes), Notifier.OUT)
