@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,12 @@ def keyed(df: DataFrame, *tie: str) -> DataFrame:
     return df.withColumn("__turn", F.row_number().over(w))
 
 
+def shielded(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but `known` under names that no operator uses inside, and the way back to its own names."""
+    inner = [c if c in known else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda df: df.select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns)])
+
+
 def rejoined(docs: DataFrame, decided: DataFrame, *tie: str) -> DataFrame:
     """Rows of `docs` beside the decisions of `decided`, which has doc_id, __h and __turn; both by the same tie columns."""
     d = decided.withColumnsRenamed({"doc_id": "__id", "__h": "__dh", "__turn": "__dt"})

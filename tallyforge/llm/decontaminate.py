@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import shielded, written
 from .words import LETTERS_DIGITS, Cutter, Words, lower_ascii, mix
 
 WINDOW = 10
@@ -239,5 +239,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no window of the benchmark."""
-    return find_windows(docs, benchmark, docs.columns).where(F.size("__spans") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of `docs`, all columns whatever their names, that hold no window of the benchmark."""
+    inner, back = shielded(docs, "text")
+    return back(find_windows(inner, benchmark, inner.columns).where(F.size("__spans") == 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, keyed, rejoined, written
+from .common import SPACES, keyed, rejoined, shielded, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -84,7 +84,7 @@ def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """`docs` mixed: each row as many times as the plan says, with the columns it had."""
-    plan = mixture(docs, seed).where("copies > 0").select("doc_id", "__h", "__turn", F.col("copies").alias("__copies"))
-    found = rejoined(docs, plan, "source").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
-    return found.select(*[f"`{c}`" for c in docs.columns])
+    """`docs` mixed: each row as many times as the plan says, with the columns it had, whatever their names."""
+    inner, back = shielded(docs, "doc_id", "source", "text")
+    plan = mixture(inner, seed).where("copies > 0").select("doc_id", "__h", "__turn", F.col("copies").alias("__copies"))
+    return back(rejoined(inner, plan, "source").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))))

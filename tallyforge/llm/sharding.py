@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, rejoined, written
+from .common import keyed, rejoined, shielded, written
 
 ROW_BYTES = 16
 BUNDLES_A_SHARD = 50
@@ -217,7 +217,9 @@ def shard_plan(docs: DataFrame, n_shards: int | None = None, capacity: int | Non
 
 
 def shard(docs: DataFrame, n_shards: int | None = None, capacity: int | None = None) -> DataFrame:
-    """`docs` with the columns shard and slot."""
-    plan = shard_plan(docs, n_shards, capacity).select("doc_id", "__h", "__turn", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    plain = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("shard", "slot")])
-    return rejoined(plain, plan).withColumnsRenamed({"__shard": "shard", "__slot": "slot"})
+    """`docs` with the columns shard and slot, in place of such columns if it has them; other names do not matter."""
+    inner, _ = shielded(docs.drop("shard", "slot"), "doc_id", "text")
+    plan = shard_plan(inner, n_shards, capacity).select("doc_id", "__h", "__turn", F.struct("shard", "slot").alias("__place"))
+    placed = rejoined(inner, plan)
+    kept = [F.col(n).alias(c) for n, c in zip(inner.columns, docs.drop("shard", "slot").columns)]
+    return placed.select(*kept, "__place.shard", "__place.slot")

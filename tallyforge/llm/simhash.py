@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forest, string_buffers, texts, written
+from .common import forest, shielded, string_buffers, texts, written
 from .components import connected_components
 
 RADIUS = 3
@@ -140,7 +140,7 @@ def links(distinct: DataFrame) -> DataFrame:
     cells are dealt into several tiles by hash. A tile meets only tiles whose counts differ by the radius or less in
     sum, each pair once. The table of cells has 33 x 33 rows at most, so it may be broadcast.
     """
-    halves = distinct.where("rep IS NOT NULL").withColumns({"p": F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)), "q": F.bit_count(F.shiftrightunsigned("fp", 32))})
+    halves = distinct.withColumns({"p": F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)), "q": F.bit_count(F.shiftrightunsigned("fp", 32))})
     cells = halves.groupBy("p", "q").agg(F.ceil(F.count("*") / TILE).alias("n_tiles"))
     dealt = halves.join(F.broadcast(cells), ["p", "q"]).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("n_tiles")))
     tiles = written(dealt.groupBy("p", "q", "tile").agg(F.collect_list(F.struct("fp", "rep")).alias("here")), "tiles")
@@ -153,27 +153,49 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.select("here", "there").mapInArrow(_compare_tiles, "a long, b long")
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint: the tables that decide.
+
+    Fingerprints are the vertices, so those of rows without an id tie others together too.
+    """
+    fps = written(fingerprints(docs), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = connected_components(written(links(distinct.select("fp", F.col("fp").alias("rep"))), "links"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = written(rooted, "roots")
+    return fps, written(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id"), "named")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`.
 
     component_id is the smallest doc_id reachable over fingerprints that differ in 3 bits or fewer, itself included.
     Copies collapse to one fingerprint before any comparison. Empty and null texts have fingerprint zero and link like
-    any other; rows without an id link through their fingerprint but never name a component; an empty table gives none.
+    any other; rows without an id link through their fingerprint but never name a component, so one that holds no id has
+    none; an empty table gives no row.
     """
-    fps = written(fingerprints(docs), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = connected_components(written(links(distinct), "links"))
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    fps, named = _named(docs)
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _first_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each value of `key`: the first by its other columns."""
+    tie = Window.partitionBy(key).orderBy(*[c for c in rows.columns if c not in ("text", key)], F.xxhash64("text"))
+    return rows.withColumn("__turn", F.row_number().over(tie)).where("__turn = 1")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that name their component: one document of each group of near-duplicates.
+    """One document of each group of near-duplicates, with all its columns, whatever their names.
 
-    Of rows that repeat one doc_id one stays; rows without an id have no group to be found by and all stay.
+    It is the one with the group's smallest id; of rows that repeat that id one stays. A group in which no row has an id
+    keeps the row with the smallest hash of its text.
     """
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    tie = Window.partitionBy("__kept").orderBy(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.xxhash64("text"))
-    found = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"])
-    found = found.withColumn("__turn", F.row_number().over(tie)).where("__turn = 1").drop("__turn", "__kept")
-    return found.unionByName(docs.where("doc_id IS NULL"))
+    inner, back = shielded(docs, "doc_id", "text")
+    fps, named = _named(inner)
+    ids = fps.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = _first_of(inner.join(ids, inner["doc_id"].cast("long") == ids["__kept"]), "__kept")
+    nameless = inner.where("doc_id IS NULL")
+    by_text = fingerprints(nameless.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text")).withColumnRenamed("doc_id", "__h")
+    texts_ = by_text.join(named.where("component_id IS NULL"), "fp").groupBy("root").agg(F.min("__h").alias("__kept")).select("__kept")
+    rest = _first_of(nameless.join(texts_, F.xxhash64(nameless["text"].cast("string")) == texts_["__kept"]), "__kept")
+    return back(found.select(*inner.columns).unionByName(rest.select(*inner.columns)))

@@ -200,20 +200,24 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     n_links counts the other vectors at or above the cosine, copies among them; component_id is the smallest vec_id
     reachable, itself included; kept says that the two are equal. Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing, and vectors of different lengths do not link. Equal vectors are compared
-    once. Rows without an id have no links and no component. An empty table gives no row.
+    once. Rows without an id have no links and no component; different vectors of one id are vectors of their own. An
+    empty table gives no row.
     """
     element = vectors.schema["embedding"].dataType.elementType
     dtype = np.float32 if isinstance(element, T.FloatType) else np.float64
     wanted = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(T.ArrayType(T.FloatType() if dtype is np.float32 else T.DoubleType())).alias("embedding"))
     keyed = written(wanted.mapInArrow(_keys(dtype), "vec_id long, key binary"), "vectors")
-    distinct = written(keyed.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct")
+    # every different vector has a number of its own, since an id may stand beside several
+    distinct = keyed.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    distinct = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct")
     placed = written(distinct.mapInArrow(_placed(dtype), "bucket long, rep long, copies long, key binary, ids binary"), "buckets")
     groups = _groups(placed).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = written(groups.mapInArrow(_verified(dtype, cosine), "a long, b long, n long"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    told = distinct.join(counts, "rep", "left").join(roots, "rep", "left")
-    told = told.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    told = distinct.join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    told = written(told.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "root", "least"), "told")
+    told = told.join(told.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "n_links", "component_id")
     rows = keyed.join(told.withColumnRenamed("key", "__key"), F.col("vec_id").isNotNull() & (F.col("key") == F.col("__key")), "left")
     component = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
