@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, mixing, quality, sharding, simhash
-from tallyforge.llm.common import table, written
+from tallyforge.llm.common import shielded, table, written
 
 LEAST_QUALITY = 0.3
 N_SHARDS = 40
@@ -15,8 +15,8 @@ N_SHARDS = 40
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    scored = quality.quality_scores(docs, model, docs.columns)
-    return scored.where(F.col("__score") >= LEAST_QUALITY).select(*[f"`{c}`" for c in docs.columns])
+    inner, back = shielded(docs, "doc_id", "text")
+    return back(quality.quality_scores(inner, model, inner.columns).where(F.col("__score") >= LEAST_QUALITY))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
