@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import (
-    classify_severity, elapsed_text, in_or_all, last, max_abs, owner_action, rnd, seconds_between, time_bucket, time_range, ts_lit,
+    classify_severity, elapsed_text, in_or_all, last, max_abs, minus, owner_action, rnd, seconds_between, time_bucket, time_range, ts_lit,
 )
 from ..functions.labels import category_owner
 from ..functions.timeutil import interval_us
@@ -43,7 +43,9 @@ def action_queue(
     recent = last(alarms, "logdate", window, as_of).where(in_or_all("equipmentid", machines))
     status = lifecycle.select("logdate", "logid", "status")
     rows = recent.join(codes, "errorcode").join(status, ["logdate", "logid"], "left").where(~F.col("status").eqNullSafe("RESOLVED"))
-    jobs = tele.select(F.col("log_id").alias("related_log_id"), F.col("time").alias("_t"), F.col("factory").alias("_f"), "mo")
+    # no row further back can be within ten minutes of an alarm of the window
+    near = tele.where(F.col("time") >= ts_lit(minus(minus(as_of, window), "10 minutes")))
+    jobs = near.select(F.col("log_id").alias("related_log_id"), F.col("time").alias("_t"), F.col("factory").alias("_f"), "mo")
     rows = bounded_join(rows, jobs, ["related_log_id"], "logdate", "_t", "10 minutes", "10 minutes")
     rows = rows.join(category.select(F.col("alarm_code").alias("errorcode"), "category"), "errorcode", "left")
     owner = category_owner(F.coalesce("category", F.lit("UNCLASSIFIED")))
@@ -59,8 +61,13 @@ def action_queue(
         F.lit("NONE").alias("severity"), F.lit("NONE").alias("status"), F.lit("NO ACTIVE CRITICAL/MAJOR ALARMS").alias("alarm_msg"),
         ts_lit(as_of).alias("when"), F.lit(0).cast("long").alias("when_ms"),
     )
-    out = with_fallback_row(queue, empty)
-    return out if k is None else out.orderBy(severity_rank(), F.desc("when"), "logid").limit(k)
+    if k is None:
+        return with_fallback_row(queue, empty)
+    # the k rows first, the one that stands for none among them last; it goes where there is another
+    both = queue.withColumn("_none", F.lit(0)).unionByName(empty.withColumn("_none", F.lit(1)), allowMissingColumns=True)
+    first = both.orderBy("_none", severity_rank(), F.desc("when"), "logid").limit(k)
+    kept = first.withColumn("_some", F.min("_none").over(Window.partitionBy(F.lit(1)))).where("_none = _some")
+    return kept.orderBy(severity_rank(), F.desc("when"), "logid").drop("_none", "_some")
 
 
 def response_times(lifecycle: DataFrame, as_of: datetime | str | None = None, window: str | None = "24 hours", grain: str | None = None) -> DataFrame:

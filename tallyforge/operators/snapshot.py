@@ -24,12 +24,15 @@ def machine_snapshot(tele: DataFrame, alarms: DataFrame, catalog: DataFrame, tol
     return near.join(text, "alarm_errorcode", "left")
 
 
-def latest_full(devices: DataFrame, tele: DataFrame, as_of: datetime | str, device_type: str = "ldi", stale: str = "5 minutes") -> DataFrame:
-    """Newest row of every enabled registered machine, with has_data and is_stale."""
+def latest_full(devices: DataFrame, tele: DataFrame, as_of: datetime | str, device_type: str = "ldi", stale: str = "5 minutes", stored: bool = False) -> DataFrame:
+    """Newest row of every enabled registered machine, with has_data and is_stale.
+
+    `stored`: `tele` holds one row a machine already, as `sources.latest` keeps them, and is read as it is.
+    """
     fleet = devices.where((F.col("device_type") == device_type) & F.col("enabled")).select(
         F.col("device_id").alias("eqp_id"), "hostname", "location", "enabled"
     )
-    newest = latest_per_key(tele, ["eqp_id"], "time", "log_id")
+    newest = tele if stored else latest_per_key(tele, ["eqp_id"], "time", "log_id")
     out = fleet.join(newest, "eqp_id", "left")
     has = F.col("time").isNotNull()
     return out.withColumns({"has_data": has, "is_stale": has & (F.col("time") < ts_lit(minus(as_of, stale)))})

@@ -12,6 +12,7 @@ from ..operators import control, infra, rca, rollup, snapshot, spc
 from ..schema import JE_COLS, PE_COLS
 from ..session import scratch_path
 from ..sources import maintenance
+from ..sources.latest import merge_latest, read_latest
 from .basics import _ABS_JE, _ABS_PE, _ABS_PE0, _W, CLASS_SQL, FLAGS_SQL, TINY, UNPIVOT_PE, cascade_sql
 from .registry import query, r, seconds
 from .tables import AS_OF, CATEGORY_SQL, Tables
@@ -271,11 +272,25 @@ def latest(t: Tables) -> DataFrame:
     return snapshot.latest_full(t.devices, t.tele, AS_OF, stale="2 days")
 
 
+def latest_stored(t: Tables) -> DataFrame:
+    """The same from a table of newest rows, kept over three deliveries of which the newest comes before the oldest."""
+    path = scratch_path(t.spark, "latest")
+    us = F.unix_micros("time") % 3
+    for part in (2, 0, 1):
+        merge_latest(t.tele.where(us == part), path, ["eqp_id"], "time", "log_id")
+    return snapshot.latest_full(t.devices, read_latest(t.spark, path, t.tele).drop("slot"), AS_OF, stale="2 days", stored=True)
+
+
 @query("al16_latest_full", "devices tele", f"WITH {LATEST_SQL} SELECT eqp_id, hostname, location, time, log_id, state, mo, board_no, {r('temperature', 4)} AS temperature, has_data, is_stale FROM lt")
 def _(t):
     return latest(t).select("eqp_id", "hostname", "location", "time", "log_id", "state", "mo", "board_no", fn.rnd("temperature", 4).alias("temperature"), "has_data", "is_stale")
 
 
+@query("al16_latest_stored", same_as="al16_latest_full")
+def _(t):
+    return latest_stored(t).select("eqp_id", "hostname", "location", "time", "log_id", "state", "mo", "board_no", fn.rnd("temperature", 4).alias("temperature"), "has_data", "is_stale")
+
+
 @query(
     "al17_event_timeline", "tele alarms catalog",
     f"WITH s AS (SELECT time, eqp_id, state, lag(state) OVER ({_W}) AS was FROM tele) SELECT time AS event_time, eqp_id, CASE WHEN state THEN 'Machine Start' ELSE 'Machine Stop' END AS event_type, 'telemetry' AS source, "
@@ -337,14 +352,19 @@ def _forecast_sql(used: str, total: str, source: str) -> str:
 _HOURLY = "SELECT time_bucket(INTERVAL '1 hour', time) AS bucket, device_id, avg({u}) AS used_, avg({t}) AS total_ FROM sysm GROUP BY 1, 2"
 
 
+def _month(t: Tables) -> DataFrame:
+    """The readings of the buckets that a forecast looks at: a bucket begins before all its readings."""
+    return fn.last(t.sysm, "time", "30 days", AS_OF)
+
+
 @query("al20_disk_forecast", "sysm", _forecast_sql("used_", "total_", _HOURLY.format(u="disk_used_gb", t="disk_total_gb")))
 def _(t):
-    return infra.disk_forecast(rollup.infra_rollup(t.sysm, "sys"), AS_OF)
+    return infra.disk_forecast(rollup.infra_rollup(_month(t), "sys"), AS_OF)
 
 
 @query("al58_resource_forecast", "sysm", _forecast_sql("used_", "total_", _HOURLY.format(u="ram_used_mb", t="ram_total_mb")))
 def _(t):
-    return infra.resource_forecast(rollup.infra_rollup(t.sysm, "sys"), "avg_ram_used", "avg_ram_total", AS_OF)
+    return infra.resource_forecast(rollup.infra_rollup(_month(t), "sys"), "avg_ram_used", "avg_ram_total", AS_OF)
 
 
 _X = f"((epoch_us(time) - epoch_us({_A})) / 1000000.0)"
@@ -664,6 +684,11 @@ def _(t):
     return snapshot.env_compliance(latest(t))
 
 
+@query("al60_env_stored", same_as="al60_env_compliance")
+def _(t):
+    return snapshot.env_compliance(latest_stored(t))
+
+
 @query("al60_env_timeline", "tele", f"SELECT eqp_id, time_bucket(INTERVAL '1 hour', time) AS bucket, count(*) AS n, {r('100.0 * count(*) FILTER (WHERE NOT ' + FLAGS_SQL['flag_temp_out_of_spec'] + ') / count(*)', 1)} AS in_spec_pct FROM tele GROUP BY 1, 2")
 def _(t):
     return snapshot.env_timeline(t.tele)

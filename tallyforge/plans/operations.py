@@ -11,7 +11,7 @@ from ..operators import infra, quality, rca, snapshot, spc
 from ..operators.cycles import poll_cycles
 from ..operators.notify import notifications
 from ..schema import JE_COLS, PE_COLS
-from .analytics import _KEYS, LATEST_SQL, _ranking_sql, latest
+from .analytics import _KEYS, LATEST_SQL, _ranking_sql, latest, latest_stored
 from .basics import _ABS_JE, _ABS_PE, FLAGS_SQL
 from .registry import query, r, seconds
 from .tables import AS_OF, CATEGORY_SQL, Tables, view_sql
@@ -127,6 +127,16 @@ def _(t):
     return snapshot.fleet_kpis(latest(t), t.alarms, t.catalog, AS_OF, "10 days")
 
 
+@query("al37_machine_state_stored", same_as="al37_machine_state")
+def _(t):
+    return snapshot.machine_state(latest_stored(t), t.alarms, t.catalog, t.lifecycle, AS_OF, "6 days")
+
+
+@query("al38_fleet_kpis_stored", same_as="al38_fleet_kpis")
+def _(t):
+    return snapshot.fleet_kpis(latest_stored(t), t.alarms, t.catalog, AS_OF, "10 days")
+
+
 @query(
     "al60_not_producing", "devices tele alarms catalog",
     f"WITH {LATEST_SQL} SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM alarms a JOIN catalog m ON m.alarm_code = a.errorcode WHERE a.equipmentid = lt.eqp_id AND m.severity IN ('Critical', 'Major') AND a.logdate > {_A} - INTERVAL 6 DAY) "

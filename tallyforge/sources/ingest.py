@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import latest_per_key
 from ..schema import TELEMETRY_INTEGER, TELEMETRY_NUMBER, TELEMETRY_TEXT
 
 # every field is declared as text and coerced afterwards: one malformed value must not lose its row
@@ -73,10 +74,14 @@ def append_idempotent(new: DataFrame, existing: DataFrame, keys: list[str]) -> D
     return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """base with delta's rows replacing those of equal key. Delta must hold one row per key."""
-    kept = base.join(delta.select(*keys), keys, "left_anti")
-    return kept.unionByName(delta.select(*base.columns))
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """base with delta's rows replacing those of equal key, one row per key.
+
+    Where delta repeats a key, the row with the largest `newest` counts, without that column any one of them.
+    """
+    one = latest_per_key(delta, keys, newest) if newest else delta.dropDuplicates(keys)
+    kept = base.join(one.select(*keys), keys, "left_anti")
+    return kept.unionByName(one.select(*base.columns))
 
 
 def patch_column(df: DataFrame, key: str, column: str, mapping: dict[str, str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime
 
@@ -125,6 +126,22 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={_versions(spark, root)[-1]}")
 
 
+def expire_snapshots(spark: SparkSession, root: str, grace: str = "1 hour", now: datetime | None = None) -> list[int]:
+    """Remove versions that were replaced longer than `grace` ago, so that a reader has that long to finish; returns them.
+
+    A version counts as replaced when the next one committed. The current version always stays.
+    """
+    fs, p = _files(spark, root)
+    done = _versions(spark, root)
+    path = lambda v: spark._jvm.org.apache.hadoop.fs.Path(p, f"version={v}")
+    committed = {v: fs.getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path(v), "_SUCCESS")).getModificationTime() for v in done}
+    limit = int((now.timestamp() if now else time.time()) * 1000) - interval_us(grace) // 1000
+    old = [v for v, after in zip(done, done[1:]) if committed[after] < limit]
+    for v in old:
+        fs.delete(path(v), True)
+    return old
+
+
 def refresh_window(as_of: datetime | str, start_offset: str, end_offset: str) -> tuple[datetime, datetime]:
     return minus(as_of, start_offset), minus(as_of, end_offset)
 
