@@ -165,6 +165,29 @@ def _(t):
 ORACLES["sm7_lifecycle_stream"] = f"SELECT logid, logdate, action_id, action, reason FROM ({ORACLES['sm7_lifecycle_rejected']})"
 
 
+@query("sm7_lifecycle_births_stream")
+def _(t):
+    births, asked, out, ckpt = (scratch_path(t.spark, x) for x in ("births", "asked", "births-out", "births-ckpt"))
+    own, acts = t.alarms.select("logdate", "logid"), actions(t)
+    # each delivery of actions comes before the alarms of its time, and at last rows of either long after all others;
+    # there is a row of either in every delivery
+    def end_of(df, ts, *days):
+        return [closed(df, ts, n, logid="~") for n in days]
+
+    a_parts = [*end_of(own, "logdate", 0), *by_time(own, "logdate"), *end_of(own, "logdate", 60, 120)]
+    d_parts = [*by_time(acts, "action_ts"), *end_of(acts, "action_ts", 0, 60, 120)]
+    read = lambda df, path: t.spark.readStream.schema(df.schema).parquet(path)
+    for a, d in itertools.zip_longest(a_parts, d_parts):
+        for part, path in ((a, births), (d, asked)):
+            if part is not None:
+                part.write.mode("append").parquet(path)
+        got = jobs.run_available(ordered.lifecycle_stream(read(own, births), read(acts, asked), "30 days"), "births", out=out, checkpoint=ckpt)
+    return got.where("reason IS NOT NULL AND logid <> '~'").select("logid", "logdate", "action_id", "action", "reason")
+
+
+ORACLES["sm7_lifecycle_births_stream"] = ORACLES["sm7_lifecycle_stream"]
+
+
 @query("sm8_detect_alarms_stream")
 def _(t):
     out = scratch_path(t.spark, "raised")

@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeutil import interval_us
@@ -27,11 +28,11 @@ def _us(column: pd.Series) -> list:
     return column.astype("datetime64[us]").astype("int64").tolist()
 
 
-def in_order(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list[str], watermark: str, fold: Fold, out: dict[str, str]) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list[str], watermark: str | None, fold: Fold, out: dict[str, str]) -> DataFrame:
     """Run `fold` over each key of a stream; `out` names the emitted columns after the keys and their types.
 
     Rows older than the watermark when they come are dropped, as in every windowed aggregation. Rows of one time are
-    ordered by `tie`, which should make them unique.
+    ordered by `tie`, which should make them unique. Without a `watermark` those hold that the input has.
     """
     names = list(dict.fromkeys([ts, *tie, *cols]))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -67,7 +68,8 @@ def in_order(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list
             yield pdf
 
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], *[f"`{n}` {t}" for n, t in out.items()]])
-    rows = df.where(f"`{ts}` IS NOT NULL").withWatermark(ts, watermark).select(*dict.fromkeys([*keys, *names]))
+    rows = df.where(f"`{ts}` IS NOT NULL")
+    rows = (rows.withWatermark(ts, watermark) if watermark else rows).select(*dict.fromkeys([*keys, *names]))
     return rows.groupBy(*keys).applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -185,3 +187,53 @@ def notifications_stream(alerts: DataFrame, routes: dict[str, Route] | None = No
     A device without an active alert and with all its groups told of leaves no state.
     """
     return in_order(alerts, ["device_id"], "ts", list(Notifier.ORDER), list(Notifier.COLUMNS), watermark, Notifier(routes), Notifier.OUT)
+
+
+class _Lifecycle(Fold):
+    """The inner state: the alarm's status, and when anything last happened to it."""
+
+    ALLOWED = {"ACKNOWLEDGED": ("OPEN",), "RESOLVED": ("OPEN", "ACKNOWLEDGED")}
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def rows(self, key, inner, batch, now):
+        out = []
+        for t, later, _, action_id, action, actor in batch:
+            if not later:
+                inner = inner or ("OPEN", t)
+                continue
+            if inner is None:
+                out.append((action_id, action, None, "unknown alarm"))
+                continue
+            status, reason = inner[0], None
+            if status == "RESOLVED":
+                reason = "RESOLVED is final"
+            elif action not in self.ALLOWED:
+                reason = f"no transition to {action}"
+            elif not (actor or "").strip():
+                reason = "actor required"
+            elif status not in self.ALLOWED[action]:
+                reason = "not OPEN"
+            inner = (status if reason else action, t)
+            out.append((action_id, action, inner[0], reason))
+        over = inner is not None and inner[0] == "RESOLVED" and now >= inner[1] + self.keep
+        return None if over else inner, out
+
+    def due(self, inner):
+        return inner[1] + self.keep if inner[0] == "RESOLVED" else None
+
+
+def lifecycle_stream(alarms: DataFrame, actions: DataFrame, watermark: str = "5 minutes", keep: str = "30 days") -> DataFrame:
+    """Every action with the status it led to, or why it was rejected; alarms and actions are two streams.
+
+    An action waits until the watermarks of both streams have passed the birth of its alarm: if none came by then the
+    alarm is unknown. A resolved alarm is forgotten `keep` after its last action; open ones stay, unknown ones
+    leave nothing.
+    """
+    born = alarms.select("logdate", "logid", F.col("logdate").alias("ts"), F.lit(True).alias("born"), F.lit(None).cast("timestamp").alias("asked"), *[F.lit(None).cast("string").alias(c) for c in ("action_id", "action", "actor")])
+    asked = actions.select("logdate", "logid", F.greatest("action_ts", "logdate").alias("ts"), F.lit(False).alias("born"), F.col("action_ts").alias("asked"), "action_id", "action", "actor")
+    # a watermark on either side: the one that lags holds for both
+    both = born.withWatermark("ts", watermark).unionByName(asked.withWatermark("ts", watermark)).withColumn("later", ~F.col("born"))
+    out = {"action_id": "string", "action": "string", "status": "string", "reason": "string"}
+    return in_order(both, ["logdate", "logid"], "ts", ["later", "asked", "action_id"], ["action", "actor"], None, _Lifecycle(interval_us(keep)), out)

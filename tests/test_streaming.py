@@ -4,7 +4,7 @@ from test_alarms import ITEMS, REASONS, actions
 
 from tallyforge.operators import alarms as al
 from tallyforge.session import scratch_path
-from tallyforge.streaming import jobs
+from tallyforge.streaming import jobs, ordered
 
 
 def stream(spark, df, slices, ts):
@@ -80,3 +80,16 @@ def test_lifecycle_forgets_resolved_alarms(spark):
     items = [(f"A{i}", at(0), f"{i}", "RESOLVED", "me", at(3600 * i)) for i in range(40)]
     df = spark.createDataFrame(items, ddl)
     assert last_state(spark, jobs.lifecycle_stream(stream(spark, df, 5, "action_ts"), watermark="1 minute", keep="1 hour")) < 25
+
+
+def test_actions_on_unknown_alarms_are_told_apart(spark):
+    acts = actions(spark, ITEMS)
+    known = acts.select("logdate", "logid").distinct().where("logid <> 'nope'")
+    last = acts.limit(1).selectExpr(*[f"CAST('2030-01-01' AS timestamp) AS {c}" if c in ("logdate", "action_ts") else f"'~' AS {c}" for c in acts.columns])
+    unknown = {k for k, v in REASONS.items() if v == "unknown alarm"}
+    born = known.join(acts.where(acts["action_id"].isin(list(unknown))).select("logdate", "logid"), ["logdate", "logid"], "left_anti")
+    born = born.unionByName(last.select("logdate", "logid"))
+    for cuts in (1, 3):
+        out = jobs.run_available(ordered.lifecycle_stream(stream(spark, born, cuts, "logdate"), stream(spark, acts.unionByName(last), 4 - cuts, "action_ts"), "1 day"), "s-births")
+        got = {r["action_id"]: r["reason"] for r in rows(out) if r["reason"] and r["action_id"] != "~"}
+        assert got == REASONS
