@@ -232,6 +232,21 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(cut, ["a", "b"], "left").select("doc_id", "n_bytes", *lost, F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
+# every window of every text, in pieces of 400 starts; texts as hexadecimal digits, so that bytes can be cut
+ORACLES["op11_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT r, n, k, substr(h, 800 * k + 1, 1598) AS s FROM (SELECT r, h, n, unnest(range(0, n // 400 + 1)) AS k FROM d WHERE n >= 400)),
+w AS MATERIALIZED (SELECT r, 400 * k + j AS i, md5(substr(s, 2 * j + 1, 800)) AS m FROM (SELECT r, n, k, s, unnest(range(0, 400)) AS j FROM p) WHERE 400 * k + j <= n - 400),
+c AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+g AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN c USING (m)),
+e AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM g) GROUP BY r, span),
+l AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS los, list(hi ORDER BY hi) AS his FROM e GROUP BY r),
+kept AS (SELECT r, array_to_string(list_transform(range(0, n_spans + 1), lambda x: substr(h, 2 * (CASE WHEN x = 0 THEN 0 ELSE his[x] END) + 1, 2 * (CASE WHEN x = n_spans THEN n ELSE los[x + 1] END - CASE WHEN x = 0 THEN 0 ELSE his[x] END))), '') AS rest FROM l JOIN d USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN l USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(table(spark, sf_dir, "embeddings"))
