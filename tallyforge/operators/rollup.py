@@ -148,6 +148,30 @@ def oee_partials(tele: DataFrame, width: str = "1 minute") -> DataFrame:
     )
 
 
+_BOARDS = ["bucket", "eqp_id", "factory", "chunk"]
+
+
+def board_bitmaps(tele: DataFrame, width: str = "1 minute") -> DataFrame:
+    """The boards of each bucket and machine as bitmaps, one row for each range of 32,768 board numbers that occur.
+
+    Counts of distinct boards do not add up from minutes to hours; bitmaps unite. Rows without a board have no bit.
+    """
+    rows = tele.where(F.col("board_no").isNotNull()).select(time_bucket("time", width).alias("bucket"), "eqp_id", "factory", F.col("board_no").cast("long").alias("b"))
+    chunk = F.bitmap_bucket_number("b").alias("chunk")
+    return rows.groupBy("bucket", "eqp_id", "factory", chunk).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("boards"))
+
+
+def wider_bitmaps(tier: DataFrame, width: str) -> DataFrame:
+    """`board_bitmaps` of a wider bucket from a narrower tier."""
+    wide = tier.withColumn("bucket", time_bucket("bucket", width))
+    return wide.groupBy(*_BOARDS).agg(F.bitmap_or_agg("boards").alias("boards"))
+
+
+def distinct_boards(tier: DataFrame) -> DataFrame:
+    """(bucket, eqp_id, factory, board_count): how many different boards a bucket has seen."""
+    return tier.groupBy("bucket", "eqp_id", "factory").agg(F.sum(F.bitmap_count("boards")).alias("board_count"))
+
+
 # Configuration assumed for machines without their own row.
 DEFAULT_CONFIG = {"ideal_cycle_sec": 30.0, "downtime_cost_per_min": 250.0, "scrap_cost_per_board": 150.0}
 

@@ -563,6 +563,13 @@ def _(t):
     return rollup.oee(rollup.oee_partials(t.tele, "1 hour"), config, 60.0)
 
 
+@query("al32_boards_hourly", "tele", "SELECT time_bucket(INTERVAL '1 hour', time) AS bucket, eqp_id, factory, count(DISTINCT board_no) AS board_count FROM tele GROUP BY 1, 2, 3 HAVING count(board_no) > 0")
+def _(t):
+    path = scratch_path(t.spark, "boards")
+    rollup.board_bitmaps(t.tele).write.parquet(path)
+    return rollup.distinct_boards(rollup.wider_bitmaps(t.spark.read.parquet(path), "1 hour"))
+
+
 @query(
     "al33_legacy_oee", "legacy",
     f"WITH l AS (SELECT * FROM legacy WHERE time > {_A} - INTERVAL 10 DAY QUALIFY row_number() OVER (PARTITION BY machine_id ORDER BY time DESC, row_id DESC) = 1), "

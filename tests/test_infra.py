@@ -1,11 +1,11 @@
 import pytest
-from helpers import T0, at, frame, rows
+from helpers import T0, at, frame, rows, telemetry
 from pyspark.sql import functions as F
 
 from tallyforge import functions as fn
 from tallyforge import schema
 from tallyforge.operators import aggregates as agg
-from tallyforge.operators import infra, quality
+from tallyforge.operators import infra, quality, rollup
 from tallyforge.sources import varbinds
 
 
@@ -116,3 +116,11 @@ def test_elapsed_and_weeks(spark):
     assert [r["e"] for r in rows(df.select(fn.elapsed_text(F.col("s")).alias("e")))] == ["0m", "59m", "1h05m", "1h00m", "0m"]
     monday = spark.createDataFrame([(at(0),)], "t timestamp").select(F.dayofweek(fn.time_bucket("t", "1 week")).alias("d")).first()[0]
     assert monday == 2
+
+
+def test_distinct_boards_merge_from_minutes(spark):
+    rows_ = [{"time": at(60 * m + 7), "board_no": b} for m, b in [(0, 1), (0, 1), (0, 40_000), (1, 1), (5, 2), (61, 1), (62, None)]]
+    minutes = rollup.board_bitmaps(telemetry(spark, rows_))
+    hours = rollup.distinct_boards(rollup.wider_bitmaps(minutes, "1 hour"))
+    assert [(r["bucket"], r["board_count"]) for r in rows(hours, "bucket")] == [(at(0), 3), (at(3600), 1)]
+    assert sum(r["board_count"] for r in rows(rollup.distinct_boards(minutes))) == 5
