@@ -29,7 +29,7 @@ from .common import string_buffers, texts, written
 from .words import LETTERS_DIGITS, NOT_SPACE, Cutter, mix
 
 PRIOR = 4.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 RANGE_BYTES = 8 << 20
 _PIECE = 1 << 20
 # what stands before the first word of a text
