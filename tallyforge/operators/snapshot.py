@@ -139,16 +139,28 @@ def not_producing(states: DataFrame) -> DataFrame:
     return states.agg(F.count_if(F.col("state") != 2).alias("not_producing"), F.count(F.lit(1)).alias("machines"))
 
 
-def time_grid(rows: DataFrame, lo: datetime | str, hi: datetime | str, step: str, name: str = "bucket") -> DataFrame:
-    """Every row of `rows` for every step of [lo, hi)."""
+def grid_steps(lo: datetime | str, hi: datetime | str, step: str) -> Column:
+    """The steps of [lo, hi), as an array."""
     end = ts_plus(ts_lit(hi), -interval_us(step))
     seconds = interval_us(step) // 1_000_000
-    steps = F.sequence(ts_lit(lo), end, F.make_dt_interval(secs=F.lit(seconds)))
-    return rows.withColumn(name, F.explode(steps))
+    return F.sequence(ts_lit(lo), end, F.make_dt_interval(secs=F.lit(seconds)))
+
+
+def time_grid(rows: DataFrame, lo: datetime | str, hi: datetime | str, step: str, name: str = "bucket") -> DataFrame:
+    """Every row of `rows` for every step of [lo, hi)."""
+    return rows.withColumn(name, F.explode(grid_steps(lo, hi, step)))
+
+
+# steps of a grid that travel as one row
+_BLOCK = 64
 
 
 def state_grid(tele: DataFrame, devices: DataFrame, lo: datetime | str, hi: datetime | str, step: str = "5 minutes", device_type: str = "ldi") -> DataFrame:
-    """RUNNING / IDLE / NO_DATA per machine and step: the last state seen inside the step."""
+    """RUNNING / IDLE / NO_DATA per machine and step: the last state seen inside the step.
+
+    Machines meet the steps they were seen in by blocks of steps; the grid itself is laid out after that and never shuffled.
+    """
+    width, first = interval_us(step), F.unix_micros(ts_lit(lo))
     fleet = devices.where((F.col("device_type") == device_type) & F.col("enabled")).select(F.col("device_id").alias("eqp_id"))
     seen = (
         tele.where((F.col("time") >= ts_lit(lo)) & (F.col("time") < ts_lit(hi)))
@@ -156,7 +168,17 @@ def state_grid(tele: DataFrame, devices: DataFrame, lo: datetime | str, hi: date
         .agg(F.max_by("state", F.struct("time", "log_id")).alias("_state"))
     )
     label = F.when(F.col("_state").isNull(), "NO_DATA").when(F.col("_state"), "RUNNING").otherwise("IDLE")
-    return time_grid(fleet, lo, hi, step).join(seen, ["eqp_id", "bucket"], "left").select("bucket", "eqp_id", label.alias("state"))
+    at = F.unix_micros("bucket") - first
+    steps = grid_steps(lo, hi, step)
+    # buckets between the steps, where `lo` is none, or after the last one meet no step
+    on_grid = seen.where((at % width == 0) & (F.col("bucket") <= F.element_at(steps, -1))).withColumn("_block", F.floor(at / (width * _BLOCK)))
+    told = on_grid.groupBy("eqp_id", "_block").agg(F.collect_list(F.struct("bucket", label.alias("state"))).alias("_seen"))
+    blocks = fleet.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size(steps) - 1) / _BLOCK))))
+    own = F.slice(steps, (F.col("_block") * _BLOCK + 1).cast("int"), _BLOCK)
+    held = F.coalesce(F.col("_seen"), F.expr("array()").cast("array<struct<bucket:timestamp,state:string>>"))
+    empty = F.transform(F.array_except(own, F.transform(held, lambda s: s["bucket"])), lambda b: F.struct(b.alias("bucket"), F.lit("NO_DATA").alias("state")))
+    # blocks are dealt out even where the few machines fit one task: the rows they stand for would not
+    return blocks.repartition("eqp_id", "_block").join(told, ["eqp_id", "_block"], "left").select("eqp_id", F.inline(F.concat(held, empty))).select("bucket", "eqp_id", "state")
 
 
 def cycle_time_grid(tele: DataFrame, step: str = "5 minutes") -> DataFrame:
