@@ -171,13 +171,22 @@ def sustained_alerts(
 
     One row per (rule, metric, evaluation) that is firing, with its value; `window` and `hold` override the rules'.
     """
-    parts = []
+    # rules over the same rows and windows are aggregated in one pass, and held in one
+    alike: dict[tuple, list[ThresholdRule]] = {}
     for r in rules:
-        rows = scope_devices(df, devices) if r.enabled_only and devices is not None else df
-        seen = rows.groupBy(*r.keys, F.window(ts, window or r.window, step).alias("_w")).agg(r.value().cast("double").alias("value"))
-        evals = seen.select(F.concat_ws(" ", *r.keys).alias("metric"), F.col("_w.end").alias("ts"), "value", F.coalesce(F.col("value") > r.limit, F.lit(False)).alias("cond"))
-        firing = sustained(evals, ["metric"], hold or r.hold, step).where("state = 'firing'")
-        parts.append(firing.select("metric", F.lit(r.name).alias("rule"), "ts", rnd("value", 4).alias("value"), F.lit(r.severity).alias("severity")))
+        alike.setdefault((tuple(r.keys), window or r.window, hold or r.hold, r.enabled_only and devices is not None), []).append(r)
+    parts = []
+    for (keys, span, held, scoped), own in alike.items():
+        rows = scope_devices(df, devices) if scoped else df
+        seen = rows.groupBy(*keys, F.window(ts, span, step).alias("_w")).agg(*[r.value().cast("double").alias(f"_v{i}") for i, r in enumerate(own)])
+        told = [
+            F.when(F.col(f"_v{i}") > r.limit, F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(f"_v{i}").alias("value")))
+            for i, r in enumerate(own)
+        ]
+        # on a grid an evaluation that is missing breaks a run as one that is false does: only the true ones go on
+        true = seen.select(F.concat_ws(" ", *keys).alias("metric"), F.col("_w.end").alias("ts"), F.inline(F.array_compact(F.array(*told)))).withColumn("cond", F.lit(True))
+        firing = sustained(true, ["metric", "rule"], held, step).where("state = 'firing'")
+        parts.append(firing.select("metric", "rule", "ts", rnd("value", 4).alias("value"), "severity"))
     return reduce(DataFrame.unionByName, parts)
 
 
