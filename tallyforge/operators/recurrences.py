@@ -12,8 +12,26 @@ from ..functions.timeutil import interval_us
 from .machines import Machine, in_chunks
 
 
+# up to this many values a plain loop is faster than pandas
+_SHORT = 64
+
+
+def _level_after(v: np.ndarray, z: float | None, lam: float) -> np.ndarray:
+    """`level_after` value by value, with the very steps of pandas."""
+    out, keep = np.empty(len(v)), 1 - lam
+    for i, x in enumerate(v.tolist()):
+        if z is None:
+            z = x
+        elif z != x:
+            z = (keep * z + lam * x) / (keep + lam)
+        out[i] = z
+    return out
+
+
 def level_after(v: np.ndarray, z: float | None, lam: float) -> np.ndarray:
     """z_t = lam v_t + (1 - lam) z_{t-1} along `v`, from the level `z` before it (None: the first value is the level)."""
+    if len(v) <= _SHORT and np.isfinite(v).all():
+        return _level_after(v, z, lam)
     whole = v if z is None else np.concatenate([[z], v])
     out = pd.Series(whole).ewm(alpha=lam, adjust=False).mean().to_numpy()
     return out if z is None else out[1:]
