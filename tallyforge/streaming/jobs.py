@@ -1,18 +1,16 @@
 """Streaming counterparts of the batch operators.
 
-Windowed work uses watermarks and built-in aggregations. State per key uses applyInPandasWithState with a few scalars
-per key. Work that needs the stored history runs in foreachBatch on the batch operators.
+Windowed work uses watermarks and built-in aggregations. State per key is a few scalars a key, a bucket of keys to a call
+(`keyed`). Work that needs the stored history runs in foreachBatch on the batch operators.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeutil import interval_us, time_bucket, ts_lit, ts_plus
 from ..operators.alarms import link_alarms
@@ -21,6 +19,7 @@ from ..operators.rollup import Spec, reaggregate, rollup
 from ..operators.snapshot import detect_alarms
 from ..session import scratch_path
 from ..sources.maintenance import batch_numbers
+from .keyed import _NO_TIME, each_key, last_nulls
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append", out: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -102,19 +101,6 @@ def assemble_cycle(parts: DataFrame, timeout: str = "35 seconds", ts: str = "ts"
     )
 
 
-def _us(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
-
-
-def _sorted(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
-
-
-def _expire(state: GroupState, us: int) -> None:
-    """Let a state go once the watermark has passed a time."""
-    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + 1)
-
-
 def debounce_stream(alarms: DataFrame, cooldown: str = "12 minutes", watermark: str | None = None) -> DataFrame:
     """Fired alarms only, with when their (machine, code) first fired and how often it has.
 
@@ -122,33 +108,26 @@ def debounce_stream(alarms: DataFrame, cooldown: str = "12 minutes", watermark:
     the last firing: the next alarm fires in any case, and counts anew.
     """
     us = interval_us(cooldown)
-    names = ["equipmentid", "errorcode", "logdate", "logid"]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _sorted(batches, ["logdate", "logid"])
-        first, last, count = state.get if state.exists else (None, None, 0)
-        times, keep, counts = _us(pdf["logdate"]).to_numpy(), [], []
-        i = 0 if last is None else int(np.searchsorted(times, last + us))
+
+    def each(key: tuple, came: list[tuple], state: tuple | None, now_ms: int) -> tuple[tuple | None, list[tuple], int | None]:
+        if not came:
+            return None, [], None
+        came.sort(key=lambda r: last_nulls(r, (0, 1)))
+        first, last, count = state or (None, None, 0)
+        times, fired = [_NO_TIME if t is None else t for t, _ in came], []
+        i = 0 if last is None else bisect_left(times, last + us)
         while i < len(times):
-            last, count = int(times[i]), count + 1
+            last, count = times[i], count + 1
             first = last if first is None else first
-            keep.append(i)
-            counts.append(count)
-            i = int(np.searchsorted(times, last + us))
-        if last is not None:
-            state.update((first, last, count))
-            if watermark:
-                _expire(state, last + us)
-        yield pdf.loc[keep, names].assign(first_fired=pd.Timestamp(first or 0, unit="us"), fire_count=counts)
-
-    rows = alarms.select(*names)
-    return (rows.withWatermark("logdate", watermark) if watermark else rows).groupBy("equipmentid", "errorcode").applyInPandasWithState(
-        step, "equipmentid string, errorcode string, logdate timestamp, logid string, first_fired timestamp, fire_count long", "first long, last long, count long", "append",
-        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout,
-    )
+            fired.append((*came[i], count))
+            i = bisect_left(times, last + us)
+        emitted = [(t, logid, first, n) for t, logid, n in fired]
+        return (first, last, count), emitted, max((last + us) // 1000, now_ms) + 1 if watermark else None
+
+    rows = alarms.select("equipmentid", "errorcode", "logdate", "logid")
+    rows = rows.withWatermark("logdate", watermark) if watermark else rows
+    out = {"logdate": "timestamp", "logid": "string", "first_fired": "timestamp", "fire_count": "bigint"}
+    return each_key(rows, ["equipmentid", "errorcode"], ["logdate", "logid"], each, out, timed=bool(watermark))
 
 
 def counter_rate_stream(counters: DataFrame) -> DataFrame:
@@ -159,52 +138,46 @@ def counter_rate_stream(counters: DataFrame) -> DataFrame:
     names = ["device_id", "iface", "ts", "name", "status", "errors", "drops"]
     rows = with_octets(counters).select(*names, F.col("_rx").cast("string").alias("_rx"), F.col("_tx").cast("string").alias("_tx"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(batches, ["ts", "iface"])
-        if state.exists:
-            us, ifaces, rx, tx = state.get
-            held = pd.DataFrame({"iface": list(ifaces), "_rx": list(rx), "_tx": list(tx), "ts": pd.Timestamp(us, unit="us").as_unit(pdf["ts"].dt.unit)})
-            pdf = pd.concat([held, pdf.assign(_new=True)], ignore_index=True)
-        else:
-            pdf["_new"] = True
-        pdf["_poll"] = pdf["ts"].rank(method="dense").astype("int64")
-        before = pdf[["_poll", "iface", "_rx", "_tx"]].rename(columns={"_rx": "_prx", "_tx": "_ptx"}).assign(_poll=pdf["_poll"] + 1).drop_duplicates(["_poll", "iface"])
-        polls = pdf.groupby("_poll")["ts"].first()
-        out = pdf[pdf["_new"] == True].merge(before, on=["_poll", "iface"], how="left")  # noqa: E712
-        out["_dt"] = (_us(out["ts"]) - _us(out["_poll"].sub(1).map(polls).astype(out["ts"].dtype))).where(out["_poll"] > 1) / 1e6
-        last = pdf[pdf["_poll"] == pdf["_poll"].max()]
-        state.update((int(_us(last["ts"]).iloc[0]), last["iface"].tolist(), last["_rx"].tolist(), last["_tx"].tolist()))
-        yield out[[*names, "_rx", "_tx", "_prx", "_ptx", "_dt"]]
-
-    polled = rows.groupBy("device_id").applyInPandasWithState(
-        step, ", ".join(f"`{n}` {types[n]}" for n in names) + ", _rx string, _tx string, _prx string, _ptx string, _dt double",
-        f"us long, ifaces array<{types['iface']}>, rx array<string>, tx array<string>", "append", GroupStateTimeout.NoTimeout,
-    )
+    read = [*names[1:], "_rx", "_tx"]
+
+    def each(key: tuple, came: list[tuple], state: tuple | None, now_ms: int) -> tuple[tuple | None, list[tuple], int | None]:
+        came.sort(key=lambda r: last_nulls(r, (1, 0)))
+        held_at, held = state or (None, {})
+        polls: dict[int, list[tuple]] = {}
+        for r in came:
+            polls.setdefault(r[1], []).append(r)
+        # a row without a time belongs to no poll
+        emitted = [(*r, None, None, None) for r in polls.pop(None, [])]
+        before, seen = None, {}
+        for at in sorted({*polls, held_at} - {None}):
+            # the poll held from earlier batches may get more rows, or others may come late before it
+            now_seen = dict(held) if at == held_at else {}
+            for r in polls.get(at, []):
+                now_seen.setdefault(r[0], (r[-2], r[-1]))
+                dt = None if before is None else (at - before) / 1e6
+                emitted.append((*r, *seen.get(r[0], (None, None)), dt))
+            before, seen = at, now_seen
+        return (before, seen), emitted, None
+
+    out = {**{n: types[n] for n in names[1:]}, "_rx": "string", "_tx": "string", "_prx": "string", "_ptx": "string", "_dt": "double"}
+    polled = each_key(rows, ["device_id"], read, each, out, timed=False)
     return rates_between_polls(polled.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("_rx", "_tx", "_prx", "_ptx")}))
 
 
 def carry_forward_stream(df: DataFrame, key: str, ts: str, tie: str, cols: list[str]) -> DataFrame:
     """Fill NULL readings with the key's last known value; the state of a key is one value per column."""
-    names = [key, ts, tie, *cols]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(batches, [ts, tie])
-        known = list(state.get) if state.exists else [None] * len(cols)
-        for i, c in enumerate(cols):
-            filled = pdf[c].astype("float64").ffill()
-            if known[i] is not None:
-                filled = filled.fillna(known[i])
-            pdf[c] = filled
-            last = filled.iloc[-1]
-            known[i] = None if pd.isna(last) else float(last)
-        state.update(tuple(known))
-        yield pdf[names]
-
-    return df.select(*names).groupBy(key).applyInPandasWithState(
-        step, ", ".join(f"`{n}` {types[n]}" for n in names), ", ".join(f"`{c}` double" for c in cols), "append", GroupStateTimeout.NoTimeout
-    )
+    def each(k: tuple, came: list[tuple], state: list | None, now_ms: int) -> tuple[list | None, list[tuple], int | None]:
+        came.sort(key=lambda r: last_nulls(r, (0, 1)))
+        known, emitted = state or [None] * len(cols), []
+        for r in came:
+            known = [old if v is None else v for v, old in zip(r[2:], known)]
+            emitted.append((*r[:2], *known))
+        return known, emitted, None
+
+    names = [ts, tie, *cols]
+    return each_key(df.select(key, *names), [key], names, each, {n: types[n] for n in names}, timed=False)
 
 
 def lifecycle_stream(actions: DataFrame, watermark: str | None = None, keep: str = "30 days") -> DataFrame:
@@ -216,65 +189,54 @@ def lifecycle_stream(actions: DataFrame, watermark: str | None = None, keep: str
     us = interval_us(keep)
     allowed = {"ACKNOWLEDGED": {"OPEN"}, "RESOLVED": {"OPEN", "ACKNOWLEDGED"}}
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _sorted(batches, ["action_ts", "action_id"])
-        status = state.get[0] if state.exists else "OPEN"
-        after, why = [], []
-        for a in pdf.itertuples():
-            actor = (a.actor or "").strip() if isinstance(a.actor, str) else ""
+    def each(key: tuple, came: list[tuple], status: str | None, now_ms: int) -> tuple[str | None, list[tuple], int | None]:
+        if not came:
+            return None, [], None
+        came.sort(key=lambda r: last_nulls(r, (0, 1)))
+        status, emitted = status or "OPEN", []
+        for _, action_id, action, actor in came:
             reason = None
             if status == "RESOLVED":
                 reason = "RESOLVED is final"
-            elif a.action not in allowed:
-                reason = f"no transition to {a.action}"
-            elif not actor:
+            elif action not in allowed:
+                reason = f"no transition to {action}"
+            elif not (actor or "").strip():
                 reason = "actor required"
-            elif status not in allowed[a.action]:
+            elif status not in allowed[action]:
                 reason = "not OPEN"
             if reason is None:
-                status = a.action
-            after.append(status)
-            why.append(reason)
-        state.update((status,))
-        if watermark and status == "RESOLVED":
-            _expire(state, int(_us(pdf["action_ts"]).iloc[-1]) + us)
-        yield pd.DataFrame(
-            {"logid": pdf["logid"], "logdate": pdf["logdate"], "action_id": pdf["action_id"], "action": pdf["action"], "status": after, "reason": why}
-        )
+                status = action
+            emitted.append((action_id, action, status, reason))
+        over = watermark and status == "RESOLVED" and came[-1][0] is not None
+        return status, emitted, max((came[-1][0] + us) // 1000, now_ms) + 1 if over else None
 
     rows = actions.withWatermark("action_ts", watermark) if watermark else actions
-    return rows.groupBy("logdate", "logid").applyInPandasWithState(
-        step, "logid string, logdate timestamp, action_id string, action string, status string, reason string", "status string", "append",
-        GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout,
-    )
+    rows = rows.select("logdate", "logid", "action_ts", "action_id", "action", "actor")
+    out = {"action_id": "string", "action": "string", "status": "string", "reason": "string"}
+    told = each_key(rows, ["logdate", "logid"], ["action_ts", "action_id", "action", "actor"], each, out, timed=bool(watermark))
+    return told.select("logid", "logdate", *out)
 
 
 def sustained_stream(evals: DataFrame, key: str, hold: str, step_width: str) -> DataFrame:
     """ok / pending / firing per evaluation (key, ts, cond); the state of a key is when its run began and its last time."""
     run, grid = interval_us(hold), interval_us(step_width)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(batches, ["ts"])
-        since, seen = state.get if state.exists else (None, None)
-        out = []
-        for t, cond in zip(_us(pdf["ts"]), pdf["cond"]):
-            t = int(t)
+    def each(k: tuple, came: list[tuple], state: tuple | None, now_ms: int) -> tuple[tuple | None, list[tuple], int | None]:
+        came.sort(key=lambda r: last_nulls(r, (0,)))
+        since, seen = state or (None, None)
+        emitted = []
+        for ts, cond in came:
+            t = _NO_TIME if ts is None else ts
             if not cond:
                 since = None
             elif since is None or t - seen > grid:
                 since = t
             seen = t
-            out.append("ok" if not cond else "firing" if t - since >= run else "pending")
-        state.update((since, seen))
-        pdf["state"] = out
-        yield pdf[[key, "ts", "cond", "state"]]
+            emitted.append((ts, cond, "ok" if not cond else "firing" if t - since >= run else "pending"))
+        return (since, seen), emitted, None
 
-    return evals.select(key, "ts", "cond").groupBy(key).applyInPandasWithState(
-        step, f"`{key}` string, ts timestamp, cond boolean, state string", "since long, seen long", "append", GroupStateTimeout.NoTimeout
-    )
+    out = {"ts": "timestamp", "cond": "boolean", "state": "string"}
+    return each_key(evals.select(key, "ts", "cond"), [key], ["ts", "cond"], each, out, timed=False)
 
 
 def alarm_writer(spark: SparkSession, alarm_path: str, window: str = "3 minutes") -> Callable[[DataFrame, int], None]:

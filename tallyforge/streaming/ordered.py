@@ -7,25 +7,16 @@ state of a key holds the rows of one watermark delay and what its machine needs;
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-from typing import Any
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.timeutil import interval_us
 from ..operators.cycles import TIMEOUT, WALKERS
 from ..operators.machines import Fold, Machine
 from ..operators.notify import Notifier, Route
 from ..sources.varbinds import WALK_STATE, shown_state, walk_machine, walk_readings
-
-
-def _us(column: pd.Series) -> list:
-    return column.astype("datetime64[us]").astype("int64").tolist()
+from .keyed import each_key
 
 
 def in_order(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list[str], watermark: str | None, fold: Fold, out: dict[str, str]) -> DataFrame:
@@ -35,42 +26,27 @@ def in_order(df: DataFrame, keys: list[str], ts: str, tie: list[str], cols: list
     ordered by `tie`, which should make them unique. Without a `watermark` those hold that the input has.
     """
     names = list(dict.fromkeys([ts, *tie, *cols]))
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     order = [0, *[names.index(t) for t in tie]]
-    times = [i for i, n in enumerate(names) if types[n] == "timestamp"]
 
     def of(row: tuple) -> tuple:
         return tuple((row[i] is not None, row[i]) for i in order)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, inner = pickle.loads(state.get[0]) if state.exists else ([], None)
-        if not state.hasTimedOut:
-            for pdf in batches:
-                columns = [_us(pdf[n]) if i in times else pdf[n].astype(object).where(pdf[n].notna(), None).tolist() for i, n in enumerate(names)]
-                held.extend(zip(*columns))
-        now = state.getCurrentWatermarkMs() * 1000
-        held.sort(key=of)
+    def each(key: tuple, came: list[tuple], state: tuple | None, now_ms: int) -> tuple[tuple | None, list[tuple], int | None]:
+        held, inner = state or ([], None)
+        now = now_ms * 1000
+        if came:
+            held = sorted([*held, *came], key=of)
         ready = sum(1 for r in held if r[0] <= now)
         inner, emitted = fold.rows(key, inner, held[:ready], now)
         held = held[ready:]
-        if held or inner is not None:
-            state.update((pickle.dumps((held, inner)),))
-            wakes = [t for t in (held[0][0] if held else None, fold.due(inner) if inner is not None else None) if t is not None]
-            if wakes:
-                state.setTimeoutTimestamp(max(-(-min(wakes) // 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if emitted:
-            pdf = pd.DataFrame([(*key, *r) for r in emitted], columns=[*keys, *out])
-            for n, t in out.items():
-                if t == "timestamp":
-                    pdf[n] = pd.to_datetime(pdf[n], unit="us")
-            yield pdf
-
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], *[f"`{n}` {t}" for n, t in out.items()]])
+        if not held and inner is None:
+            return None, emitted, None
+        wakes = [t for t in (held[0][0] if held else None, fold.due(inner) if inner is not None else None) if t is not None]
+        return (held, inner), emitted, max(-(-min(wakes) // 1000), now_ms + 1) if wakes else None
+
     rows = df.where(f"`{ts}` IS NOT NULL")
     rows = (rows.withWatermark(ts, watermark) if watermark else rows).select(*dict.fromkeys([*keys, *names]))
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return each_key(rows, keys, names, each, out, timed=True)
 
 
 class _Rows(Fold):
