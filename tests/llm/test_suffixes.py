@@ -47,6 +47,29 @@ def test_equals_plain_count(spark, monkeypatch, key_bytes):
     assert result(docs(spark, texts).repartition(3)) == brute(texts)
 
 
+def test_near_copies_get_one_range_a_stretch(spark, monkeypatch):
+    """However often large keys are dealt anew, the join of stretches with what repeats makes no more rows than there are stretches."""
+    rng = random.Random(11)
+    base, texts = words(rng, 150).split(), []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"edit{i}"
+        texts.append(" ".join(w))
+    made, frame = [], type(spark.range(0))
+    join = frame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == ["h", "s"]:
+            made.append((self.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(frame, "join", counted)
+    monkeypatch.setattr(suffixes, "KEY_BYTES", 10_000)
+    assert result(docs(spark, texts)) == brute(texts)
+    assert len(made) > 2 and all(rows <= stretches for stretches, rows in made)
+
+
 def test_nulls_long_and_repeated_rows(spark):
     texts = [r[1] for r in odd_rows()]
     got = dedup(odd_docs(spark)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
